@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scan
+from . import bpe, packing, quality_rules, secret_scan, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_packing": packing.op5_packing,
+        "op6_token_counts": token_counts.op6_token_counts,
+        "op7_bpe": bpe.op7_bpe,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
