@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, quality_classifier, quality_rules, secret_scan, token_counts
+from . import bpe, language_id, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_near_dedup": near_dedup.op10_near_dedup,
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_language_id": language_id.op2_language_id,
         "op5_packing": packing.op5_packing,
