@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts
+from . import bpe, language_id, license_scan, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_language_id": language_id.op2_language_id,
+        "op3_license_scan": license_scan.op3_license_scan,
+        "op4_media_columns": media_columns.op4_media_columns,
         "op5_packing": packing.op5_packing,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_bpe": bpe.op7_bpe,
