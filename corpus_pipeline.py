@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import common, quality_rules, secret_scan
+from tagweave.llm import common, near_dedup, packing, quality_classifier, quality_rules, secret_scan
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,15 +16,36 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.keep_good(docs)
 
 
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling against the labelled good ones draws."""
+    common.ship(spark)
+    return quality_classifier.Resampler(docs, common.read(spark, sf_dir, "labels")).keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of exact and near copies."""
+    common.ship(spark)
+    return near_dedup.keep_one(docs)
+
+
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mark."""
     common.ship(spark)
     return secret_scan.redact(docs)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens, with their ids."""
+    common.ship(spark)
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("near_dedup", near_dedup_stage),
     ("secret_scan", secret_scan_stage),
+    ("packing", packing_stage),
 ]
 
 #: Language models, near-duplicate classes and packing have no SQL form; the tests hold run() against brute force.
