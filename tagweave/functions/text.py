@@ -98,7 +98,7 @@ def parse_path(col: Column | str) -> Column:
 
 def parse_list(col: Column | str, lower: bool = False, distinct: bool = False) -> Column:
     """Comma-separated items, trimmed, without empty ones."""
-    out = F.filter(F.transform(F.split(F.coalesce(_c(col), F.lit("")), ","), F.trim), lambda x: x != "")
+    out = F.filter(F.transform(F.split(F.coalesce(_c(col), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     out = F.transform(out, F.lower) if lower else out
     return F.array_distinct(out) if distinct else out
 

@@ -21,7 +21,10 @@ def tags_of(objectives: DataFrame, *keep: str) -> DataFrame:
 
 
 def _confidence_counts() -> list[Column]:
-    return [F.sum(F.size(F.filter("tags", lambda t, x=x: t["confidence"] == x))).alias(x) for x in LEVELS]
+    def count(level: str) -> Column:
+        return F.sum(F.size(F.filter("tags", lambda t: t["confidence"] == level))).alias(level)
+
+    return [count(level) for level in LEVELS]
 
 
 def document_summary(objectives: DataFrame) -> DataFrame:

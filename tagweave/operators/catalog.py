@@ -67,8 +67,8 @@ def documents_using(docs: DataFrame, taxonomy_id: str) -> DataFrame:
 def assign_ranges(pages: DataFrame, ranges: DataFrame, value: str = "page") -> DataFrame:
     """Rows with each small range (lo, hi, both inclusive) that holds their value. Ranges are a handful by nature: they become one array in the row."""
     listed = ranges.agg(F.collect_list(F.struct("*"))).scalar()
-    inside = F.filter(listed, lambda r: (F.col(value) >= r["lo"]) & (F.col(value) <= r["hi"]))
-    return pages.select("*", F.explode(inside).alias("range"))
+    each = pages.withColumn("_ranges", listed)
+    return each.select(*pages.columns, F.explode(F.filter("_ranges", lambda r: (F.col(value) >= r["lo"]) & (F.col(value) <= r["hi"]))).alias("range"))
 
 
 def assign_nearest_left(value: Column | str, starts: Column | str, slack: float = 0.0) -> Column:
@@ -212,5 +212,6 @@ def document_detail(docs: DataFrame, parsed: DataFrame, alignments: DataFrame, t
     wide = wide.withColumn("objectives", F.coalesce("_aligned", "_parsed")).withColumn("is_parsed", F.col("_parsed").isNotNull()).withColumn("_ids", taxonomy_ids())
     titles = wide.select("id", F.posexplode("_ids").alias("pos", "taxonomy")).join(taxonomies.select(F.col("id").alias("taxonomy"), "title"), "taxonomy").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "title"))).alias("t"))
     out = wide.join(titles, "id", "left").withColumn("taxonomy_title", F.array_join(F.transform("t", lambda x: x["title"]), " + "))
+    out = out if "is_seed" in out.columns else out.withColumn("is_seed", F.lit(False))
     out = out.withColumn("n_objectives", F.coalesce(F.size("objectives"), F.lit(0))).withColumn("n_aligned", F.coalesce(F.size(F.filter("objectives", lambda o: F.size(o["tags"]) > 0)), F.lit(0)))
     return out.withColumn("status", document_status()).drop("_parsed", "_aligned", "_ids", "t")

@@ -50,13 +50,18 @@ def read_taxonomy(spark: SparkSession, paths: dict[str, str], schema: str = RECO
     out = None
     for subject, path in paths.items():
         both = spark.read.schema(f"{schema}, records array<struct<{schema}>>").option("multiLine", True).json(path)
-        bare = both.where("records is null").drop("records")
-        wrapped = both.where("records is not null").selectExpr("inline(records)")
-        one = bare.unionByName(wrapped).where("code is not null").withColumn("subject", F.lit(subject))
+        one = taxonomy_rows(both, subject)
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
+def taxonomy_rows(both: DataFrame, subject: str) -> DataFrame:
+    """Records of rows that are one record each or hold an array of them in `records`."""
+    bare = both.where("records is null").drop("records")
+    wrapped = both.where("records is not null").selectExpr("inline(records)")
+    return bare.unionByName(wrapped).where("code is not null").withColumn("subject", F.lit(subject))
+
+
 def list_inputs(df: DataFrame, include: str = r"\.json$", exclude: str = RESULT_SUFFIX, file: str = "file") -> DataFrame:
     """Rows whose file name matches, without those of per-subject results."""
     return df.where(F.col(file).rlike(include) & ~F.col(file).rlike(exclude))
