@@ -30,6 +30,8 @@ from .common import batches, read, ship, texts
 VOCABULARY = "word_bpe_49k.json"
 _ASCII = re.compile(rb"[!-~]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Rank of pairs that are no merge.
+_NEVER = 1 << 60
 _WORKER: dict[str, tokens.ChunkCache] = {}
 
 
@@ -47,6 +49,10 @@ class SpeculativeBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: s for s, i in (self.vocab | self.special).items()}
         self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}  # the longest entry, suffix not counted, that starts with three characters
+        for entry in self.vocab:
+            if len(entry) >= 3:
+                self.reach[entry[:3]] = max(self.reach.get(entry[:3], 0), len(entry))
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.library = tokens.tokenizer(path)
         self.words: dict[str, tuple[int, ...]] = {}
@@ -61,30 +67,30 @@ class SpeculativeBpe:
 
     def merged(self, parts: list[str]) -> list[str]:
         """Exact merging: the pair of least rank first, leftmost first."""
-        rank = self.rank
-        while len(parts) > 1:
-            least = min(zip(parts, parts[1:], strict=False), key=lambda p: rank.get(p, 1 << 60))
-            if least not in rank:
+        get = self.rank.get
+        parts = list(parts)
+        ranks = [get(p, _NEVER) for p in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == _NEVER:
                 break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == least[0] and parts[i + 1] == least[1]:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), _NEVER)
         return parts
 
     def greedy(self, word: str) -> list[int]:
         """The longest vocabulary entry at each place; only the last one may, and must, end with the suffix."""
-        vocab, at, n, out = self.vocab, 0, len(word), []
+        vocab, reach, at, n, out = self.vocab, self.reach, 0, len(word), []
         while at < n:
             found = vocab.get(word[at:] + self.end) if n - at <= self.longest else None
             to = n
             if found is None:
-                to = min(n - 1, at + self.longest)
+                to = min(n - 1, at + reach.get(word[at : at + 3], 2))
                 while (found := vocab.get(word[at:to])) is None:
                     to -= 1
             out.append(found)
