@@ -217,14 +217,15 @@ class KneserNey:
             self.most_entropy = float(np.quantile(h.min(1)[good], 1 - share)) * 1.1
 
     def predict(self, raws: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and rejection of each text."""
+        if not self.languages:
+            return ["und"] * len(raws), [0.0] * len(raws), [True] * len(raws)
         h = self.entropies(raws)
-        none = np.isnan(h[:, 0]) if len(self.languages) else np.ones(len(raws), bool)
+        none = np.isnan(h[:, 0])
         h[none] = 0
-        best = h.argmin(1) if len(self.languages) else np.zeros(len(raws), int)
-        score = np.where(none, 0.0, _softmax(h, self.temperature).max(1) if len(self.languages) else 0.0)
-        lowest = h.min(1) if len(self.languages) else np.zeros(len(raws))
-        rejected = none | (score < self.least_score) | (lowest > self.most_entropy)
-        return ["und" if x else self.languages[i] for i, x in zip(best, none, strict=True)], score.tolist(), rejected.tolist()
+        score = np.where(none, 0.0, _softmax(h, self.temperature).max(1))
+        rejected = none | (score < self.least_score) | (h.min(1) > self.most_entropy)
+        return ["und" if x else self.languages[i] for i, x in zip(h.argmin(1), none, strict=True)], score.tolist(), rejected.tolist()
 
 
 def _softmax(h: np.ndarray, temperature: float) -> np.ndarray:
