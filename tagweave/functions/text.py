@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Named entities that decode_entities() knows.
 NAMED_ENTITIES = {
@@ -21,7 +22,7 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -29,7 +30,7 @@ def _unescape(s: pd.Series) -> pd.Series:
 _ENTITY = re.compile(r"&#(\d{1,9});|&#x([0-9a-fA-F]{1,8});|&([a-zA-Z]+);")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode(s: pd.Series) -> pd.Series:
     def number(n: int, whole: str) -> str:
         return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else whole

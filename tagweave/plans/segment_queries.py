@@ -99,8 +99,8 @@ def g11(s, d):
     return G.walk_clusters(lines.select(F.col("doc_id").cast("string").alias("doc_id"), "line_no", "line"), ["OA"])
 
 
-@query("g12_extract_numbered", "select item_id as doc_id, unnest([1, 2]) as number, unnest(['First ' || item_id || ' words', 'Second item ' || item_id]) as item_text from benchmark")
+@query("g12_extract_numbered", "select item_id as doc_id, unnest([1, 2]) as number, unnest(['First ' || item_id || ' words', 'Second item ' || item_id || ' too']) as item_text from benchmark")
 def g12(s, d):
     i = F.col("item_id").cast("string")
-    text = F.concat(F.lit("Head 1. lower 1. First "), i, F.lit(" words 2. Second item "), i, F.lit(" *2 3. Short Note here"))
+    text = F.concat(F.lit("Head 1. lower 1. First "), i, F.lit(" words 2. Second item "), i, F.lit(" too *2 3. Short Note here"))
     return G.extract_numbered(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text")), [1, 2, 3, 4], ["Note here"])
