@@ -145,3 +145,28 @@ def keep_good(docs: DataFrame, **rules) -> DataFrame:
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     ship(spark)
     return apply_rules(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_dropped", "chars_lost")
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+#: The same rows in DuckDB, for tables whose doc_id is unique and not null.
+ORACLE_SQL = rf"""with d as (select doc_id, coalesce(text, '') as t from documents), w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+    win as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)),
+    rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) > 1),
+    cov as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 5)) as j from rep) group by 1),
+    l as (select doc_id, unnest(range(len(ls))) as i, unnest(ls) as line from (select doc_id, string_split(t, chr(10)) as ls from d)),
+    m as (select doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as nw, regexp_replace(line, '[\x20\x09-\x0D]+$', '') as body from l),
+    e as (select *, row_number() over (partition by doc_id, line order by i) - 1 as earlier, length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as sym,
+        length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) as chars, length(body) - length(regexp_replace(body, '[{SEPARATORS}]', '', 'g')) as sep from m where nw > 0),
+    f as (select *, (nw > {RULES["heading_words"]} and not contains('{_quoted(CLOSING)}', right(body, 1))) or earlier >= 2 or (nw >= 3 and upper(body) = body and lower(body) <> body)
+        or 10 * sym > chars or (sep >= {RULES["min_separators"]} and sep * {RULES["words_per_separator"]} >= nw)
+        or (nw <= {RULES["phrase_words"]} and regexp_matches(lower(body), '{_quoted("|".join(PHRASES))}')) as fails from e),
+    s as (select doc_id, count(*) filter (where earlier > 0) as dup, sum(length(line)) as total, coalesce(sum(length(line)) filter (where fails), 0) as lost, count(*) filter (where fails) as dropped from f group by 1),
+    b as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+        coalesce(dup, 0) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, coalesce(dropped, 0) as lines_dropped, coalesce(lost, 0) as chars_lost, coalesce(total, 0) as total
+        from w left join s using (doc_id) left join cov using (doc_id))
+    select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+    cast(n_repeat_words as bigint) as n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and chars_lost <= {RULES["max_lost"]} * total as kept, cast(lines_dropped as bigint) as lines_dropped, cast(chars_lost as bigint) as chars_lost from b"""
