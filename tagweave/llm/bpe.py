@@ -32,7 +32,6 @@ _ASCII = re.compile(rb"[!-~]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Rank of pairs that are no merge.
 _NEVER = 1 << 60
-_WORKER: dict[str, tokens.ChunkCache] = {}
 
 
 class SpeculativeBpe:
@@ -159,12 +158,9 @@ class SpeculativeBpe:
         return " ".join([self.token[i] for i in ids])
 
 
-
 def _coder(name: str, path: str | None) -> tokens.ChunkCache:
     file = tokens.vocabulary_path(name, path)
-    if file not in _WORKER:
-        _WORKER[file] = tokens.ChunkCache(SpeculativeBpe(file))
-    return _WORKER[file]
+    return tokens.worker_cache(f"codes of {file}", lambda: SpeculativeBpe(file))
 
 
 def encode_decode(docs: DataFrame, name: str = VOCABULARY, path: str | None = None, digests: bool = False) -> DataFrame:

@@ -30,7 +30,6 @@ from .common import batches, cut, read, ship, texts
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 CAPACITY, SLACK, FAN = 2048, 0.02, 64
 
-_WORKER: dict[str, tokens.ChunkCache] = {}
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
     ("class", pa.int64()), ("worker", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
@@ -57,7 +56,7 @@ def tokenized_pieces(docs: DataFrame, name: str = VOCABULARY, path: str | None =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = tokens.vocabulary_path(name, path)
-        ids_of = _WORKER.setdefault(file, tokens.ChunkCache(tokens.ids_of_words(file)))
+        ids_of = tokens.worker_cache(f"ids of {file}", lambda: tokens.ids_of_words(file))
         worker, filled = TaskContext.get().partitionId(), 0
         waiting: dict[int, list[tuple]] = {}
         for b in it:

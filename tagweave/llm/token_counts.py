@@ -25,8 +25,6 @@ VOCABULARY = "byte_bpe_50k.json"
 SAMPLE_DOCS, TABLE_SIZE = 4096, 65_536
 LIMIT = 1024
 
-_WORKER: dict[str, tokens.ChunkCache] = {}
-
 
 def _lengths(path: str):
     t = tokens.tokenizer(path)
@@ -57,7 +55,7 @@ def count_tokens(docs: DataFrame, name: str = VOCABULARY, path: str | None = Non
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = tokens.vocabulary_path(name, path)
-        misses = _WORKER.setdefault(file, tokens.ChunkCache(_lengths(file)))
+        misses = tokens.worker_cache(f"lengths of {file}", lambda: _lengths(file))
         first = table.value
         for b in it:
             sizes, counts = [], []

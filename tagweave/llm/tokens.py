@@ -1,7 +1,7 @@
 """Tokenizers of public vocabulary files, applied through caches of independent chunks of text.
 
 A chunk is a piece of a text whose tokens do not depend on what stands around it, so a text's tokens are those of its
-chunks in order. Each Python worker keeps one bounded cache per use, which tasks that follow find filled.
+chunks in order. Each Python worker keeps one bounded cache, which tasks that follow find filled.
 """
 
 from __future__ import annotations
@@ -92,6 +92,17 @@ class ChunkCache:
         return out
 
 
+_ACTIVE: dict[str, ChunkCache] = {}
+
+
+def worker_cache(use: str, make: Callable[[], Callable[[list[bytes]], list]]) -> ChunkCache:
+    """The worker's cache for one use. A worker that goes on to another use drops the cache it had, so it holds one at most."""
+    if use not in _ACTIVE:
+        _ACTIVE.clear()
+        _ACTIVE[use] = ChunkCache(make())
+    return _ACTIVE[use]
+
+
 def ids_of_words(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """The ids of white-space chunks as little-endian unsigned 32-bit integers."""
     t = tokenizer(path)
