@@ -10,8 +10,9 @@ threshold t only shingles whose places differ by at most max(n, m) - ceil(t (n +
 within that band is exact.
 
 Documents with equal words are one node. Each bucket of candidates is first compared along a star, every node with the
-bucket's least one; nodes that are not in one component after that are compared with each other, all of them, bucket by
-bucket. So the work stays linear in a group of near copies of one text, and no link between two components is left out.
+bucket's least one, then around one outside its largest component. Buckets whose nodes are in several components after that are open: of all pairs of nodes of open
+buckets in different components, a prefix join finds those that can reach the threshold, and these are verified too. So a
+large group of near copies is not compared pair by pair, and no link between two components is left out.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -34,9 +35,12 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, REPEATS = 3, 20
+#: Further star rounds before the prefix join; they save work and change no result.
+STAR_ROUNDS = 1
+#: Lengths of one class differ by at most this factor.
+CLASS_WIDTH = 1.02
 
 _WORD = re.compile(r"\w+")
-_WORKER: dict[int, tokens.ChunkCache] = {}
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _CELLS = 1 << 21  # shingles times repeats that are hashed at once
 
@@ -46,7 +50,7 @@ def _hashed(chunks: list[bytes]) -> list[bytes]:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    cache = _WORKER.setdefault(0, tokens.ChunkCache(_hashed))
+    cache = tokens.worker_cache("shingle words", lambda: _hashed)
     return np.frombuffer(b"".join(cache(raw.split())), np.uint64)
 
 
@@ -162,7 +166,60 @@ def verified(pairs: DataFrame, candidates: DataFrame, least: float = SIMILARITY,
     return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, sample: int = SAMPLE, repeats: int = REPEATS) -> DataFrame:
+def across_components(open_: DataFrame, candidates: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """All pairs (a, b) of open nodes (node, component) of different components that can be similar enough, by a prefix join.
+
+    Shingles are ordered by how many open nodes have them, rare ones first. Two nodes of n and m shingles that share k =
+    ceil(t (n + m) / (1 + t)) of them share one of the first n - k + 1 of the one and the first m - k + 1 of the other. The longer node asks
+    with a prefix for each class of lengths that the shorter one can have. A node that is not similar to the text that a large group has
+    in common differs from it in more shingles than its prefix is long, so it meets only nodes that share its own rare ones.
+    Of the nodes with a shingle those of the component that most of them are in are never joined with each other.
+    """
+    schema = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [labelled_shingles(word_hashes(t), shingle).view(np.int64) for t in texts(b)]
+            yield batches({"node": b.column(0).to_pylist(), "component": b.column(1).to_pylist(), "n": list(map(len, rows)), "tokens": rows}, schema)
+
+    shingles = cut(candidates.join(open_, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n int, tokens array<long>"))
+    each = shingles.select("node", "component", "n", F.explode("tokens").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    # shingles of one node alone come first in its order and match nothing: their number is enough
+    known = each.join(common, "token")
+    mine = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "token"))
+    ordered = known.withColumn("place", place)
+
+    def needed(n: Column, m: Column) -> Column:
+        return F.ceil(least / (1 + least) * (n + m) - 1e-9)
+
+    def length_class(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / log(CLASS_WIDTH)).cast("int")
+
+    # a shingle that one component alone has matches nothing either, but keeps its place
+    first = cut(ordered.where((F.col("lo") < F.col("hi")) & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)).select("node", "component", "n", "token", "place"))
+    given = first.where(F.col("place") <= F.col("n") - needed(F.col("n"), F.col("n")) + 1).select("node", "component", "n", "token", "place", length_class(F.col("n")).alias("class"))
+    classes_ = F.sequence(length_class(F.ceil(least * F.col("n") - 1e-9)), length_class(F.col("n")))
+    shortest = F.floor(F.pow(F.lit(CLASS_WIDTH), F.col("class")) - 1e-9)
+    asked = first.select("node", "component", "n", "token", "place", F.explode(classes_).alias("class")).where(F.col("place") <= F.col("n") - needed(F.col("n"), shortest) + 1)
+    sides = cut(given.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))))
+    counts = sides.groupBy("token", "class", "component").agg(F.count("*").alias("k"))
+    most = counts.groupBy("token", "class").agg(F.max_by("component", "k").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    live = cut(sides.join(most, ["token", "class"]))
+    out = None
+    for asks in (False, True):
+        few = live.where((F.col("component") != F.col("most")) & (F.col("asks") == asks)).select("token", "class", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("n").alias("n_x"), F.col("place").alias("p_x"))
+        all_ = live.where(F.col("asks") != asks).select("token", "class", F.col("node").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("n_y"), F.col("place").alias("p_y"))
+        fits = (F.col("n_x") >= F.col("n_y")) if asks else (F.col("n_y") >= F.col("n_x"))
+        # at their first common shingle a pair must still be able to share as many as it needs
+        rest = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) + 1 >= needed(F.col("n_x"), F.col("n_y"))
+        found = few.join(all_, ["token", "class"]).where(fits & rest & (F.col("of_x") != F.col("of_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, sample: int = SAMPLE, repeats: int = REPEATS, rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id and class_id of each row: the least doc_id of the documents that links of similarity `least` or more join.
 
     Defined cases: rows of equal words are one class; a text that is null or has no word, and a row without doc_id, is compared with
@@ -181,17 +238,32 @@ def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     plain = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("text is not null")
     candidates = cut(plain.join(wanted, "node").groupBy("node", F.xxhash64("text").alias("kind")).agg(F.first("text").alias("text")).drop("kind"))
     links = cut(verified(star, candidates, least, shingle))
+    tried = star
+
+    def now() -> DataFrame:
+        """The members of buckets with their component as far as it is known."""
+        found = cut(components(links))
+        return cut(members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
+
+    # stars once more, around the node outside each bucket's largest component that meets most others
+    placed = now()
+    for _ in range(rounds):
+        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+        most = sizes.groupBy("bucket").agg(F.max_by("component", "k").alias("most"), F.count("*").alias("kinds"), F.sum("k").alias("size")).where("kinds > 1").drop("kinds")
+        live = cut(placed.join(most, "bucket"))
+        meets = live.groupBy("node").agg(F.sum("size").alias("meets"))
+        hubs = live.where("component <> most").join(meets, "node").groupBy("bucket").agg(*(F.max_by(c, F.struct("meets", "node")).alias(f"hub_{c}") for c in ("node", "n", "component")))
+        rays = live.join(hubs, "bucket").where((F.col("component") != F.col("hub_component")) & (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")))
+        pairs = rays.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+        more = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        links = cut(links.unionByName(verified(more, candidates, least, shingle)))
+        tried = tried.unionByName(more)
+        placed = now()
 
     # what the stars leave open: buckets whose nodes are in several components
-    found = cut(components(links))
-    placed = members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = cut(placed.join(split, "bucket"))
-    x = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    across = x.join(y, "bucket").where((F.col("of_a") < F.col("of_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")))
-    rest = across.select("a", "b").distinct()
-    tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    open_ = cut(placed.join(split, "bucket", "left_semi").select("node", "component").distinct())
+    rest = across_components(open_, candidates, least, shingle)
     more = verified(cut(rest.join(tried, ["a", "b"], "left_anti")), candidates, least, shingle)
     where = cut(components(links.unionByName(more)))
 
