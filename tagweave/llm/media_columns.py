@@ -1,7 +1,7 @@
 """Media columns: texts stored as 8-bit WAV files in content-defined chunks, rebuilt from deduplicated chunks.
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of a mono 8-bit WAV file. The header is the
-first chunk; the samples are cut where a gear hash of the last 32 bytes has 12 leading zero bits, at least MIN_CHUNK
+first chunk; the samples are cut where a gear hash of the last 32 bytes has 13 leading zero bits, at least MIN_CHUNK
 and at most MAX_CHUNK bytes apart, so equal passages give equal chunks wherever they stand. A document keeps the
 ordered list of its chunks' digests; each digest's bytes are kept once, compressed. Spark joins lists and chunks, each file
 is put together in order, read as WAV, and held against the digests of its chunks and of its text.
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, read, ship, texts
 
-MIN_CHUNK, MAX_CHUNK, ZERO_BITS, WINDOW = 512, 16_384, 12, 32
+MIN_CHUNK, MAX_CHUNK, ZERO_BITS, WINDOW = 1024, 32_768, 13, 32
 RATE, HEADER = 8000, 44
-LEVEL, SAMPLE_DOCS, DICTIONARY_BYTES = 6, 2048, 65_536
+LEVEL, SAMPLE_DOCS, DICTIONARY_BYTES = 15, 4096, 112_640
 _BLOCK = 1 << 20
 #: Digests that a task remembers so as to send a chunk's bytes once.
 _REMEMBERED = 1 << 20
@@ -117,7 +117,7 @@ def store(docs: DataFrame, words: bytes) -> DataFrame:
     schema = pa.schema([("digest", pa.binary()), ("packed", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
+        pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
         seen: set[bytes] = set()
         for b in it:
             keys, packed = [], []
@@ -135,7 +135,7 @@ def store(docs: DataFrame, words: bytes) -> DataFrame:
     return docs.mapInArrow(run, "digest binary, packed binary").dropDuplicates(["digest"])
 
 
-_FILE = "text_digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FILE = "text_digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
@@ -151,7 +151,7 @@ def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
             payload = w.readframes(w.getnframes())
         if digest(payload[:n_bytes]) != key or payload != payload_of(payload[:n_bytes]):
             raise ValueError(f"the media rebuilt for text {key.hex()} is not that text")
-        return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)
+        return key, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest(), features(payload)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
@@ -182,7 +182,8 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     places = listed.select("text_digest", "n_bytes", F.posexplode("chunks").alias("seq", "digest")).distinct()
     found = places.join(store(plain, words), "digest")
     files = rebuilt(found.repartition("text_digest").sortWithinPartitions("text_digest", "seq"), words)
-    return listed.select("doc_id", "text_digest", "n_bytes").join(files, "text_digest").drop("text_digest")
+    out = listed.select("doc_id", "text_digest", "n_bytes").join(files, "text_digest").drop("text_digest")
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
