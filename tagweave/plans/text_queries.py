@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import excerpts
@@ -13,7 +15,7 @@ from ..operators import flatten as P
 from ..operators import rerank as K
 from ..operators import tfidf as T
 from ..sources import documents as S
-from .base import RECORDS, query, records, table
+from .base import ORACLES, RECORDS, query, records, table
 from .shared import scratch as _scratch
 
 STOP = ("the", "and", "of", "to", "in", "is", "that", "on", "for", "with", "it", "as")
@@ -249,11 +251,13 @@ _TOPICS = "list_concat(" + ", ".join(f"case when {_hit(w)} then {_list(g)} else
 # words of the rules, dealt to the texts so that the rules have something to find
 _SALT = ("essay on the civil war", "grade 7 ratio and budget", "ancient egypt timeline", "DNA and evolution in high school", "plain words", "reflection", "submit your file name", "weather and the food web, 5th grade", "World War and the Cold War", "theme of romeo; cite evidence")
 _SALTED = "salted as (select doc_id, left(text, 200) || ' ' || " + _list(_SALT) + "[1 + doc_id % 10] || '.' as text from documents)"
+_SALTED_WHOLE = _SALTED.replace("left(text, 200)", "text")
 
 
-def _salted(s, d):
+def _salted(s, d, whole=False):
+    """Texts with a dealt phrase at the end: the first 200 characters, as the SQL of f3 to f9 has them, or the whole text."""
     salt = F.element_at(F.array(*map(F.lit, _SALT)), (F.col("doc_id") % 10 + 1).cast("int"))
-    return table(s, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" "), salt, F.lit(".")).alias("text"))
+    return table(s, d, "documents").select("doc_id", F.concat(F.col("text") if whole else F.substring("text", 1, 200), F.lit(" "), salt, F.lit(".")).alias("text"))
 
 
 @query("f1_detect_subjects", "select doc_id, case when s = '' then 'ela' else s end as subjects from (select doc_id, concat_ws(',', " + ", ".join(f"case when {_hit(R.SUBJECT_WORDS[x])} then '{x}' end" for x in R.SUBJECTS) + ") as s from documents)")
@@ -267,18 +271,18 @@ def f2(s, d):
 
 
 @query("f3_infer_grades", f"with {_SALTED} select doc_id, array_to_string({_level('ela')}, ',') as ela, array_to_string({_level('math')}, ',') as math from salted")
-def f3(s, d):
-    return _salted(s, d).select("doc_id", F.array_join(R.infer_grades_ela("text"), ",").alias("ela"), F.array_join(R.infer_grades_math("text"), ",").alias("math"))
+def f3(s, d, whole=False):
+    return _salted(s, d, whole).select("doc_id", F.array_join(R.infer_grades_ela("text"), ",").alias("ela"), F.array_join(R.infer_grades_math("text"), ",").alias("math"))
 
 
 @query("f4_infer_grades_history", f"with {_SALTED} select doc_id, array_to_string(list_sort(list_distinct(case when len(e) > 0 then e else l end)), ',') as grades from (select doc_id, {_ERAS} as e, {_level('history')} as l from salted)")
-def f4(s, d):
-    return _salted(s, d).select("doc_id", F.array_join(F.array_sort(R.infer_grades_history("text")), ",").alias("grades"))
+def f4(s, d, whole=False):
+    return _salted(s, d, whole).select("doc_id", F.array_join(F.array_sort(R.infer_grades_history("text")), ",").alias("grades"))
 
 
 @query("f5_infer_grades_science", f"with {_SALTED} select doc_id, array_to_string(list_sort(list_distinct({_TOPICS})), ',') as grades from salted")
-def f5(s, d):
-    return _salted(s, d).select("doc_id", F.array_join(F.array_sort(R.infer_grades_science("text")), ",").alias("grades"))
+def f5(s, d, whole=False):
+    return _salted(s, d, whole).select("doc_id", F.array_join(F.array_sort(R.infer_grades_science("text")), ",").alias("grades"))
 
 
 def _rules_sql(subject: str) -> str:
@@ -287,8 +291,8 @@ def _rules_sql(subject: str) -> str:
 
 
 @query("f6_match_rules", f"with {_SALTED} select doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct({_rules_sql(x)})), ',') as {x}" for x in R.SUBJECTS) + " from salted")
-def f6(s, d):
-    return _salted(s, d).select("doc_id", *(F.array_join(F.array_sort(R.match_rules("text", x)["boosts"]), ",").alias(x) for x in R.SUBJECTS))
+def f6(s, d, whole=False):
+    return _salted(s, d, whole).select("doc_id", *(F.array_join(F.array_sort(R.match_rules("text", x)["boosts"]), ",").alias(x) for x in R.SUBJECTS))
 
 
 def _ascii(words: str) -> str:
@@ -301,14 +305,14 @@ _SCOPE = f"""case when kind in ('ai', 'ai_assistant', 'teacher') or audience = '
 _SCOPED = _SALTED + ", scoped as (select doc_id, case when doc_id % 7 = 0 then 'insert ' || text else text end as text, case doc_id % 5 when 0 then 'teacher' when 1 then 'platform' else 'task' end as kind, case when doc_id % 11 = 0 then 'teacher' else '' end as audience from salted)"
 
 
-def _scoped(s, d):
+def _scoped(s, d, whole=False):
     k = F.col("doc_id")
-    return _salted(s, d).select("doc_id", F.when(k % 7 == 0, F.concat(F.lit("insert "), "text")).otherwise(F.col("text")).alias("text"), F.when(k % 5 == 0, "teacher").when(k % 5 == 1, "platform").otherwise("task").alias("kind"), F.when(k % 11 == 0, "teacher").otherwise("").alias("audience"))
+    return _salted(s, d, whole).select("doc_id", F.when(k % 7 == 0, F.concat(F.lit("insert "), "text")).otherwise(F.col("text")).alias("text"), F.when(k % 5 == 0, "teacher").when(k % 5 == 1, "platform").otherwise("task").alias("kind"), F.when(k % 11 == 0, "teacher").otherwise("").alias("audience"))
 
 
 @query("f7_counts_toward_coverage", f"with {_SCOPED} select doc_id, {_SCOPE} as counts from scoped")
-def f7(s, d):
-    return _scoped(s, d).select("doc_id", R.counts_toward_coverage("kind", "audience", "text").alias("counts"))
+def f7(s, d, whole=False):
+    return _scoped(s, d, whole).select("doc_id", R.counts_toward_coverage("kind", "audience", "text").alias("counts"))
 
 
 @query("f8_shows_in_report", f"with {_SCOPED} select doc_id from scoped where {_SCOPE} and doc_id % 2 = 0")
@@ -321,11 +325,16 @@ _SKIP = f"""case when regexp_matches(title, '(?i)^\\s*([A-Za-z0-9 /&-]*(^|[^A-Za
 
 
 @query("f9_skip_reason", f"with {_SALTED}, t as (select doc_id, text, {_list(_SALT)}[1 + doc_id % 10] as title from salted) select doc_id, {_SKIP} as reason from t")
-def f9(s, d):
-    t = _salted(s, d).withColumn("title", F.element_at(F.array(*map(F.lit, _SALT)), (F.col("doc_id") % 10 + 1).cast("int")))
+def f9(s, d, whole=False):
+    t = _salted(s, d, whole).withColumn("title", F.element_at(F.array(*map(F.lit, _SALT)), (F.col("doc_id") % 10 + 1).cast("int")))
     return t.select("doc_id", R.skip_reason("title", "text", (F.col("doc_id") % 10) / 26.0).alias("reason"))
 
 
+# the same rules over whole texts
+for _name, _rule in {"f3_infer_grades": f3, "f4_infer_grades_history": f4, "f5_infer_grades_science": f5, "f6_match_rules": f6, "f7_counts_toward_coverage": f7, "f9_skip_reason": f9}.items():
+    query(f"{_name}_whole", ORACLES[_name].replace(_SALTED, _SALTED_WHOLE))(partial(_rule, whole=True))
+
+
 # retrieval
 
 _GRAMS = rf"""w as (select id, corpus, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: not list_contains({_STOPS}, x)) as l from (select doc_id as id, 0 as corpus, text from documents union all select item_id, 1, text from benchmark)),
