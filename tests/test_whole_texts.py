@@ -32,3 +32,36 @@ def test_rules_see_the_end(spark, docs, name, column, doc, want):
     got = {r.doc_id: r[column] for r in QUERIES[f"{name}_whole"](spark, docs).collect()}
     assert got[doc] == want and got[64] != want and len(got) == 6
     assert {r.doc_id: r[column] for r in QUERIES[name](spark, docs).collect()}[doc] != want
+
+
+def test_all_lines_are_walked(spark, tmp_path):
+    lines = [f"Line{k} " + "word " * 20 + f"end{k}" for k in range(100)]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "Only one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["g11_walk_clusters"](spark, str(tmp_path)).collect()
+    assert [r.text for r in rows if r.doc_id == "2"] == ["Only one"]
+    got = {r.text for r in rows} | {r.cluster for r in rows}
+    assert all(x in got or f"Represent {x.lower()}." in got for x in lines)
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("benchmark"))
+    texts = {k: f"Begin{k} " + "some words " * 12 + "Science\nand more." for k in range(1, 6)}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, texts
+
+
+def test_coded_texts_are_whole(spark, benchmark):
+    d, texts = benchmark
+    flat = {k: " ".join(t.split()) for k, t in texts.items()}
+    body = {r.doc_id: r.body for r in QUERIES["g7_split_coded_text_whole"](spark, d).where("n = 1").collect()}
+    assert all(body[k].startswith(f"{t}* [Clarification") for k, t in flat.items())
+    assert {r.doc_id: r.statement for r in QUERIES["g8_split_annotations_whole"](spark, d).collect()} == flat
+    got = {r.doc_id: r.text for r in QUERIES["g9_derive_code_parts_whole"](spark, d).where("grade = 'HS'").collect()}
+    assert got == {k: f"{t} look {k}" for k, t in flat.items()}
+
+
+def test_numbered_items_hold_the_texts(spark, benchmark):
+    d, texts = benchmark
+    got = {(r.doc_id, r.number): r.item_text for r in QUERIES["g12_extract_numbered_whole"](spark, d).collect()}
+    assert got == {(k, 1): f"First {k} {t}" for k, t in texts.items()} | {(k, 2): f"Second item {k} {t} too" for k, t in texts.items()}
