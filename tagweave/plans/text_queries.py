@@ -202,8 +202,12 @@ def p15(s, d):
 
 
 @query("p18_parse_list", "with w as (select doc_id, string_split(left(text, 400), ',') as l from documents) select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(l, lambda x: lower(trim(x))), lambda x: x <> ''))), '|') as items from w")
-def p18(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(X.parse_list(F.substring("text", 1, 400), lower=True, distinct=True)), "|").alias("items"))
+def p18(s, d, whole=False):
+    return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(X.parse_list(F.col("text") if whole else F.substring("text", 1, 400), lower=True, distinct=True)), "|").alias("items"))
+
+
+# the same over whole texts; the SQL of p18 has a cut at 400 characters
+query("p18_parse_list_whole", ORACLES["p18_parse_list"].replace("left(text, 400)", "text"))(partial(p18, whole=True))
 
 
 @query("p19_parse_json_loose", "select event_id, case when event_id % 3 = 2 then null else cast(props->>'k' as integer) end as k from events")
@@ -222,7 +226,7 @@ def p20(s, d):
 def p21(s, d):
     c = table(s, d, "conversations")
     tags = c.select(F.col("conv_id").cast("string").alias("doc_id"), F.lit("p").alias("path"), F.col("turn").alias("ord"), F.col("text").alias("rationale"), F.lit("").alias("text"), F.lit("").alias("code"), F.when(F.col("turn") == 5, F.col("role")).alias("source_excerpt"))
-    texts = c.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.substring(x["text"], 1, 300)), "\n").alias("objective_text"))
+    texts = c.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("objective_text"))
     return excerpts.best_excerpt(tags.join(texts, "doc_id")).select("doc_id", "ord", "excerpt")
 
 

@@ -65,3 +65,18 @@ def test_numbered_items_hold_the_texts(spark, benchmark):
     d, texts = benchmark
     got = {(r.doc_id, r.number): r.item_text for r in QUERIES["g12_extract_numbered_whole"](spark, d).collect()}
     assert got == {(k, 1): f"First {k} {t}" for k, t in texts.items()} | {(k, 2): f"Second item {k} {t} too" for k, t in texts.items()}
+
+
+def test_lists_are_parsed_to_the_end(spark, tmp_path):
+    items = [f"Item number {k}" for k in range(60)]
+    spark.createDataFrame([(1, ", ".join(items))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["p18_parse_list_whole"](spark, str(tmp_path)).first()["items"].split("|") == sorted(x.lower() for x in items)
+
+
+def test_excerpts_come_from_whole_turns(spark, tmp_path):
+    """The helper's best chunk of the whole turn lies after its 300th character."""
+    best = "Photosynthesis feeds chlorophyll producers everywhere"
+    rows = [(1, 0, "user", "Some short filler sentence. " * 15 + best + "."), (1, 1, "assistant", "Photosynthesis feeds chlorophyll producers everywhere indeed")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.ord: r.excerpt for r in QUERIES["p21_best_excerpt"](spark, str(tmp_path)).collect()}
+    assert got[0] == f"{best}."
