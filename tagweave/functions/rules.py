@@ -419,6 +419,11 @@ def counts_toward_coverage(evaluation_type: Column | str, audience: Column | str
     return ~out
 
 
+def shows_in_report(evaluation_type: Column | str, audience: Column | str, tags: Column | str, *texts: Column | str) -> Column:
+    """Whether an objective counts toward coverage and has a tag."""
+    return counts_toward_coverage(evaluation_type, audience, *texts) & (F.coalesce(F.size(_c(tags)), F.lit(0)) > 0)
+
+
 def skip_reason(title: Column | str, context: Column | str, top_score: Column | str) -> Column:
     """`reflective`, `logistical` (only where the best score is under 0.35), or null."""
     name, top = F.trim(F.coalesce(_c(title), F.lit(""))), _c(top_score)

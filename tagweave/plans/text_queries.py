@@ -15,7 +15,7 @@ from ..operators import flatten as P
 from ..operators import rerank as K
 from ..operators import tfidf as T
 from ..sources import documents as S
-from .base import ORACLES, RECORDS, query, records, table
+from .base import ORACLES, RECORDS, TAGS, query, records, table, tags
 from .shared import scratch as _scratch
 
 STOP = ("the", "and", "of", "to", "in", "is", "that", "on", "for", "with", "it", "as")
@@ -324,6 +324,13 @@ def f8(s, d):
     return _scoped(s, d).where(R.counts_toward_coverage("kind", "audience", "text") & (F.col("doc_id") % 2 == 0)).select("doc_id")
 
 
+@query("f8_shows_in_report_tags", f"with {_SCOPED.replace(_SALTED, _SALTED_WHOLE)}, {TAGS} select doc_id, {_SCOPE} and doc_id in (select doc_id from tags) as shows from scoped")
+def f8_tags(s, d):
+    """All documents, whole, with the tags that the stand-in gives them; f8_shows_in_report has a filter on ids in its SQL."""
+    tagged = tags(s, d).groupBy("doc_id").agg(F.collect_list("code").alias("tags"))
+    return _scoped(s, d, whole=True).join(tagged, "doc_id", "left").select("doc_id", R.shows_in_report("kind", "audience", "tags", "text").alias("shows"))
+
+
 _SKIP = f"""case when regexp_matches(title, '(?i)^\\s*([A-Za-z0-9 /&-]*(^|[^A-Za-z0-9_]))?(reflection|reflect on|metacognit|takeaways?|what did you learn|ai (prompt|reflection|critical thinking))\\s*\\d*\\s*$') then 'reflective'
     when {_hit(R.LOGISTICS_CONTEXT)} and doc_id % 10 < 9 then 'logistical' end"""
 

@@ -1,7 +1,9 @@
 """Queries named _whole read texts to their end, past the cuts of the queries whose SQL has one."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tagweave.functions import rules
 from tagweave.plans import registry
 
 QUERIES = registry.queries()
@@ -80,3 +82,9 @@ def test_excerpts_come_from_whole_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.ord: r.excerpt for r in QUERIES["p21_best_excerpt"](spark, str(tmp_path)).collect()}
     assert got[0] == f"{best}."
+
+
+def test_shows_in_report_needs_a_tag(spark):
+    rows = [(1, "task", ["a"], "write", True), (2, "task", [], "write", False), (3, "task", None, "write", False), (4, "teacher", ["a"], "write", False), (5, "task", ["a"], "rename your file", False)]
+    df = spark.createDataFrame(rows, "id int, kind string, tags array<string>, text string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", rules.shows_in_report("kind", F.lit(""), "tags", "text").alias("got")).collect())
