@@ -1,6 +1,6 @@
 """Retrieval of taxonomy records by TF-IDF cosine similarity.
 
-Every job keeps `subject` in its keys where the input has it: each subject is a corpus of its own.
+Every job takes grouping columns `by`, such as subject: each group is a corpus of its own, with its own size, idf and lists.
 """
 
 from __future__ import annotations
@@ -15,34 +15,43 @@ from ..functions.text import ngrams
 TOP_K = 15
 
 
-def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
+def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """One row per (key, term) with the term's count; all terms of a key are in one partition, so what follows by key needs no shuffle."""
-    return df.select(key, text).repartition(key).select(key, F.explode(ngrams(text, stop_words)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    keys = [*by, key]
+    return df.select(*keys, text).repartition(*keys).select(*keys, F.explode(ngrams(text, stop_words)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def _unit(weighted: DataFrame, key: str) -> DataFrame:
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))
+def _unit(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return weighted.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
-def fit_tfidf(corpus: DataFrame, key: str = "record_id", text: str = "text", stop_words: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def fit_tfidf(corpus: DataFrame, key: str = "record_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(postings, idf): tf 1 + ln(tf), smooth idf ln((1 + N) / (1 + df)) + 1, rows of unit length."""
-    counts = term_counts(corpus, key, text, stop_words)
-    total = corpus.agg(F.count("*")).scalar()
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    return _unit(counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), key), idf
+    keys = [*by, key]
+    counts = term_counts(corpus, key, text, stop_words, by)
+    df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    if by:
+        df, total = df.join(corpus.groupBy(*by).agg(F.count("*").alias("total")), [*by]), F.col("total")
+    else:
+        total = corpus.agg(F.count("*")).scalar()
+    idf = df.select(*by, "term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
+    return _unit(counts.join(idf, [*by, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys), idf
 
 
-def transform_tfidf(queries: DataFrame, idf: DataFrame, key: str = "query_id", text: str = "text", stop_words: Sequence[str] = ()) -> DataFrame:
-    """Unit rows of the queries under a fitted idf; terms that the corpus does not have are dropped before the norm."""
-    counts = term_counts(queries, key, text, stop_words)
-    return _unit(counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), key)
+def transform_tfidf(queries: DataFrame, idf: DataFrame, key: str = "query_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Unit rows of the queries under a fitted idf; terms that the corpus does not have are dropped before the norm.
 
+    Queries without the columns of `by` are asked in every group: their terms are counted once and weighed in each."""
+    keys, own = [*by, key], [c for c in by if c in queries.columns]
+    counts = term_counts(queries, key, text, stop_words, own)
+    return _unit(counts.join(idf, [*own, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys)
 
-def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "query_id", key: str = "record_id") -> DataFrame:
+
+def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "query_id", key: str = "record_id", by: Sequence[str] = ()) -> DataFrame:
     """Similarity of each query and record that share a term."""
-    other = postings.select(key, "term", F.col("weight").alias("record_weight"))
-    return queries.join(other, "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
+    other = postings.select(*by, key, "term", F.col("weight").alias("record_weight"))
+    return queries.join(other, [*by, "term"]).groupBy(*by, query_key, key).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = TOP_K) -> DataFrame:
@@ -50,20 +59,32 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int =
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def pad_zero(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord") -> DataFrame:
+def pad_zero(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
     """Makes each query's list k rows long with records of score 0, in corpus order. At most the first 2k records can be needed."""
-    first = corpus.orderBy(order).limit(2 * k).agg(F.collect_list(F.struct(order, key)).alias("first"))
-    have = found.groupBy(query_key).agg(F.collect_set(key).alias("have"), F.count("*").alias("n"))
-    short = queries.select(query_key).join(have, query_key, "left").where(F.coalesce("n", F.lit(0)) < k)
-    spare = short.select(query_key, "have", F.explode(F.sort_array(first.scalar())).alias("r")).select(query_key, "have", f"r.{key}", f"r.{order}")
-    spare = spare.where(~F.array_contains(F.coalesce("have", F.array().cast(have.schema["have"].dataType)), F.col(key))).select(query_key, key, F.lit(0.0).alias("score"), order)
-    return top_k(found.select(query_key, key, "score", order).unionByName(spare), [query_key], [F.desc("score"), F.asc(order)], k)
-
-
-def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), digits: int = 9) -> DataFrame:
-    """The k best records of each query; scores are rounded before ranking so that ties fall in corpus order. `corpus` has key, order and text."""
-    postings, idf = fit_tfidf(corpus, key, "text", stop_words)
-    scores = cosine_scores(transform_tfidf(queries, idf, query_key, "text", stop_words), postings, query_key, key)
-    named = scores.withColumn("score", F.round("score", digits)).join(corpus.select(key, order), key)
-    best = top_k(named, [query_key], [F.desc("score"), F.asc(order)], k)
-    return pad_zero(best, queries, corpus, k, query_key, key, order)
+    keys = [*by, query_key]
+    have = found.groupBy(*keys).agg(F.collect_set(key).alias("have"), F.count("*").alias("n"))
+    asked = queries.select(*(c for c in keys if c in queries.columns))
+    if missing := [c for c in by if c not in queries.columns]:
+        own = [c for c in by if c not in missing]
+        groups = corpus.select(*by).distinct()
+        asked = asked.join(groups, own) if own else asked.crossJoin(groups)
+    short = asked.join(have, keys, "left").where(F.coalesce("n", F.lit(0)) < k)
+    if by:
+        first = top_k(corpus.select(*by, order, key), by, [F.asc(order)], 2 * k).groupBy(*by).agg(F.collect_list(F.struct(order, key)).alias("first"))
+        short, records = short.join(first, [*by]), F.col("first")
+    else:
+        records = corpus.orderBy(order).limit(2 * k).agg(F.collect_list(F.struct(order, key)).alias("first")).scalar()
+    spare = short.select(*keys, "have", F.explode(F.sort_array(records)).alias("r")).select(*keys, "have", f"r.{key}", f"r.{order}")
+    spare = spare.where(~F.array_contains(F.coalesce("have", F.array().cast(have.schema["have"].dataType)), F.col(key))).select(*keys, key, F.lit(0.0).alias("score"), order)
+    return top_k(found.select(*keys, key, "score", order).unionByName(spare), keys, [F.desc("score"), F.asc(order)], k)
+
+
+def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), digits: int = 9, by: Sequence[str] = ()) -> DataFrame:
+    """The k best records of each query, in each group of `by` that it is asked in; scores are rounded before ranking so that ties fall in corpus order.
+
+    `corpus` has key, order and text, `queries` key and text; `corpus` has the columns of `by`, and queries without them are asked in every group."""
+    postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
+    scores = cosine_scores(transform_tfidf(queries, idf, query_key, "text", stop_words, by), postings, query_key, key, by)
+    named = scores.withColumn("score", F.round("score", digits)).join(corpus.select(*by, key, order), [*by, key])
+    best = top_k(named, [*by, query_key], [F.desc("score"), F.asc(order)], k)
+    return pad_zero(best, queries, corpus, k, query_key, key, order, by)

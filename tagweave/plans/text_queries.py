@@ -403,6 +403,25 @@ def r7(s, d):
     return T.shortlist(q, c, 2, stop_words=STOP).join(c.select("record_id", F.col("text").alias("record_text")), "record_id").select("query_id", F.col("rank").cast("long").alias("rank"), "record_text")
 
 
+_R8 = rf"""w as (select id, corpus, subject, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: not list_contains({_STOPS}, x)) as l
+    from (select doc_id as id, 0 as corpus, unnest({_list(R.SUBJECTS)}) as subject, text from documents union all select item_id, 1, {_list(R.SUBJECTS)}[1 + item_id % 4], text from benchmark)),
+    g as (select id, corpus, subject, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) as term from w), tf as (select id, corpus, subject, term, count(*) as tf from g group by all),
+    n as (select subject, count(*) as n from w where corpus = 1 group by 1), idf as (select subject, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 as idf from tf join n using (subject) where corpus = 1 group by 1, 2),
+    x as (select id, corpus, subject, term, (1 + ln(tf)) * idf as w from tf join idf using (subject, term)), u as (select id, corpus, subject, term, w / sqrt(sum(w * w) over (partition by id, corpus, subject)) as weight from x),
+    sc as (select subject, q.id as query_id, c.id as record_id, sum(q.weight * c.weight) as score from (select * from u where corpus = 0) q join (select * from u where corpus = 1) c using (subject, term) group by all),
+    pad as (select b.subject as subject, doc_id as query_id, item_id as record_id, round(coalesce(score, 0), 9) as score from documents cross join (select item_id, {_list(R.SUBJECTS)}[1 + item_id % 4] as subject from benchmark) b left join sc on sc.subject = b.subject and query_id = doc_id and record_id = item_id)"""
+
+
+@query("r8_shortlist_subjects", f"with {_R8} select b_subject as subject, query_id, record_id, round(score, 6) as score, rank, 'tfidf' as method, 15 as top_k from (select subject as b_subject, query_id, record_id, score, row_number() over (partition by subject, query_id order by score desc, record_id) as rank from pad qualify rank <= 15)")
+def r8(s, d):
+    """All documents in all subjects; a record's subject is dealt by its id, and each subject is a corpus of its own."""
+    q, c = _sides(s, d)
+    subjects = F.array(*map(F.lit, R.SUBJECTS))
+    c = c.withColumn("subject", F.element_at(subjects, (F.col("record_id") % 4 + 1).cast("int")))
+    best = T.shortlist(q, c, T.TOP_K, stop_words=STOP, by=["subject"])
+    return best.select("subject", "query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.lit("tfidf").alias("method"), F.lit(T.TOP_K).alias("top_k"))
+
+
 # reranking
 
 _CANDS = """cands as (select *, row_number() over (partition by doc_id order by a, b, c, e) as rank from (select l_orderkey as doc_id, l_linenumber as a, l_partkey as b, l_suppkey as c, l_extendedprice as e, round(l_discount * 5, 2) as score, l_partkey as k from lineitem)),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import rules
+from tagweave.operators import tfidf
 from tagweave.plans import registry
 
 QUERIES = registry.queries()
@@ -88,3 +89,20 @@ def test_shows_in_report_needs_a_tag(spark):
     rows = [(1, "task", ["a"], "write", True), (2, "task", [], "write", False), (3, "task", None, "write", False), (4, "teacher", ["a"], "write", False), (5, "task", ["a"], "rename your file", False)]
     df = spark.createDataFrame(rows, "id int, kind string, tags array<string>, text string, want boolean")
     assert all(r.got == r.want for r in df.select("want", rules.shows_in_report("kind", F.lit(""), "tags", "text").alias("got")).collect())
+
+
+def test_each_subject_is_a_corpus(spark):
+    """Lists of several subjects at once equal those of each subject alone, with k records in each."""
+    records = [(s, f"{s}{k}", k, t) for s, texts in {"ela": ["red fox", "red hen", "old dog"], "math": ["red sum", "blue sum", "fox"]}.items() for k, t in enumerate(texts)]
+    corpus = spark.createDataFrame(records, "subject string, record_id string, ord int, text string")
+    queries = spark.createDataFrame([(q, s, t) for q, t in enumerate(["red fox sum", "none at all"]) for s in ("ela", "math")], "query_id int, subject string, text string")
+
+    def rows(df):
+        return {(r.query_id, r.rank): (r.record_id, round(r.score, 9)) for r in df.collect()}
+
+    both = tfidf.shortlist(queries, corpus, 2, by=["subject"])
+    everywhere = tfidf.shortlist(queries.select("query_id", "text").distinct(), corpus, 2, by=["subject"])
+    assert sorted(both.collect()) == sorted(everywhere.select(*both.columns).collect())
+    for s in ("ela", "math"):
+        alone = tfidf.shortlist(queries.where(F.col("subject") == s), corpus.where(F.col("subject") == s), 2)
+        assert rows(both.where(F.col("subject") == s)) == rows(alone) and len(rows(alone)) == 4
