@@ -60,6 +60,13 @@ def drop(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def slices(batches_: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a step makes of one stays small."""
+    for b in batches_:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column; null reads as empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

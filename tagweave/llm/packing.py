@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches, cut, read, ship, texts
+from .common import batches, cut, read, ship, slices
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 CAPACITY, SLACK, FAN = 2048, 0.02, 64
@@ -59,10 +59,16 @@ def tokenized_pieces(docs: DataFrame, name: str = VOCABULARY, path: str | None =
         ids_of = tokens.worker_cache(f"ids of {file}", lambda: tokens.ids_of_words(file))
         worker, filled = TaskContext.get().partitionId(), 0
         waiting: dict[int, list[tuple]] = {}
-        for b in it:
+        for b in slices(it):
             done: list[tuple] = []
-            for doc_id, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                ids = b"".join(ids_of(tokens.by_white_space(t))) + end
+            parts: list[list[bytes]] = [[] for _ in range(b.num_rows)]
+            for block in tokens.word_blocks(b.column(1), tokens.splits_words(file)):
+                known = ids_of(block.words)
+                for k, first, to in block.spans:
+                    parts[k].append(b"".join(map(known.__getitem__, block.places[first:to])))
+            for k, doc_id in enumerate(b.column(0).to_pylist()):
+                ids = b"".join([*parts[k], end])
+                parts[k] = []
                 n = len(ids) // 4
                 full, rest = divmod(n, capacity)
                 at = 0

@@ -6,18 +6,25 @@ chunks in order. Each Python worker keeps one bounded cache, which tasks that fo
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Entries that a worker's cache holds at most before it starts anew (about 150 bytes each).
-CACHE_ENTRIES = 600_000
+#: Entries that a worker's cache holds at most, both generations together, but for one call's (about 150 bytes each).
+CACHE_ENTRIES = 800_000
 #: A chunk longer than this is encoded, but not kept.
 CACHED_BYTES = 64
 
@@ -50,6 +57,83 @@ def by_white_space(raw: bytes) -> list[bytes]:
     return raw.split()
 
 
+#: Texts of these characters alone, without special tokens, are split by _SPLIT as by the vocabulary file: they are in
+#: normal form C, and what is neither letter nor digit nor white space among them is a mark to it.
+_NOT_PLAIN = r"[^\t\n\r -~À-ÖØ-öø-ÿ“”‘’–—…«»¿¡€]|<\|"
+_LETTERS = "a-zß-öø-ÿ"
+_SPLIT = rf"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s0-9{_LETTERS}]+)"
+#: Words of letters alone, in lower case.
+LETTERS_ALONE = re.compile(f"[{_LETTERS}]+")
+#: How a vocabulary file must normalise and split for that.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of text that are split at once.
+BLOCK = 16 << 20
+
+
+@lru_cache
+def splits_words(path: str) -> bool:
+    """Whether word_blocks() may split texts to lower-case words for this vocabulary file; else it splits them at white space."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    return spec["normalizer"] == _NORMALIZER and first.get("pattern") == {"Regex": _WORDS}
+
+
+@dataclass
+class Block:
+    """Texts as places of words: text k's words, or those of a part of it, are words[p] for p in places[first:end]."""
+
+    words: list[bytes]
+    places: list[int]
+    spans: list[tuple[int, int, int]]  # k, first, end
+
+
+def _split(owners: list[int], column: pa.Array) -> Block:
+    spaced = pc.replace_substring_regex(pc.utf8_lower(column), _SPLIT, r" \1 ")
+    rows = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+    coded = rows.flatten().dictionary_encode()
+    ends = rows.offsets.to_pylist()
+    return Block(coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().tolist(), list(zip(owners, ends, ends[1:], strict=False)))
+
+
+def word_blocks(column: pa.Array, words: bool = True) -> Iterator[Block]:
+    """The words of a column of texts in blocks of bounded size; long texts are cut at spaces, so parts of a text come in order.
+
+    Without `words`, and for texts with rare characters or special tokens, the pieces between ASCII white space are the
+    words. Null texts and texts of white space have no words.
+    """
+    column = column.cast(pa.string()).fill_null("")
+    odd = pc.match_substring_regex(column, _NOT_PLAIN).to_pylist() if words else [True] * len(column)
+    blank = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(column)), 0).to_pylist()
+    group: list[int] = []
+    size = 0
+    for k, n in enumerate(pc.binary_length(column).to_pylist()):
+        if blank[k]:
+            continue
+        if odd[k]:
+            chunks = by_white_space(column[k].as_py().encode())
+            place = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+            yield Block(list(place), [place[c] for c in chunks], [(k, 0, len(chunks))])
+            continue
+        if n > BLOCK:
+            text, at = column[k].as_py(), 0
+            while at < len(text):
+                to = text.find(" ", at + BLOCK)
+                part = text[at : to if to >= 0 else len(text)]
+                at += len(part) or 1
+                if not part.isspace():
+                    yield _split([k], pa.array([part]))
+            continue
+        if group and size + n > BLOCK:
+            yield _split(group, column.take(pa.array(group)))
+            group, size = [], 0
+        group.append(k)
+        size += n
+    if group:
+        yield _split(group, column.take(pa.array(group)))
+
+
 def by_spaces(raw: bytes) -> list[bytes]:
     """Chunks for byte-level tokenizers, whose words carry the space before them: where a space comes before a solid
     character, a word starts with it. That space is left out of the chunk; FIRST marks the one chunk that has none.
@@ -70,25 +154,30 @@ def spaced(chunk: bytes) -> str:
 
 
 class ChunkCache:
-    """A bounded map from chunks to what `compute` gives for a list of them."""
+    """A bounded map from chunks to what `compute` gives for a list of them; values are never None.
+
+    It has two generations: what is asked for while the younger one fills is kept, the rest goes with the older one.
+    """
 
     def __init__(self, compute: Callable[[list[bytes]], list]):
-        self.compute, self.seen = compute, {}
+        self.compute = compute
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
 
     def __call__(self, chunks: list[bytes]) -> list:
-        seen = self.seen
-        missing = set(chunks).difference(seen)
-        if not missing:
-            return list(map(seen.__getitem__, chunks))
-        if len(seen) + len(missing) > CACHE_ENTRIES:
-            seen.clear()
-            missing = set(chunks)
-        new = list(missing)
-        seen.update(zip(new, self.compute(new), strict=True))
-        out = list(map(seen.__getitem__, chunks))
-        for c in new:
-            if len(c) > CACHED_BYTES:
-                del seen[c]
+        out = list(map(self.young.get, chunks))
+        if None not in out:
+            return out
+        missing = list({c for c, v in zip(chunks, out, strict=True) if v is None})
+        found = {c: v for c, v in zip(missing, map(self.old.get, missing), strict=True) if v is not None}
+        new = [c for c in missing if c not in found] if found else missing
+        found.update(zip(new, self.compute(new), strict=True))
+        out = [found[c] if v is None else v for c, v in zip(chunks, out, strict=True)]
+        for c in [c for c in new if len(c) > CACHED_BYTES]:
+            del found[c]
+        if len(self.young) + len(found) > CACHE_ENTRIES // 2:
+            self.old, self.young = self.young, {}
+        self.young.update(found)
         return out
 
 
@@ -106,8 +195,29 @@ def worker_cache(use: str, make: Callable[[], Callable[[list[bytes]], list]]) ->
 def ids_of_words(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """The ids of white-space chunks as little-endian unsigned 32-bit integers."""
     t = tokenizer(path)
+    suffix = getattr(t.model, "end_of_word_suffix", None) if splits_words(path) else None
+    ends = np.zeros(t.get_vocab_size(), bool)
+    ends[[i for w, i in t.get_vocab(False).items() if suffix and w.endswith(suffix)]] = True
+
+    def rows(strings: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
 
     def compute(chunks: list[bytes]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        strings = [c.decode() for c in chunks]
+        if not suffix:
+            return rows(strings)
+        found: dict[str, bytes] = {}
+        # words of letters alone go many at a time: each ends where an entry has the suffix
+        letters = [s for s in strings if LETTERS_ALONE.fullmatch(s)]
+        for a in range(0, len(letters), 4096):
+            some = letters[a : a + 4096]
+            ids = np.array(t.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            to = (np.flatnonzero(ends[ids]) + 1) * 4
+            if len(to) == len(some):
+                raw = ids.tobytes()
+                found.update(zip(some, [raw[i:j] for i, j in zip([0, *to.tolist()], to.tolist(), strict=False)], strict=True))
+        rest = [s for s in strings if s not in found]
+        found.update(zip(rest, rows(rest), strict=True))
+        return [found[s] for s in strings]
 
     return compute

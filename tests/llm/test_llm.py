@@ -5,10 +5,12 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -284,6 +286,52 @@ def test_chunked_tokens_equal_the_library(text):
     assert sum(lengths) == len(tokens.tokenizer(pieces).encode(text, add_special_tokens=False).ids)
 
 
+def by_blocks(coder, column):
+    out = [[] for _ in range(len(column))]
+    for block in tokens.word_blocks(column):
+        known = coder(block.words)
+        for k, first, to in block.spans:
+            out[k].append(b"".join(known[p] for p in block.places[first:to]))
+    return [b"".join(x) for x in out]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), PARTS, st.sampled_from(["Don't STOP 'til 1st, ünï «Ça»...", "it's 'S ''s 's\n\x0bx"])), max_size=6))
+def test_word_blocks_equal_the_library(texts):
+    path = P.path("word_bpe_49k.json")
+    want = [array("I", tokens.tokenizer(path).encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
+    column = pa.array(texts, pa.string())
+    assert by_blocks(tokens.ids_of_words(path), column) == want
+    assert by_blocks(lambda words: [x[0] for x in _coder()(words)], column) == want
+
+
+def test_long_texts_and_words(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 64)
+    path, rng = P.path("word_bpe_49k.json"), random.Random(4)
+    word = "".join(rng.choice("abcdeé") for _ in range(100_000))
+    texts = ["short one.", "Some words, again and again. " * 50, "x" * 300, word, " " * 500 + "end"]
+    want = [array("I", tokens.tokenizer(path).encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert by_blocks(tokens.ids_of_words(path), pa.array(texts)) == want
+    began = time.process_time()
+    assert by_blocks(lambda words: [x[0] for x in _coder()(words)], pa.array(texts)) == want
+    assert time.process_time() - began < 10
+    coder = _coder()
+    small = word[:3000].encode().decode("latin-1").translate(bpe._ALPHABET)
+    exact = [coder.vocab[p] for p in coder.merged([*small[:-1], small[-1] + coder.end])]
+    assert coder.encode_words([small]) == [exact]
+    monkeypatch.setattr(bpe, "ROUNDS", 0)
+    assert coder.encode_words([small, "thononing"])[0] == exact
+
+
+def test_chunk_cache_keeps_two_generations(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 6)
+    asked = []
+    cache = tokens.ChunkCache(lambda chunks: asked.extend(chunks) or [c + b"!" for c in chunks])
+    for chunks in ([b"a", b"b", b"a"], [b"a", b"c"], [b"d", b"a"], [b"a", b"e", b"f"], [b"a", b"x" * 100]):
+        assert cache(chunks) == [c + b"!" for c in chunks]
+    assert asked.count(b"a") == 1 and len(cache.young) + len(cache.old) <= 8 and b"x" * 100 not in cache.young
+
+
 _CODER = []
 
 
