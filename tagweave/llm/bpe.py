@@ -3,12 +3,15 @@
 For each new word the greedy longest match proposes a row of vocabulary entries. The word's true encoding is that row
 exactly if every adjacent pair is stable, that is, if merging the two entries' joined characters gives back the two.
 Pairs are checked for a whole batch of words at once against a table of pairs already judged; a pair seen for the first
-time is judged by exact merging. Only words with an unstable pair are merged exactly from single characters.
+time is judged by exact merging. In words that fail, what exact merging makes of an unstable pair takes its place, and the
+new pairs are checked in turn; a word that is not stable after ROUNDS of that is merged exactly from single characters.
 
-Normalising and splitting text before the merges are the vocabulary file's own, with a short cut for printable ASCII.
+Normalising and splitting text before the merges are the vocabulary file's own, with a short cut for texts of common
+characters where the file splits words as that short cut does.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; strings of special tokens inside a text
-become their ids; equal rows give equal rows; only doc_id and text are read.
+become their ids; equal rows give equal rows; a table without rows gives none; long texts are encoded in parts and long
+words in n log n steps; there is one encoding, so no ties; only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches, read, ship, texts
+from .common import batches, read, ship, slices
 
 VOCABULARY = "word_bpe_49k.json"
 _ASCII = re.compile(rb"[!-~]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Rank of pairs that are no merge.
-_NEVER = 1 << 60
+#: Rounds of repairing unstable pairs before a word is merged from its characters; they change no result.
+ROUNDS = 8
+_ALONE = 0xFFFFFFFF
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as itself where that is a visible Latin-1 character, else as one beyond 255."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 class SpeculativeBpe:
@@ -47,15 +62,19 @@ class SpeculativeBpe:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: s for s, i in (self.vocab | self.special).items()}
-        self.longest = max(map(len, self.vocab))
-        self.reach: dict[str, int] = {}  # the longest entry, suffix not counted, that starts with three characters
+        size = len(self.end)
+        self.last = {e[: len(e) - size]: i for e, i in self.vocab.items() if e.endswith(self.end) and len(e) > size}
+        self.longest = max(map(len, self.last))
+        lengths: dict[str, set[int]] = {}  # lengths of entries that start with three characters
         for entry in self.vocab:
             if len(entry) >= 3:
-                self.reach[entry[:3]] = max(self.reach.get(entry[:3], 0), len(entry))
+                lengths.setdefault(entry[:3], set()).add(len(entry))
+        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in lengths.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.library = tokens.tokenizer(path)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.stable: dict[int, bool] = {}
+        self.quick = bool(self.end) and tokens.splits_words(path)
+        #: What exact merging makes of each pair judged so far (left << 32 | right); None where the pair is stable.
+        self.judged: dict[int, tuple[int, ...] | None] = {}
 
     def symbols(self, entry: str) -> list[str]:
         """Single characters of a vocabulary entry; the suffix belongs to the last one."""
@@ -65,76 +84,106 @@ class SpeculativeBpe:
         return list(entry)
 
     def merged(self, parts: list[str]) -> list[str]:
-        """Exact merging: the pair of least rank first, leftmost first."""
-        get = self.rank.get
-        parts = list(parts)
-        ranks = [get(p, _NEVER) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == _NEVER:
-                break
-            i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), _NEVER)
-            if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), _NEVER)
-        return parts
+        """Exact merging: the pair of least rank first, leftmost first, from a heap over a linked list."""
+        rank, parts, n = self.rank.get, list(parts), len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, p, q) for i, (p, q) in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank((p, q))) is not None]
+        heapify(heap)
+        gone = [False] * n
+        while heap:
+            _, i, p, q = heappop(heap)
+            j = after[i]
+            if gone[i] or j >= n or parts[i] != p or parts[j] != q:
+                continue
+            parts[i], gone[j], after[i] = p + q, True, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := rank((parts[k], parts[after[k]]))) is not None:
+                    heappush(heap, (r, k, parts[k], parts[after[k]]))
+        return [p for p, x in zip(parts, gone, strict=True) if not x]
 
     def greedy(self, word: str) -> list[int]:
         """The longest vocabulary entry at each place; only the last one may, and must, end with the suffix."""
-        vocab, reach, at, n, out = self.vocab, self.reach, 0, len(word), []
+        vocab, last, lengths, at, n, out = self.vocab.get, self.last.get, self.lengths.get, 0, len(word), []
         while at < n:
-            found = vocab.get(word[at:] + self.end) if n - at <= self.longest else None
-            to = n
-            if found is None:
-                to = min(n - 1, at + reach.get(word[at : at + 3], 2))
-                while (found := vocab.get(word[at:to])) is None:
-                    to -= 1
+            found = last(word[at:]) if n - at <= self.longest else None
+            if found is not None:
+                out.append(found)
+                break
+            for k in lengths(word[at : at + 3], (2, 1)):
+                if at + k < n and (found := vocab(word[at : at + k])) is not None:
+                    break
             out.append(found)
-            at = to
+            at += k
         return out
 
-    def judge(self, codes: np.ndarray) -> np.ndarray:
-        """Whether each pair (left << 32 | right) is stable; for right = 0xFFFFFFFF, whether left stands alone."""
+    def judge(self, code: int) -> tuple[int, ...] | None:
+        """What merging the characters of a pair gives; None if it gives the pair back. With _ALONE on the right, of one entry."""
+        pair = [self.token[code >> 32]] + ([self.token[code & _ALONE]] if code & _ALONE != _ALONE else [])
+        got = self.merged([s for e in pair for s in self.symbols(e)])
+        return None if got == pair else tuple(map(self.vocab.__getitem__, got))
+
+    def unstable(self, codes: np.ndarray) -> np.ndarray:
+        """Which of the pairs are unstable; pairs not known yet are judged."""
         kinds, place = np.unique(codes, return_inverse=True)
-        known = self.stable
-        for code in kinds.tolist():
+        kinds = kinds.tolist()
+        if len(self.judged) > tokens.CACHE_ENTRIES:
+            self.judged.clear()
+        self.judged.update({c: self.judge(c) for c in kinds if c not in self.judged})
+        return np.fromiter((self.judged[c] is not None for c in kinds), bool, len(kinds))[place]
+
+    def repaired(self, row: list[int]) -> list[int]:
+        """The row with each unstable pair, from left to right, as exact merging has it."""
+        known, out = self.judged, row[:1]
+        for i in row[1:]:
+            code = out[-1] << 32 | i
             if code not in known:
-                pair = [self.token[code >> 32]] + ([self.token[code & 0xFFFFFFFF]] if code & 0xFFFFFFFF != 0xFFFFFFFF else [])
-                known[code] = self.merged([s for e in pair for s in self.symbols(e)]) == pair
-        return np.fromiter((known[c] for c in kinds.tolist()), bool, len(kinds))[place]
-
-    def encode_words(self, words: list[str]) -> None:
-        """Puts the ids of words that are not known yet into self.words."""
-        words = [w for w in dict.fromkeys(words) if w not in self.words]
-        if not words:
-            return
-        if len(self.words) + len(words) > tokens.CACHE_ENTRIES or len(self.stable) > 4 * tokens.CACHE_ENTRIES:
-            self.words.clear()
-            self.stable.clear()
-        rows = [self.greedy(w) for w in words]
+                known[code] = self.judge(code)
+            instead = known[code]
+            if instead is None:
+                out.append(i)
+            else:
+                out[-1:] = instead
+        return out
+
+    def failing(self, rows: list[list[int]]) -> list[int]:
+        """The numbers of the rows with an unstable pair, or an entry that would not stand alone."""
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.fromiter((i for r in rows for i in r), np.uint64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(rows)), sizes)
         inside = owner[1:] == owner[:-1]
-        codes = (flat[:-1] << np.uint64(32) | flat[1:])[inside]
-        alone = sizes == 1
-        first = np.cumsum(sizes) - sizes
-        single = flat[first[alone]] << np.uint64(32) | np.uint64(0xFFFFFFFF)
+        pairs = (flat[:-1] << np.uint64(32) | flat[1:])[inside]
+        alone = np.flatnonzero(sizes == 1)
+        single = flat[(np.cumsum(sizes) - sizes)[alone]] << np.uint64(32) | np.uint64(_ALONE)
         bad = np.zeros(len(rows), bool)
-        bad[owner[1:][inside][~self.judge(codes)]] = True
-        bad[np.flatnonzero(alone)[~self.judge(single)]] = True
-        for i in np.flatnonzero(bad).tolist():
+        bad[owner[1:][inside][self.unstable(pairs)]] = True
+        bad[alone[self.unstable(single)]] = True
+        return np.flatnonzero(bad).tolist()
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        rows = [self.greedy(w) for w in words]
+        bad = self.failing(rows) if rows else []
+        for _ in range(ROUNDS):
+            if not bad:
+                return rows
+            some = [self.repaired(rows[i]) for i in bad]
+            for i, r in zip(bad, some, strict=True):
+                rows[i] = r
+            bad = [bad[k] for k in self.failing(some)]
+        for i in bad:
             w = words[i]
             rows[i] = [self.vocab[p] for p in self.merged([*w[:-1], w[-1] + self.end])]
-        self.words.update(zip(words, map(tuple, rows), strict=True))
+        return rows
 
     def pieces(self, chunk: bytes) -> list[str | int]:
         """The words of a chunk in the vocabulary's alphabet; ids of special tokens."""
-        if self.end and not (b"<|" in chunk) and _ASCII.fullmatch(chunk):
-            return _ASCII_WORDS.findall(chunk.decode().lower())
+        if self.quick and b"<|" not in chunk:
+            if _ASCII.fullmatch(chunk):
+                return _ASCII_WORDS.findall(chunk.decode().lower())
+            if tokens.LETTERS_ALONE.fullmatch(chunk.decode()):
+                return [chunk.decode("latin-1").translate(_ALPHABET)]
         out: list[str | int] = []
         for part in self.split_special.split(chunk.decode()) if self.split_special else [chunk.decode()]:
             if part in self.special:
@@ -147,12 +196,11 @@ class SpeculativeBpe:
     def __call__(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each chunk its ids as bytes, and their entries joined by spaces."""
         split = [self.pieces(c) for c in chunks]
-        self.encode_words([p for s in split for p in s if isinstance(p, str)])
-        out = []
-        for s in split:
-            ids = [i for p in s for i in (self.words[p] if isinstance(p, str) else (p,))]
-            out.append((array("I", ids).tobytes(), self.decode(ids).encode()))
-        return out
+        words = list(dict.fromkeys(p for s in split for p in s if isinstance(p, str)))
+        known: dict[str | int, list[int]] = dict(zip(words, self.encode_words(words), strict=True))
+        known.update({i: [i] for s in split for i in s if isinstance(i, int)})
+        rows = [known[s[0]] if len(s) == 1 else [i for p in s for i in known[p]] for s in split]
+        return [(array("I", ids).tobytes(), self.decode(ids).encode()) for ids in rows]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.token[i] for i in ids])
@@ -171,16 +219,24 @@ def encode_decode(docs: DataFrame, name: str = VOCABULARY, path: str | None = No
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), (names[0], kind), (names[1], pa.string())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = tokens.vocabulary_path(name, path)
         coder = _coder(name, path)
-        for b in it:
-            counts, left, right = [], [], []
-            for t in texts(b):
-                got = coder(tokens.by_white_space(t))
-                ids = b"".join([x[0] for x in got])
-                decoded = b" ".join([x[1] for x in got if x[1]])
-                counts.append(len(ids) // 4)
-                left.append(hashlib.sha256(ids).hexdigest() if digests else ids)
-                right.append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode())
+        for b in slices(it):
+            ids: list[list[bytes]] = [[] for _ in range(b.num_rows)]
+            decoded: list[list[bytes]] = [[] for _ in range(b.num_rows)]
+            for block in tokens.word_blocks(b.column(1), tokens.splits_words(file)):
+                known = coder(block.words)
+                of_ids, of_text = ([x[i] for x in known].__getitem__ for i in (0, 1))
+                for k, first, to in block.spans:
+                    places = block.places[first:to]
+                    ids[k].append(b"".join(map(of_ids, places)))
+                    decoded[k].append(b" ".join(filter(None, map(of_text, places))))
+            left, right = [b"".join(x) for x in ids], [b" ".join(filter(None, x)) for x in decoded]
+            counts = [len(x) // 4 for x in left]
+            if digests:
+                left, right = ([hashlib.sha256(x).hexdigest() for x in side] for side in (left, right))
+            else:
+                right = [x.decode() for x in right]
             yield batches({"doc_id": b.column(0).to_pylist(), "n_tokens": counts, names[0]: left, names[1]: right}, schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(["doc_id long", "n_tokens long", *fields]))
