@@ -50,14 +50,22 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table made by cut() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if folder.getName().startswith("tagweave-"):
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by cut() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for f in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            if folder.getName().startswith("tagweave-"):
+                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def slices(batches_: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:

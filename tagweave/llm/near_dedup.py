@@ -9,10 +9,19 @@ common subsequence of labelled shingles: the Jaccard similarity of shingles that
 threshold t only shingles whose places differ by at most max(n, m) - ceil(t (n + m) / (1 + t)) can take part, so alignment
 within that band is exact.
 
-Documents with equal words are one node. Each bucket of candidates is first compared along a star, every node with the
-bucket's least one, then around one outside its largest component. Buckets whose nodes are in several components after that are open: of all pairs of nodes of open
-buckets in different components, a prefix join finds those that can reach the threshold, and these are verified too. So a
-large group of near copies is not compared pair by pair, and no link between two components is left out.
+Documents with equal words are one node. Each bucket of candidates is first compared along a star, every node with the one
+of the bucket's least doc_id. A bucket whose nodes are in several components after that is open. Comparing all pairs of an
+open bucket would grow with its square, and most of them cannot reach the threshold: two nodes that can share one of
+their rarest shingles (the prefix filter, which is exact). So of all pairs of nodes of open buckets in different components those
+with a common prefix shingle are verified: first along a star for each shingle, which joins nearly all components that belong
+together, then every pair that is left. A large group of near copies is thus not compared pair by pair, and no link between
+two components is left out.
+
+Defined cases: rows of equal words are one class; a text that is null or has no word is compared with nothing and is a class of
+its own; rows without doc_id are compared like others, and where no member of a class has a doc_id its class_id is null; rows that
+share a doc_id but not a text are compared as different documents, only the names of their classes are equal; a text of
+fewer than `shingle` words is one shingle; texts of any length are aligned whole; of equally good heads of a bucket any one serves, since
+the classes do not depend on it; a table without rows gives none. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -30,13 +39,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches, cut, read, ship, texts
+from .common import batches, cut, drop, read, ship, texts, unused
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, REPEATS = 3, 20
-#: Further star rounds before the prefix join; they save work and change no result.
-STAR_ROUNDS = 1
 #: Lengths of one class differ by at most this factor.
 CLASS_WIDTH = 1.02
 
@@ -127,9 +134,14 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float
     return long / (n + m - long) if long >= need else 0.0
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that rows of equal doc_id and text share; null and empty text count as equal."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit(""))).cast("binary")))
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, the digest of the document's words, its number of shingles and its sketches; no digest without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
+    """doc_id, row_key, the digest of the document's words, its number of shingles and its sketches; no digest without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("digest", pa.binary()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -140,9 +152,10 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE, re
                 digests.append(xxhash.xxh128_digest(w.tobytes()) if len(w) else None)
                 sizes.append(len(s))
                 found.append(sketches(s, sample, repeats))
-            yield batches({"doc_id": b.column(0).to_pylist(), "digest": digests, "n": sizes, "sketches": found}, schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), *(pa.array(x, f.type) for x, f in zip((digests, sizes, found), list(schema)[2:], strict=True))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, n int, sketches array<long>")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, "doc_id long, row_key binary, digest binary, n int, sketches array<long>")
 
 
 def verified(pairs: DataFrame, candidates: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -166,14 +179,11 @@ def verified(pairs: DataFrame, candidates: DataFrame, least: float = SIMILARITY,
     return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def across_components(open_: DataFrame, candidates: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """All pairs (a, b) of open nodes (node, component) of different components that can be similar enough, by a prefix join.
+def prefix_shingles(open_: DataFrame, candidates: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """node, n, token and place for the first shingles of the open nodes (node, component).
 
     Shingles are ordered by how many open nodes have them, rare ones first. Two nodes of n and m shingles that share k =
-    ceil(t (n + m) / (1 + t)) of them share one of the first n - k + 1 of the one and the first m - k + 1 of the other. The longer node asks
-    with a prefix for each class of lengths that the shorter one can have. A node that is not similar to the text that a large group has
-    in common differs from it in more shingles than its prefix is long, so it meets only nodes that share its own rare ones.
-    Of the nodes with a shingle those of the component that most of them are in are never joined with each other.
+    ceil(t (n + m) / (1 + t)) of them share one of the first n - k + 1 of the one and the first m - k + 1 of the other.
     """
     schema = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
@@ -189,20 +199,54 @@ def across_components(open_: DataFrame, candidates: DataFrame, least: float = SI
     known = each.join(common, "token")
     mine = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "token"))
-    ordered = known.withColumn("place", place)
+    # a shingle that one component alone has matches nothing either, but keeps its place
+    inside = (F.col("lo") < F.col("hi")) & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    out = cut(known.withColumn("place", place).where(inside).select("node", "n", "token", "place"))
+    drop(shingles)
+    return out
+
+
+def _needed(n: Column, m: Column, least: float) -> Column:
+    return F.ceil(least / (1 + least) * (n + m) - 1e-9)
+
+
+def _can_reach(least: float) -> Column:
+    """Whether nodes x and y, of n_x and n_y shingles, that meet at places p_x and p_y can share as many as they need."""
+    k = _needed(F.col("n_x"), F.col("n_y"), least)
+    prefixes = (F.col("p_x") <= F.col("n_x") - k + 1) & (F.col("p_y") <= F.col("n_y") - k + 1)
+    # at their first common shingle a pair must still be able to share as many as it needs
+    return (F.least("n_x", "n_y") >= k) & prefixes & (F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) + 1 >= k)
+
+
+def prefix_star(first: DataFrame, where: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of one node for each shingle with all others that have it and are in another component."""
+    rows = first.join(where, "node")
+    hub = F.min_by("node", F.xxhash64("node", "token")).alias("y")
+    hubs = rows.groupBy("token").agg(hub, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "y")
+    of_y = rows.select("token", F.col("node").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("n_y"), F.col("place").alias("p_y"))
+    hubs = hubs.join(of_y, ["token", "y"])
+    rays = rows.withColumnsRenamed({"n": "n_x", "place": "p_x"}).join(hubs, "token").where((F.col("component") != F.col("of_y")) & _can_reach(least))
+    return rays.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+
 
-    def needed(n: Column, m: Column) -> Column:
-        return F.ceil(least / (1 + least) * (n + m) - 1e-9)
+def prefix_join(first: DataFrame, where: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b) of nodes of different components that can be similar enough.
+
+    The longer node asks for each class of lengths that the shorter one can have, with as long a prefix as that class needs. A
+    node that is not similar to the text that a large group has in common differs from it in more shingles than its prefix is
+    long, so it meets only nodes that share its own rare ones. Of the nodes with a shingle those of the component that most of
+    them are in are never joined with each other.
+    """
 
     def length_class(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / log(CLASS_WIDTH)).cast("int")
 
-    # a shingle that one component alone has matches nothing either, but keeps its place
-    first = cut(ordered.where((F.col("lo") < F.col("hi")) & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)).select("node", "component", "n", "token", "place"))
-    given = first.where(F.col("place") <= F.col("n") - needed(F.col("n"), F.col("n")) + 1).select("node", "component", "n", "token", "place", length_class(F.col("n")).alias("class"))
-    classes_ = F.sequence(length_class(F.ceil(least * F.col("n") - 1e-9)), length_class(F.col("n")))
+    several = first.join(where, "node").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    rows = first.join(where, "node").join(several, "token")
+    given = rows.where(F.col("place") <= F.col("n") - _needed(F.col("n"), F.col("n"), least) + 1).withColumn("class", length_class(F.col("n")))
+    kinds = F.sequence(length_class(F.ceil(least * F.col("n") - 1e-9)), length_class(F.col("n")))
     shortest = F.floor(F.pow(F.lit(CLASS_WIDTH), F.col("class")) - 1e-9)
-    asked = first.select("node", "component", "n", "token", "place", F.explode(classes_).alias("class")).where(F.col("place") <= F.col("n") - needed(F.col("n"), shortest) + 1)
+    asked = rows.withColumn("class", F.explode(kinds)).where(F.col("place") <= F.col("n") - _needed(F.col("n"), shortest, least) + 1)
     sides = cut(given.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True))))
     counts = sides.groupBy("token", "class", "component").agg(F.count("*").alias("k"))
     most = counts.groupBy("token", "class").agg(F.max_by("component", "k").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
@@ -212,73 +256,89 @@ def across_components(open_: DataFrame, candidates: DataFrame, least: float = SI
         few = live.where((F.col("component") != F.col("most")) & (F.col("asks") == asks)).select("token", "class", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("n").alias("n_x"), F.col("place").alias("p_x"))
         all_ = live.where(F.col("asks") != asks).select("token", "class", F.col("node").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("n_y"), F.col("place").alias("p_y"))
         fits = (F.col("n_x") >= F.col("n_y")) if asks else (F.col("n_y") >= F.col("n_x"))
-        # at their first common shingle a pair must still be able to share as many as it needs
-        rest = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) + 1 >= needed(F.col("n_x"), F.col("n_y"))
-        found = few.join(all_, ["token", "class"]).where(fits & rest & (F.col("of_x") != F.col("of_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found = few.join(all_, ["token", "class"]).where(fits & _can_reach(least) & (F.col("of_x") != F.col("of_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    out = cut(out.distinct())
+    drop(sides, live)
+    return out
+
 
+def joined(where: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) of all nodes of `where` after further links (a, b) between them."""
+    to = [where.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+    between = cut(links.join(to[0], "a").join(to[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("instead"))
+    return cut(where.join(moved, "component", "left").select("node", F.coalesce("instead", "component").alias("component")))
 
-def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, sample: int = SAMPLE, repeats: int = REPEATS, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """doc_id and class_id of each row: the least doc_id of the documents that links of similarity `least` or more join.
 
-    Defined cases: rows of equal words are one class; a text that is null or has no word, and a row without doc_id, is compared with
-    nothing and is a class of its own (class_id = doc_id); rows that share a doc_id count as one document; a text of
-    fewer than `shingle` words is one shingle. Only doc_id and text are read.
+def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, sample: int = SAMPLE, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row_key and digest of each row; and for each digest its component, and the component's least doc_id as class_id.
+
+    A component is the documents that links of similarity `least` or more join. Rows without words have no digest.
     """
     marks = cut(signatures(docs, shingle, sample, repeats))
-    nodes = cut(marks.where("doc_id is not null and digest is not null").groupBy("digest", "n", "sketches").agg(F.min("doc_id").alias("node")))
-    places = nodes.select(F.explode("sketches").alias("bucket"), "node", "n")
-    heads = cut(places.groupBy("bucket").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("size")).where("size > 1"))
-    members = cut(places.join(heads, "bucket").select("bucket", "node", "n", "head", "head_n"))
-    near = F.least("n", "head_n") >= least * F.greatest("n", "head_n")
-    star = cut(members.where((F.col("node") != F.col("head")) & near).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-
-    wanted = members.select("node").distinct()
-    plain = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("text is not null")
-    candidates = cut(plain.join(wanted, "node").groupBy("node", F.xxhash64("text").alias("kind")).agg(F.first("text").alias("text")).drop("kind"))
+    rows = marks.select("doc_id", "row_key", "digest")
+    # node numbers hold from here on, because the table is written
+    nodes = cut(marks.where("digest is not null").groupBy("digest", "n", "sketches").agg(F.min("doc_id").alias("label")).withColumn("node", F.monotonically_increasing_id()))
+    places = nodes.select(F.explode("sketches").alias("bucket"), "node", F.coalesce("label", F.lit((1 << 63) - 1)).alias("order"))
+    heads = places.groupBy("bucket").agg(F.min_by("node", "order").alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head")
+    members = cut(places.join(heads, "bucket").select("bucket", "node", "head"))
+
+    wanted = nodes.join(members.select("node").distinct(), "node").select("digest", "node", "label", "n")
+    keys = rows.join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("label"))).groupBy("node").agg(F.min("row_key").alias("key"))
+    plain = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
+    candidates = cut(plain.join(keys, "key").groupBy("key", "node").agg(F.first("text").alias("text")).drop("key"))
+
+    lengths = wanted.select("node", "n")
+    rays = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    rays = rays.join(lengths.toDF("a", "n_a"), "a").join(lengths.toDF("b", "n_b"), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    star = cut(rays.select("a", "b"))
     links = cut(verified(star, candidates, least, shingle))
-    tried = star
-
-    def now() -> DataFrame:
-        """The members of buckets with their component as far as it is known."""
-        found = cut(components(links))
-        return cut(members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
-
-    # stars once more, around the node outside each bucket's largest component that meets most others
-    placed = now()
-    for _ in range(rounds):
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-        most = sizes.groupBy("bucket").agg(F.max_by("component", "k").alias("most"), F.count("*").alias("kinds"), F.sum("k").alias("size")).where("kinds > 1").drop("kinds")
-        live = cut(placed.join(most, "bucket"))
-        meets = live.groupBy("node").agg(F.sum("size").alias("meets"))
-        hubs = live.where("component <> most").join(meets, "node").groupBy("bucket").agg(*(F.max_by(c, F.struct("meets", "node")).alias(f"hub_{c}") for c in ("node", "n", "component")))
-        rays = live.join(hubs, "bucket").where((F.col("component") != F.col("hub_component")) & (F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")))
-        pairs = rays.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
-        more = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(verified(more, candidates, least, shingle)))
-        tried = tried.unionByName(more)
-        placed = now()
+    found = components(links)
+    where = cut(candidates.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
     # what the stars leave open: buckets whose nodes are in several components
+    placed = members.join(where, "node").select("bucket", "node", "component")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     open_ = cut(placed.join(split, "bucket", "left_semi").select("node", "component").distinct())
-    rest = across_components(open_, candidates, least, shingle)
-    more = verified(cut(rest.join(tried, ["a", "b"], "left_anti")), candidates, least, shingle)
-    where = cut(components(links.unionByName(more)))
+    first = prefix_shingles(open_, candidates, least, shingle)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for pairs_of in (prefix_star, prefix_join):
+        pairs = cut(pairs_of(first, where, least).join(tried, ["a", "b"], "left_anti"))
+        before, where = where, joined(where, verified(pairs, candidates, least, shingle))
+        drop(before)
+        tried = tried.unionByName(pairs)
+
+    named = nodes.join(where, "node", "left").select("digest", "label", F.coalesce("component", "node").alias("component"))
+    classes_ = named.groupBy("component").agg(F.min("label").alias("class_id"))
+    out = cut(named.drop("label").join(classes_, "component"))
+    drop(candidates, members, nodes, where, first, open_, links, star)
+    return rows, out
+
 
-    named = nodes.join(where, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    out = marks.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and class_id of each row: the least doc_id of the documents that links join, or its own where it has no words."""
+    rows, found = grouped(docs, **options)
+    out = rows.select("doc_id", "digest").join(found.select("digest", "class_id"), "digest", "left")
+    return out.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose doc_id names their class, once each, and the rows without doc_id; same columns."""
-    found = classes(docs, **options).where("doc_id = class_id").groupBy(F.col("doc_id").alias("kept_doc_id")).agg(F.count("*").alias("kept_rows"))
-    found = cut(found)
-    once = docs.join(found.where("kept_rows = 1"), F.col("doc_id").cast("long") == F.col("kept_doc_id"), "left_semi")
-    again = docs.join(found.where("kept_rows > 1"), F.col("doc_id").cast("long") == F.col("kept_doc_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    """One row of each class, and all rows without words; same columns.
+
+    It is a row of the least doc_id; of different texts with that doc_id the one of least row_key; of rows that agree in both any one.
+    """
+    rows, found = grouped(docs, **options)
+    least = rows.join(found, "digest").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    counts = least.groupBy("component", "row_key").agg(F.count("*").alias("rows"))
+    chosen = counts.groupBy("component").agg(F.min(F.struct("row_key", "rows")).alias("it")).select("it.row_key", F.col("it.rows") > 1)
+    all_ = rows.where("digest is null").select("row_key", F.lit(False)).distinct()
+    key, again = unused(docs, "row_key"), unused(docs, "again")
+    kept = cut(chosen.toDF(key, again).unionByName(all_.toDF(key, again)))
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    once = keyed.join(kept.where(~F.col(again)).select(key), key, "left_semi")
+    one = keyed.join(kept.where(again).select(key), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(one).select(*docs.columns)
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
