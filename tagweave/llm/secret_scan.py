@@ -3,11 +3,12 @@
 A candidate is a run of 20 or more `[A-Za-z0-9+/_-]`, with up to two `=`, that has a digit and a letter. It belongs to
 the narrowest character class that holds it (hex, one-case alphanumeric, mixed). A window of the class's width slides over it;
 the Shannon entropy of the window follows from character counts that each step changes by one in and one out. Windows at
-or above the class's threshold are joined to spans. Allow-listed candidates (UUIDs, counting-up runs, sample words) and
-spans inside a base span are dropped.
+or above the class's threshold are joined to spans. Candidates that are allow-listed as a whole (UUIDs, counting-up runs, sample
+words; not keys that merely hold one) and spans inside a base span are dropped.
 
-Defined cases: a null or empty text has no spans; offsets are code points, end exclusive; equal rows give equal rows;
-only doc_id and text are read.
+Defined cases: a null or empty text has no spans; offsets are code points, end exclusive; equal rows give equal rows; a table
+without rows gives none; texts of any length are scanned whole; spans that start together are in the order of KINDS; scan() reads
+doc_id and text alone, whatever other columns are called, and redact() hands all other columns on.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ CLASSES = (
     ("alnum", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 20, 3.6),
     ("mixed", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.7),
 )
+#: Candidates that consist of nothing else are no secrets: UUIDs, and stock words and runs of samples.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i)example|sample|placeholder|changeme|your[_-]?key|xxxx|0123456789|1234567890|abcdefgh"),
+    re.compile(
+        r"(?i)(?>example|sample|placeholder|changeme|change|replace|dummy|fake|test|your|my|this|is|not|real|insert|here|api|access|secret|private|public|client|auth|bearer|"
+        r"key|token|password|value|string|id|x{3,}|0123456789|1234567890|12345678|abcdefghijklmnopqrstuvwxyz|abcdefgh|abcdef|abcd|[0-9/+_-])++={0,2}"
+    ),
 )
 _XLOGX = [0.0, *(n * math.log2(n) for n in range(1, 65))]
 
@@ -68,7 +73,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s) or any(a.search(s) for a in ALLOWED):
+        if not re.search(r"[0-9]", s) or not re.search(r"[A-Za-z]", s) or any(a.fullmatch(s) for a in ALLOWED):
             continue
         _, _, width, least = next(c for c in CLASSES if c[1].fullmatch(s))
         out += [(m.start() + a, m.start() + b) for a, b in entropy_windows(s, width, least)]
