@@ -2,13 +2,15 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. Every rolling gram of three words is joined
 to the places of the same gram in short license templates (a fixed list, so its broadcast is bounded). A hit votes for
-the diagonal place - template place; a diagonal keeps the bits of the template's grams that it saw. Diagonals of a
-document and template that are at most GAP apart are merged, which bridges a few words put in or left out, and the
-merged span is verified: it must see LEAST of the template's grams in at most SPREAD times the template's length.
-
-Defined cases: a null or empty text has no words, no labels, null places and score 0; equal rows get a row each; where a
-text names one license many times each place counts in n_base; score is the greatest share of a template's grams
-that one merged span sees. Only doc_id and text are read.
+the diagonal place - template place; a diagonal keeps the bits of the template's grams that it saw, and is verified
+where it alone sees LEAST of them. Diagonals of a document and template that are at most GAP apart are merged, which bridges
+a few words put in or left out, and the merged span is verified: it must see LEAST of the template's grams in at most SPREAD
+times the template's length.
+
+Defined cases: a null or empty text has no words, no labels, null places and score 0; equal rows get a row each; a table
+without rows gives none; texts of any length are scanned whole; where a text names one license many times each place counts in
+n_base; of several spans of a template the best counts, and score is the greatest share of a template's grams that one merged span
+sees. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -97,19 +99,20 @@ def scan(docs: DataFrame) -> DataFrame:
         F.max(F.when(on_base, F.col("at"))).alias("last_word"),
         F.bit_or(F.when(is_own, F.col("base")).otherwise(F.lit(0).cast("long"))).alias("base_bits"),
     )
+    sizes = [len(template_words(t)) for _, t in TEMPLATES]
+    size = F.get(F.array(*map(F.lit, sizes)), F.col("template"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > GAP).cast("int"), F.lit(0))
     merged = (
         diagonals.withColumn("new", new)
         .withColumn("span", F.sum("new").over(along))
         .groupBy("row", "doc_id", "n_words", "template", "span")
-        .agg(*(F.bit_or(c).alias(c) for c in ("seen", "base_bits")), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_base").alias("n_base"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+        .agg(*(F.bit_or(c).alias(c) for c in ("seen", "base_bits")), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.bit_count("seen")).alias("alone"), F.sum("n_base").alias("n_base"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
     )
-    sizes = [len(template_words(t)) for _, t in TEMPLATES]
-    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("template") + 1)
-    label = F.element_at(F.array(*(F.lit(bit[n]).cast("long") for n, _ in TEMPLATES)), F.col("template") + 1)
+    label = F.get(F.array(*(F.lit(bit[n]).cast("long") for n, _ in TEMPLATES)), F.col("template"))
     share = F.when(F.col("template") >= 0, F.bit_count("seen") / (size - (GRAM - 1))).otherwise(F.lit(0.0))
-    verified = (F.col("template") >= 0) & (share >= LEAST) & (F.col("hi") - F.col("lo") + GRAM <= SPREAD * size)
+    together = (share >= LEAST) & (F.col("hi") - F.col("lo") + GRAM <= SPREAD * size)
+    verified = (F.col("template") >= 0) & (together | (F.col("alone") / (size - (GRAM - 1)) >= LEAST))
     out = merged.withColumn("share", share).withColumn("bits", F.when(verified, label).otherwise(F.lit(0).cast("long"))).groupBy("row", "doc_id", "n_words").agg(
         F.sum("n_base").alias("n_base"),
         F.min("first_word").cast("long").alias("first_word"),
