@@ -9,7 +9,8 @@ from bad labels best (greatest sum of the two classes' shares on the right side,
 
 Defined cases: a null or empty text has log weight 0; documents that tie at the cut are all kept; equal rows get equal
 rows; where no good label is known both models are the same and all documents are kept; where no bad one is known
-the bound is the least log weight of the good ones. Only doc_id and text, and doc_id and quality of labels, are read.
+the bound is the least log weight of the good ones; a table without rows gives none; texts of any length are counted and weighed
+whole. Only doc_id and text, and doc_id and quality of labels, are read, and keep_good() hands all other columns on.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches, cut, drop, read, ship, texts
+from .common import batches, cut, drop, read, ship, texts, unused
 
-BUCKETS, LABEL_ROWS, TEMPERATURE, SEED = 10_000, 20_000, 0.25, 20_240_229
+BUCKETS, LABEL_ROWS, TEMPERATURE, SEED = 10_000, 20_000, 1.0, 20_240_229
 #: N-grams of raw text that are added to the target text, so that a small target sample says little about rare buckets.
 PRIOR = 100_000.0
 #: Weight of keeping good documents against rejecting bad ones where the bound is set.
@@ -174,7 +175,7 @@ class Resampler:
         """The rows of `docs` that are drawn; same columns."""
         schema = docs.schema
         names = schema.fieldNames()
-        key = "key_" + "_".join(names)
+        key = unused(docs, "key")
         i = names.index("text")
         shared = self.shared
 
