@@ -10,7 +10,8 @@ count in the same way. What the last group of each class cannot complete - fewer
 most 2 * sqrt(capacity) classes, however large the input - is packed first-fit, longest first.
 
 Defined cases: a null or empty text is the end id alone; each row is packed, equal ones too; an empty table gives no
-pieces; only doc_id and text are read. Sequence ids are unique, not gapless.
+pieces; texts of any length are packed whole; pieces of equal length go by doc_id and start where workers meet. Only doc_id and text
+are read, whatever other columns are called. Sequence ids are unique, not gapless.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ is broadcast: at most `table_size` entries, from a bounded sample of documents,
 is not in it is looked up in the worker's own bounded cache, and encoded by the tokenizer if it is not there either.
 No chunk is ever shuffled, and each document's count is complete in one task.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; equal rows give equal rows; only doc_id and text are read.
+Defined cases: a null or empty text has 0 bytes and 0 tokens; equal rows give equal rows; a table without rows gives none; texts
+of any length are counted whole; which of equally frequent chunks the table holds changes no count. Only doc_id and text are read,
+whatever other columns are called.
 """
 
 from __future__ import annotations
