@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each over everything that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each over everything that the one before kept.
+
+Defined cases: a null or empty text goes in the first stage; a row without doc_id is a document like others; rows that share a doc_id
+are judged each by its own text, and of equal texts one row stays; ties in the classifier's draw stay; texts of any length are
+handled whole; a table without rows gives none; columns other than doc_id and text (and n_chars, which follows the text) are
+handed on as they are, whatever they are called, up to the last stage, which returns pieces.
+"""
 
 from __future__ import annotations
 
