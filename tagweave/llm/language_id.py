@@ -1,35 +1,38 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training takes a bounded sample of labelled texts (`per_language` whole documents of each language, least hash first).
-Each model's probabilities are computed once: for every n-gram that any language has seen, and for every order, one
-sorted array of n-gram hashes stands beside a matrix of natural log probabilities, one column a language; contexts have
-their backoff weights in the same form. Scoring looks whole texts up by binary search, order by order; a character whose n-gram is
-unknown to all languages takes the backoff weight of its context and goes on to the next lower order.
+Training takes a bounded sample of labelled texts: of each language whole documents, drawn by hash, up to `per_language`
+of them and `chars` characters, and up to `total_chars` characters of all languages together, shared evenly. Each model's probabilities
+are computed once. Languages go in groups of at most GROUP: for every n-gram that any language of a group has seen, and for every
+order, one sorted array of n-gram hashes stands beside a matrix of natural log probabilities, one column a language; contexts have
+their backoff weights in the same form. So the model grows with the number of languages, which has no bound but the labels.
+Scoring looks whole texts up by binary search, order by order; a character whose n-gram is unknown to all languages of a
+group takes the backoff weight of its context and goes on to the next lower order.
 
 The language of lowest cross-entropy per character wins. The score is a softmax over the languages' cross-entropies at
 a temperature fitted on a second part of the sample; `rejected` marks texts whose score, or whose cross-entropy, lies outside
 what that part shows for right answers.
 
 Defined cases: text that is null or has no letter is `und`, score 0, rejected; ties go to the language that sorts
-first; equal texts get equal predictions; with no labelled text at all everything is `und`. Only doc_id, text and lang are
-read, and lang only of the training part.
+first; equal texts get equal predictions; repeated rows count once in training; with no labelled text at all everything is
+`und`; a table without rows gives none; long texts are scored whole, in blocks. Only doc_id, text and lang are read, lang only
+of the training part, whatever other columns are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, read, ship, texts
+from .common import batches, cut, drop, read, ship, slices, texts
 
-ORDER, PER_LANGUAGE, CHARS, LANGUAGES = 4, 1500, 2_000_000, 256
+ORDER, PER_LANGUAGE, CHARS, TOTAL_CHARS = 4, 1500, 2_000_000, 24_000_000
+#: Languages whose models share sorted arrays.
+GROUP = 8
 #: Shares of right answers of the calibration part that rejection by score and by cross-entropy may cost.
 REJECT_SHARE = 0.005
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,7 +72,7 @@ def _find(sorted_hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 @dataclass
 class KneserNey:
-    """Sorted hash arrays of all orders, for all languages at once."""
+    """Sorted hash arrays of all orders, for the languages of a group at once."""
 
     languages: list[str]
     order: int
@@ -78,19 +81,17 @@ class KneserNey:
     contexts: list[np.ndarray] = field(default_factory=list)  # [n-1] sorted hashes of contexts of n characters
     weight: list[np.ndarray] = field(default_factory=list)  # [n-1] (entries, languages)
     floor: float = 0.0
-    temperature: float = 0.05
-    least_score: float = 0.0
-    most_entropy: float = np.inf
 
     @classmethod
-    def fit(cls, samples: dict[str, list[np.ndarray]], order: int = ORDER) -> KneserNey:
+    def fit(cls, samples: dict[str, list[np.ndarray]], order: int = ORDER, alphabet: int = 0) -> KneserNey:
+        """`alphabet`: characters that share the mass below single ones with one that stands for all unknown; else those seen."""
         langs = sorted(samples)
         model = cls(langs, order)
         # per language and order: gram hash -> count, its context's hash and its suffix's hash
         seen = [[_counted(samples[g], n) for n in range(1, order + 1)] for g in langs]
         prob: list[list[np.ndarray]] = [[] for _ in langs]
         backoff: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in langs]
-        alphabet = len(np.unique(np.concatenate([s[0][0] for s in seen])))
+        alphabet = alphabet or len(np.unique(np.concatenate([s[0][0] for s in seen])))
         model.floor = float(-np.log(alphabet + 1))
         for i, by_order in enumerate(seen):
             for n in range(1, order + 1):
@@ -98,7 +99,7 @@ class KneserNey:
                 if n < order:  # continuation counts: how many characters stand before it
                     kinds, count = np.unique(by_order[n][3], return_counts=True)
                     at = _find(kinds, gram)
-                    count = np.where(at >= 0, count[at], 1)
+                    count = np.where(at >= 0, count[at], 1) if len(kinds) else np.ones(len(gram))
                 count = count.astype(float)
                 ones, twos = (count == 1).sum(), (count == 2).sum()
                 d = ones / (ones + 2 * twos) if ones and twos else 0.75
@@ -200,11 +201,39 @@ class KneserNey:
         for (i, n), s in zip(owner, sums, strict=True):
             out[i] = -s / n
 
+
+@dataclass
+class Identifier:
+    """The models of all languages, and how their cross-entropies become a score and a rejection."""
+
+    groups: list[KneserNey]
+    temperature: float = 0.05
+    least_score: float = 0.0
+    most_entropy: float = np.inf
+
+    @classmethod
+    def fit(cls, samples: dict[str, list[np.ndarray]], order: int = ORDER, group: int = GROUP) -> Identifier:
+        langs = sorted(samples)
+        known: set[int] = set()
+        for parts in samples.values():
+            for codes in parts:
+                known.update(np.unique(codes).tolist())
+        return cls([KneserNey.fit({g: samples[g] for g in langs[i : i + group]}, order, len(known)) for i in range(0, len(langs), group)])
+
+    @property
+    def languages(self) -> list[str]:
+        return [g for m in self.groups for g in m.languages]
+
+    def entropies(self, raws: list[bytes]) -> np.ndarray:
+        return np.hstack([m.entropies(raws) for m in self.groups])
+
     def calibrate(self, raws: list[bytes], langs: list[str], share: float = REJECT_SHARE) -> None:
         """Temperature by least log loss on a grid; bounds that cost `share` of the right answers."""
-        h = self.entropies(raws)
+        if not raws:
+            return
+        h, names = self.entropies(raws), self.languages
         ok = ~np.isnan(h[:, 0])
-        h, right = h[ok], np.array([self.languages.index(g) for g in langs])[ok]
+        h, right = h[ok], np.array([names.index(g) for g in langs])[ok]
         if not len(h):
             return
         grid = np.geomspace(0.01, 1, 21)
@@ -218,14 +247,14 @@ class KneserNey:
 
     def predict(self, raws: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and rejection of each text."""
-        if not self.languages:
+        if not self.groups:
             return ["und"] * len(raws), [0.0] * len(raws), [True] * len(raws)
-        h = self.entropies(raws)
+        h, names = self.entropies(raws), self.languages
         none = np.isnan(h[:, 0])
         h[none] = 0
         score = np.where(none, 0.0, _softmax(h, self.temperature).max(1))
         rejected = none | (score < self.least_score) | (h.min(1) > self.most_entropy)
-        return ["und" if x else self.languages[i] for i, x in zip(h.argmin(1), none, strict=True)], score.tolist(), rejected.tolist()
+        return ["und" if x else names[i] for i, x in zip(h.argmin(1), none, strict=True)], score.tolist(), rejected.tolist()
 
 
 def _softmax(h: np.ndarray, temperature: float) -> np.ndarray:
@@ -250,45 +279,56 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS, order: int = ORDER) -> KneserNey:
-    """A model of the labelled texts that are not held out: of each language at most `per_language` texts and `chars`
-    characters (whole texts, until the next would pass the bound), a quarter of them for calibration."""
-    known = docs.where("lang is not null and text is not null").where(~held_out()).select("lang", "text", F.xxhash64("doc_id").alias("draw"))
-    # the draw is made on hashes alone, so that texts are not sorted
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    least = known.select("lang", "draw", first.alias("n")).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("draw").alias("last"))
-    limits = least.orderBy("lang").limit(LANGUAGES).collect()
+def labelled(docs: DataFrame) -> DataFrame:
+    """lang, text and a draw by hash of the rows that may be learned from."""
+    return docs.where("lang is not null and text is not null").where(~held_out()).select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("draw"))
+
+
+def training_rows(known: DataFrame, sizes: DataFrame, per_language: int, chars: int) -> DataFrame:
+    """About `per_language` different rows of each language of `sizes` (lang, size), with at most `chars` characters of each text.
+
+    A row is drawn where its draw is below its language's share, so no language's rows meet in one task.
+    """
+    share = F.pmod("draw", F.lit(1 << 52)) / float(1 << 52)
+    drawn = known.join(F.broadcast(sizes), "lang").where(share * F.col("size") < per_language)
+    return drawn.select("lang", F.substring("text", 1, chars).alias("text"), "draw").dropDuplicates(["lang", "draw"])
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS, total_chars: int = TOTAL_CHARS, order: int = ORDER) -> Identifier:
+    """A model of the labelled texts that are not held out, within the bounds (whole texts, until the next would pass one),
+    a quarter of them for calibration."""
     samples: dict[str, list[np.ndarray]] = {}
     check: list[tuple[bytes, str]] = []
     used: dict[str, int] = {}
-    if limits:
-        drawn = reduce(or_, [(F.col("lang") == r.lang) & (F.col("draw") <= r["last"]) for r in limits])
-        for r in known.where(drawn).orderBy("lang", "draw", "text").toLocalIterator():
-            raw = r.text.encode()
-            codes = folded(raw)
-            if not len(codes) or used.get(r.lang) and used[r.lang] + len(codes) > chars:
-                continue
-            used[r.lang] = used.get(r.lang, 0) + len(codes)
-            own = samples.setdefault(r.lang, [])
-            if own and r.draw % 4 == 0:
-                check.append((raw, r.lang))
-            else:
-                own.append(codes)
-    if not samples:
-        return KneserNey([], order)
-    model = KneserNey.fit(samples, order)
+    known = labelled(docs)
+    sizes = cut(known.groupBy("lang").agg(F.count("*").alias("size")))  # one row a language
+    chars = max(1, min(chars, total_chars // max(1, sizes.count())))
+    rows = training_rows(known, sizes, min(per_language, max(1, chars // 100)), chars)
+    for r in rows.orderBy("lang", "draw").toLocalIterator():
+        raw = r.text.encode()
+        codes = folded(raw)
+        if not len(codes) or used.get(r.lang) and used[r.lang] + len(codes) > chars:
+            continue
+        used[r.lang] = used.get(r.lang, 0) + len(codes)
+        own = samples.setdefault(r.lang, [])
+        if own and r.draw % 4 == 0:
+            check.append((raw, r.lang))
+        else:
+            own.append(codes)
+    drop(sizes)
+    model = Identifier.fit(samples, order)
     model.calibrate([c[0] for c in check], [c[1] for c in check])
     return model
 
 
-def identify(docs: DataFrame, model: KneserNey) -> DataFrame:
+def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            langs, scores, rejected = shared.value.predict(texts(b)) if b.num_rows else ([], [], [])
+        for b in slices(it):
+            langs, scores, rejected = shared.value.predict(texts(b))
             yield batches({"doc_id": b.column(0).to_pylist(), "held_out": b.column(2).to_pylist(), "lang_pred": langs, "score": scores, "rejected": rejected}, schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")).mapInArrow(
