@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grades import CONFIDENCE_RANKS, bucket_of, first_present, grade_order_key
+from ..functions.grades import bucket_of, first_present, grade_order_key
 
 LEVELS = ("high", "medium", "low")
 
@@ -28,14 +28,16 @@ def _confidence_counts() -> list[Column]:
 
 
 def document_summary(objectives: DataFrame) -> DataFrame:
-    """Per document: objectives, aligned ones, assignments, sorted distinct codes and counts by confidence."""
-    return objectives.groupBy("doc_id").agg(
+    """Per document: objectives, aligned ones, assignments, sorted distinct codes with their counts, and counts by confidence."""
+    out = objectives.groupBy("doc_id").agg(
         F.count("*").alias("n_objectives"),
         F.count_if(F.size("tags") > 0).alias("n_aligned"),
         F.sum(F.size("tags")).alias("n_assignments"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("tags", lambda t: t["code"]))))).alias("codes"),
         *_confidence_counts(),
     )
+    counts = code_counts(tags_of(objectives), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("code_counts"))
+    joined = out.join(counts, "doc_id", "left").withColumn("code_counts", F.coalesce("code_counts", F.array().cast(counts.schema["code_counts"].dataType)))
+    return joined.withColumn("codes", F.transform("code_counts", lambda c: c["code"]))
 
 
 def code_counts(tags: DataFrame, *keys: str) -> DataFrame:
@@ -50,10 +52,11 @@ def _coverage(df: DataFrame, counted: Column, half_even: bool) -> DataFrame:
     return df.agg(total.alias("n_objectives"), aligned.alias("n_aligned"), pct.alias("pct_aligned"), F.sum(F.size("tags")).alias("n_assignments"), *_confidence_counts())
 
 
-def global_summary(objectives: DataFrame) -> DataFrame:
-    """One row over all documents; distinct codes are counted apart, by code, so that no task holds them all."""
+def global_summary(objectives: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row over all documents, with their number by subject; distinct codes are counted apart, by code, so that no task holds them all."""
     codes = tags_of(objectives).agg(F.count_distinct("code")).scalar()
-    return _coverage(objectives, F.lit(True), True).withColumn("n_codes", codes)
+    subjects = by_subject(docs).agg(F.sort_array(F.collect_list(F.struct("subject", "n")))).scalar()
+    return _coverage(objectives, F.lit(True), True).withColumn("n_codes", codes).withColumn("by_subject", subjects)
 
 
 def by_subject(docs: DataFrame) -> DataFrame:
@@ -174,7 +177,3 @@ def cluster_letters(df: DataFrame, keys: Sequence[str] = ("domain",), cluster: s
     """A letter for each cluster of a domain in order of first appearance."""
     first = df.groupBy(*keys, cluster).agg(F.min(order).alias("first"))
     return first.withColumn("letter", F.char(F.dense_rank().over(Window.partitionBy(*keys).orderBy("first")) + 64))
-
-
-def confidence_levels() -> tuple[str, ...]:
-    return tuple(CONFIDENCE_RANKS)

@@ -36,14 +36,14 @@ def find_by_code(codes: DataFrame, taxonomy: DataFrame, precedence: Column, fiel
     return codes.select("code").distinct().join(best, "code").select("code", *(F.col(f"r.{f}") for f in fields))
 
 
-def merge_record_sets(sets: Sequence[DataFrame]) -> DataFrame:
-    """All records, the first set's where codes are equal; records without code go."""
+def merge_record_sets(sets: Sequence[DataFrame], order: str | None = None) -> DataFrame:
+    """All records, of equal codes the first set's, and in a set the first by `order` (else in the order the set is read in); records without code go."""
     out = None
     for i, s in enumerate(sets):
-        s = s.withColumn("_set", F.lit(i))
+        s = s.withColumn("_set", F.lit(i)).withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy("code").orderBy("_set")
-    return out.where(first_present("code").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_set")
+    w = Window.partitionBy("code").orderBy("_set", "_at")
+    return out.where(first_present("code").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_set", "_at")
 
 
 def visible_rows(seed: DataFrame, user: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -134,8 +134,8 @@ def filter_taxonomies(taxonomies: DataFrame, hide_library: bool = False, search:
     return out.where(_has(search, "title", "grade", "subject")) if search.strip() else out
 
 
-def browse_records(records: DataFrame, search: str = "", bucket: str = "", grade: str = "", used: DataFrame | None = None, limit: int = 50, offset: int = 0, order: str = "ord") -> DataFrame:
-    """One page of the records that pass, with the number of all that pass in `total`."""
+def browse_records(records: DataFrame, search: str = "", bucket: str = "", grade: str = "", used: DataFrame | None = None, limit: int = 50, offset: int = 0, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """(one page of the records that pass, one row with the number of all that pass in `total`)."""
     out = records
     if bucket:
         out = out.where(bucket_of() == bucket)
@@ -145,8 +145,7 @@ def browse_records(records: DataFrame, search: str = "", bucket: str = "", grade
         out = out.where(_has(search, "code", "text", first_present("strand_name", "category_name", "domain_name", "course_title")))
     if used is not None:
         out = out.join(used.select("code").distinct(), "code", "left_semi")
-    total = out.agg(F.count("*")).scalar()
-    return out.orderBy(order).offset(offset).limit(limit).withColumn("total", total)
+    return out.orderBy(order).offset(offset).limit(limit), out.agg(F.count("*").alias("total"))
 
 
 def search_objectives(objectives: DataFrame, q: str, only_aligned: bool = False) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.rules import ELEMENTARY, infer_grades, match_rules_of, skip_reason
 
 KEYS = ("doc_id", "subject", "path")
+#: Why an objective has its picks; `{}` is the subject.
+REFLECTIVE, LOGISTICAL = "reflective/metacognitive objective, no {} standard applies", "logistical/operational objective, no {} standard applies"
+NO_CANDIDATES, PICKED = "no candidates", "top-1 plus any candidate within {:.0%} of top score"
 TOP_N, PICK_RATIO, MAX_PICKS = 5, 0.85, 3
 
 
@@ -95,18 +98,22 @@ def rerank(candidates: DataFrame, objectives: DataFrame, n: int = TOP_N) -> Data
     return top_reranked(_scored(joined, grade, keyword), n)
 
 
-def auto_pick(ranked: DataFrame, ratio: float = PICK_RATIO, max_picks: int = MAX_PICKS) -> DataFrame:
-    """One row per objective: up to `max_picks` candidates within `ratio` of the best, and why. Needs title `objective_title` and `context`."""
-    best = ranked.groupBy(*KEYS).agg(
-        F.first("objective_title").alias("objective_title"),
-        F.first("context").alias("context"),
-        F.max("final_score").alias("top"),
-        F.sort_array(F.collect_list(F.struct("final_rank", "code", "grade", "final_score", "text"))).alias("all"),
-    )
+def auto_pick(ranked: DataFrame, objectives: DataFrame, ratio: float = PICK_RATIO, max_picks: int = MAX_PICKS) -> DataFrame:
+    """One row per objective (with `objective_title` and `context`): up to `max_picks` of its candidates within `ratio` of the best, and why."""
+    best = ranked.groupBy(*KEYS).agg(F.max("final_score").alias("top"), F.sort_array(F.collect_list(F.struct("final_rank", "code", "grade", "final_score", "text"))).alias("all"))
+    each = objectives.select(*KEYS, "objective_title", "context").join(best, list(KEYS), "left")
     skipped = skip_reason("objective_title", "context", "top")
-    near = F.slice(F.filter("all", lambda c: c["final_score"] >= F.col("top") * ratio), 1, max_picks)
+    listed = F.coalesce("all", F.array().cast(best.schema["all"].dataType))
+    near = F.slice(F.filter(listed, lambda c: skipped.isNull() & (c["final_score"] >= F.col("top") * ratio)), 1, max_picks)
     picks = F.transform(near, lambda c: F.struct(c["code"].alias("code"), c["grade"].alias("grade"), F.round(c["final_score"], 3).alias("final_score"), c["text"].alias("text")))
-    reason = F.when(skipped == "reflective", F.concat(F.lit("reflective objective, no "), F.upper("subject"), F.lit(" record applies"))).when(
-        skipped == "logistical", F.concat(F.lit("logistical objective, no "), F.upper("subject"), F.lit(" record applies"))
-    ).otherwise(F.concat(F.lit("best candidate and any within "), F.lit(f"{ratio:.0%}"), F.lit(" of it")))
-    return best.select(*KEYS, F.when(skipped.isNull(), picks).otherwise(F.slice(picks, 1, 0)).alias("picks"), reason.alias("reason"), "top")
+
+    def told(reason: str) -> Column:
+        return F.concat_ws("", *(F.upper("subject") if part is None else F.lit(part) for part in _around(reason)))
+
+    reason = F.when(skipped == "reflective", told(REFLECTIVE)).when(skipped == "logistical", told(LOGISTICAL)).when(F.col("top").isNull(), NO_CANDIDATES).otherwise(PICKED.format(ratio))
+    return each.select(*KEYS, picks.alias("picks"), reason.alias("reason"), "top")
+
+
+def _around(reason: str) -> tuple[str, None, str]:
+    before, after = reason.split("{}")
+    return before, None, after

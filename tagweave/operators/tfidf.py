@@ -48,10 +48,10 @@ def transform_tfidf(queries: DataFrame, idf: DataFrame, key: str = "query_id", t
     return _unit(counts.join(idf, [*own, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys)
 
 
-def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "query_id", key: str = "record_id", by: Sequence[str] = ()) -> DataFrame:
-    """Similarity of each query and record that share a term."""
-    other = postings.select(*by, key, "term", F.col("weight").alias("record_weight"))
-    return queries.join(other, [*by, "term"]).groupBy(*by, query_key, key).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
+def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "query_id", key: str = "record_id", by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Similarity of each query and record that share a term; `carry` are columns that the record's postings bring along."""
+    other = postings.select(*by, key, *carry, "term", F.col("weight").alias("record_weight"))
+    return queries.join(other, [*by, "term"]).groupBy(*by, query_key, key, *carry).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = TOP_K) -> DataFrame:
@@ -79,12 +79,18 @@ def pad_zero(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = T
     return top_k(found.select(*keys, key, "score", order).unionByName(spare), keys, [F.desc("score"), F.asc(order)], k)
 
 
-def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), digits: int = 9, by: Sequence[str] = ()) -> DataFrame:
-    """The k best records of each query, in each group of `by` that it is asked in; scores are rounded before ranking so that ties fall in corpus order.
+def attach_fields(ranked: DataFrame, corpus: DataFrame, fields: Sequence[str], key: str = "record_id", by: Sequence[str] = ()) -> DataFrame:
+    """Ranked rows with fields of their record."""
+    return ranked.join(corpus.select(*by, key, *fields), [*by, key])
+
+
+def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), digits: int = 9, by: Sequence[str] = (), pad: bool = True) -> DataFrame:
+    """The k best records of each query, in each group of `by` that it is asked in, with `pad` as many of score 0 as k lacks; scores are rounded before
+    ranking so that ties fall in corpus order. Postings carry that order, so pairs are scored, ranked and cut to k without another join.
 
     `corpus` has key, order and text, `queries` key and text; `corpus` has the columns of `by`, and queries without them are asked in every group."""
     postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
-    scores = cosine_scores(transform_tfidf(queries, idf, query_key, "text", stop_words, by), postings, query_key, key, by)
-    named = scores.withColumn("score", F.round("score", digits)).join(corpus.select(*by, key, order), [*by, key])
-    best = top_k(named, [*by, query_key], [F.desc("score"), F.asc(order)], k)
-    return pad_zero(best, queries, corpus, k, query_key, key, order, by)
+    placed = attach_fields(postings, corpus, [order], key, by)
+    scores = cosine_scores(transform_tfidf(queries, idf, query_key, "text", stop_words, by), placed, query_key, key, by, [order])
+    best = top_k(scores.withColumn("score", F.round("score", digits)), [*by, query_key], [F.desc("score"), F.asc(order)], k)
+    return pad_zero(best, queries, corpus, k, query_key, key, order, by) if pad else best

@@ -11,18 +11,23 @@ from ..operators import evaluate as E
 from .base import EXCLUSIONS, KEPT, OBJECTIVES, RECORDS, TAGS, exclusions, objectives, query, records, table, tags
 
 
-@query("a1_document_summary", f"""with {TAGS}, {OBJECTIVES}, c as (select doc_id, string_agg(distinct code, ',' order by code) as codes from tags group by 1)
-    select doc_id, count(*) as n_objectives, count(*) filter (where n_tags > 0) as n_aligned, cast(sum(n_tags) as bigint) as n_assignments, coalesce(any_value(codes), '') as codes,
+@query("a1_document_summary", f"""with {TAGS}, {OBJECTIVES}, n as (select doc_id, code, count(*) as n from tags group by all), c as (select doc_id, string_agg(code, ',' order by code) as codes, string_agg(code || ':' || n, ',' order by code) as code_counts from n group by 1)
+    select doc_id, coalesce(any_value(code_counts), '') as code_counts, count(*) as n_objectives, count(*) filter (where n_tags > 0) as n_aligned, cast(sum(n_tags) as bigint) as n_assignments, coalesce(any_value(codes), '') as codes,
     cast(sum(high) as bigint) as high, cast(sum(medium) as bigint) as medium, cast(sum(low) as bigint) as low from objs left join c using (doc_id) group by 1""")
 def a1(s, d):
-    return A.document_summary(objectives(s, d)).withColumn("codes", F.array_join("codes", ","))
+    told = F.transform("code_counts", lambda c: F.concat_ws(":", c["code"], c["n"].cast("string")))
+    return A.document_summary(objectives(s, d)).withColumn("codes", F.array_join("codes", ",")).withColumn("code_counts", F.array_join(told, ","))
 
 
 @query("a2_global_summary", f"""with {TAGS}, {OBJECTIVES} select count(*) as n_objectives, count(*) filter (where n_tags > 0) as n_aligned,
     round_even(100.0 * count(*) filter (where n_tags > 0) / count(*), 1) as pct_aligned, cast(sum(n_tags) as bigint) as n_assignments, cast(sum(high) as bigint) as high,
-    cast(sum(medium) as bigint) as medium, cast(sum(low) as bigint) as low, (select count(distinct code) from tags) as n_codes from objs""")
+    cast(sum(medium) as bigint) as medium, cast(sum(low) as bigint) as low, (select count(distinct code) from tags) as n_codes,
+    (select string_agg(subject || ':' || n, ',' order by subject) from (select case o_orderkey % 5 when 1 then 'math' when 2 then 'history' else 'ela' end as subject, count(*) as n from orders group by 1)) as by_subject from objs""")
 def a2(s, d):
-    return A.global_summary(objectives(s, d))
+    k = F.col("o_orderkey") % 5
+    docs = table(s, d, "orders").select(F.when(k == 1, "math").when(k == 2, "history").when(k == 3, "").alias("subject"))
+    told = F.transform("by_subject", lambda c: F.concat_ws(":", c["subject"], c["n"].cast("string")))
+    return A.global_summary(objectives(s, d), docs).withColumn("by_subject", F.array_join(told, ","))
 
 
 @query("a3_coverage_summary", f"""with {TAGS}, {OBJECTIVES}, {EXCLUSIONS}, {KEPT} select count(*) filter (where counts) as n_objectives, count(*) filter (where counts and n_tags > 0) as n_aligned,
@@ -205,10 +210,10 @@ def j4(s, d):
     return C.find_by_code(tags(s, d), _sets(s, d), (F.col("ord") % 3) * 1000000 + F.col("ord"))
 
 
-@query("j5_merge_record_sets", "with a as (select p_brand || p_size as code, min(p_partkey) as id, 0 as set from part where p_partkey % 2 = 0 group by 1 union all select p_brand || p_size, min(p_partkey), 1 from part where p_partkey % 2 = 1 group by 1) select code, arg_min(id, set) as id from a group by 1")
+@query("j5_merge_record_sets", "select code, arg_min(id, (id % 2, id)) as id from (select p_brand || p_size as code, p_partkey as id from part) group by 1")
 def j5(s, d):
     p = table(s, d, "part").withColumn("code", F.concat("p_brand", F.col("p_size").cast("string")))
-    return C.merge_record_sets([p.where(f"p_partkey % 2 = {k}").groupBy("code").agg(F.min("p_partkey").alias("id")) for k in (0, 1)]).select("code", "id")
+    return C.merge_record_sets([p.where(f"p_partkey % 2 = {k}").withColumnRenamed("p_partkey", "id") for k in (0, 1)], "id").select("code", "id")
 
 
 @query("j6_visible_rows", "select o_orderkey as id, o_orderstatus as status from orders where (o_orderstatus = 'F' and o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)) or o_orderstatus <> 'F'")
@@ -281,7 +286,8 @@ def f12(s, d):
 
 @query("f13_browse_records", f"with {RECORDS}, f as (select * from recs where coalesce(nullif(strand, ''), category, case when is_practice then 'MP' else 'Other' end) = 'Brand#2' and (grade = '11-12' or grade_band = '11-12') and (contains(lower(code), 'e') or contains(lower(text), 'e'))) select code, (select count(*) from f) as total from f order by ord offset 5 limit 20")
 def f13(s, d):
-    return C.browse_records(records(s, d), search="e", bucket="Brand#2", grade="11-12", limit=20, offset=5).select("code", "total")
+    page, total = C.browse_records(records(s, d), search="e", bucket="Brand#2", grade="11-12", limit=20, offset=5)
+    return page.select("code", total.scalar().alias("total"))
 
 
 @query("f14_search_objectives", f"with {OBJECTIVES}, {TAGS} select distinct doc_id, path from tags where contains(lower(code), 'c4')")
@@ -321,10 +327,11 @@ def t2(s, d):
     return C.patch_rows(o, patches, ["name", "grade"]).select("id", "name", "grade", "updated_at")
 
 
-@query("t3_delete_rows", "select o_orderkey as id, o_orderstatus = 'F' as is_seed from orders where not (o_orderstatus <> 'F' and o_orderkey % 4 = 0)")
+@query("t3_delete_rows", "select 'left' as part, o_orderkey as id from orders where not (o_orderstatus <> 'F' and o_orderkey % 4 = 0) union all select 'hidden', o_orderkey from orders where o_orderstatus = 'F' and o_orderkey % 4 = 0 union all select 'lines', l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'F' and o_orderkey % 4 = 0)")
 def t3(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("is_seed"))
-    return C.delete_rows(o, o.where("id % 4 = 0"))[0]
+    left, hidden, (lines,) = C.delete_rows(o, o.where("id % 4 = 0"), table(s, d, "lineitem").select(F.col("l_orderkey").alias("id")))
+    return left.select(F.lit("left").alias("part"), "id").unionByName(hidden.select(F.lit("hidden").alias("part"), "id")).unionByName(lines.select(F.lit("lines").alias("part"), "id"))
 
 
 @query("t5_toggle_sections", "select doc_id, section_idx from (select user_id as doc_id, event_id % 3 as section_idx, arg_max(event_type = 'click', ts) as x from events group by all) where x")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import segment as G
 from ..sources.documents import read_lines
-from .base import ORACLES, query, table
+from .base import query, table
 
 _LINES = r"lines as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, string_split_regex(text, '\r?\n') as l from documents))"
 # lines that start with a capital letter stand for item starts; lines with a question mark or a long one for headers
@@ -59,45 +57,41 @@ def g6(s, d):
     return G.mint_codes(e).select("line_no", "code", "parent_code")
 
 
-_CODED = """coded as (select item_id as doc_id, 'Intro HS-PS' || (1 + item_id % 4) || '-1. ' || left(text, 60) || '* [Clarification Statement: look ' || item_id || '] [Assessment Boundary: not ' || item_id || ']  MS-LS2-3. Second ' || item_id || ' Disciplinary Core Ideas tail K-2-ETS1-2. Third.' as text from benchmark)"""
+_CODED = """coded as (select item_id as doc_id, 'Intro HS-PS' || (1 + item_id % 4) || '-1. ' || text || '* [Clarification Statement: look ' || item_id || '] [Assessment Boundary: not ' || item_id || ']  MS-LS2-3. Second ' || item_id || ' Disciplinary Core Ideas tail K-2-ETS1-2. Third.' as text from benchmark)"""
 
 
-def _coded(s, d, whole=False):
+def _coded(s, d):
     i = F.col("item_id").cast("string")
-    text = F.concat(F.lit("Intro HS-PS"), (1 + F.col("item_id") % 4).cast("string"), F.lit("-1. "), F.col("text") if whole else F.substring("text", 1, 60), F.lit("* [Clarification Statement: look "), i, F.lit("] [Assessment Boundary: not "), i, F.lit("]  MS-LS2-3. Second "), i, F.lit(" Disciplinary Core Ideas tail K-2-ETS1-2. Third."))
+    text = F.concat(F.lit("Intro HS-PS"), (1 + F.col("item_id") % 4).cast("string"), F.lit("-1. "), "text", F.lit("* [Clarification Statement: look "), i, F.lit("] [Assessment Boundary: not "), i, F.lit("]  MS-LS2-3. Second "), i, F.lit(" Disciplinary Core Ideas tail K-2-ETS1-2. Third."))
     return table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text"))
 
 
-_BODY = r"ltrim(regexp_replace(left(b.text, 60), '\s+', ' ', 'g')) || '* [Clarification Statement: look ' || item_id || '] [Assessment Boundary: not ' || item_id || ']'"
+_BODY = r"ltrim(regexp_replace(b.text, '\s+', ' ', 'g')) || '* [Clarification Statement: look ' || item_id || '] [Assessment Boundary: not ' || item_id || ']'"
 
 
 @query("g7_split_coded_text", f"select item_id as doc_id, 1 as n, 'HS-PS' || (1 + item_id % 4) as topic, 1 as number, {_BODY} as body from benchmark b union all select item_id, 2, 'MS-LS2', 3, 'Second ' || item_id from benchmark union all select item_id, 3, 'K-2-ETS1', 2, 'Third.' from benchmark")
-def g7(s, d, whole=False):
-    return G.split_coded_text(_coded(s, d, whole))
+def g7(s, d):
+    return G.split_coded_text(_coded(s, d))
 
 
-@query("g8_split_annotations", r"select item_id as doc_id, 'look ' || item_id as clarification, 'not ' || item_id as assessment_boundary, true as engineering, trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')) as statement from benchmark")
-def g8(s, d, whole=False):
-    one = G.split_coded_text(_coded(s, d, whole)).where("n = 1")
+@query("g8_split_annotations", r"select item_id as doc_id, 'look ' || item_id as clarification, 'not ' || item_id as assessment_boundary, true as engineering, trim(regexp_replace(text, '\s+', ' ', 'g')) as statement from benchmark")
+def g8(s, d):
+    one = G.split_coded_text(_coded(s, d)).where("n = 1")
     return G.split_annotations(one).select("doc_id", "clarification", "assessment_boundary", "engineering", "statement")
 
 
-@query("g9_derive_code_parts", r"""select item_id as doc_id, 'HS-PS' || (1 + item_id % 4) || '-1' as code, 'HS' as grade, '9-12' as grade_band, 'PS' as domain, cast(1 + item_id % 4 as integer) as topic_number, trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')) || ' look ' || item_id as text from benchmark
+@query("g9_derive_code_parts", r"""select item_id as doc_id, 'HS-PS' || (1 + item_id % 4) || '-1' as code, 'HS' as grade, '9-12' as grade_band, 'PS' as domain, cast(1 + item_id % 4 as integer) as topic_number, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' look ' || item_id as text from benchmark
     union all select item_id, 'MS-LS2-3', 'MS', '6-8', 'LS', 2, 'Second ' || item_id from benchmark union all select item_id, 'K-2-ETS1-2', 'K-2', 'K-2', 'ETS', 1, 'Third.' from benchmark""")
-def g9(s, d, whole=False):
-    return G.derive_code_parts(G.split_annotations(G.split_coded_text(_coded(s, d, whole)))).select("doc_id", "code", "grade", "grade_band", "domain", "topic_number", "text")
-
+def g9(s, d):
+    return G.derive_code_parts(G.split_annotations(G.split_coded_text(_coded(s, d)))).select("doc_id", "code", "grade", "grade_band", "domain", "topic_number", "text")
 
-# the same over whole texts; the SQL of g7 to g9 has a cut at 60 characters
-for _name, _split in {"g7_split_coded_text": g7, "g8_split_annotations": g8, "g9_derive_code_parts": g9}.items():
-    query(f"{_name}_whole", ORACLES[_name].replace("left(b.text, 60)", "b.text").replace("left(text, 60)", "text"))(partial(_split, whole=True))
 
-
-@query("g10_extract_markers", r"select p_partkey, p_partkey % 2 = 0 as ca_addition, p_partkey % 3 = 0 as modeling, p_partkey % 5 = 0 as plus_standard, p_name as text from part")
+@query("g10_extract_markers", r"select p_partkey, p_partkey % 2 = 0 as ca_addition, p_partkey % 3 = 0 as modeling, p_partkey % 5 = 0 as plus_standard, p_name as text, case when p_partkey % 7 = 0 then 'CCSS.MATH.PRACTICE.' else 'CCSS.MATH.CONTENT.' end || p_partkey as full_code from part")
 def g10(s, d):
     k = F.col("p_partkey")
     marked = F.concat(F.when(k % 5 == 0, " (+) ").otherwise(""), "p_name", F.when(k % 3 == 0, "★").otherwise(""), F.when(k % 2 == 0, "  CA.").otherwise(""))
-    return G.extract_markers(table(s, d, "part").select("p_partkey", marked.alias("text"))).select("p_partkey", "ca_addition", "modeling", "plus_standard", "text")
+    section = F.when(k % 7 == 0, "Mathematical Practices").otherwise("Content")
+    return G.extract_markers(table(s, d, "part").select("p_partkey", marked.alias("text"))).select("p_partkey", "ca_addition", "modeling", "plus_standard", "text", G.full_code(k.cast("string"), section).alias("full_code"))
 
 
 @query("g11_walk_clusters")
@@ -111,15 +105,8 @@ def g11(s, d):
     return G.walk_clusters(heads.unionByName(lines).withColumn("doc_id", F.col("doc_id").cast("string")), ["OA"])
 
 
-@query("g12_extract_numbered", "select item_id as doc_id, unnest([1, 2]) as number, unnest(['First ' || item_id || ' words', 'Second item ' || item_id || ' too']) as item_text from benchmark")
+@query("g12_extract_numbered", "select item_id as doc_id, unnest([1, 2]) as number, unnest([trim('First ' || item_id || ' ' || text), 'Second item ' || item_id || ' ' || text || ' too']) as item_text from benchmark")
 def g12(s, d):
-    i = F.col("item_id").cast("string")
-    text = F.concat(F.lit("Head 1. lower 1. First "), i, F.lit(" words 2. Second item "), i, F.lit(" too *2 3. Short Note here"))
-    return G.extract_numbered(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text")), [1, 2, 3, 4], ["Note here"])
-
-
-@query("g12_extract_numbered_whole", "select item_id as doc_id, unnest([1, 2]) as number, unnest([trim('First ' || item_id || ' ' || text), 'Second item ' || item_id || ' ' || text || ' too']) as item_text from benchmark")
-def g12_whole(s, d):
     """The benchmark texts as first and second item."""
     i = F.col("item_id").cast("string")
     text = F.concat(F.lit("Head 1. lower 1. First "), i, F.lit(" "), "text", F.lit(" 2. Second item "), i, F.lit(" "), "text", F.lit(" too *2 3. Short Note here"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import excerpts
@@ -15,7 +13,7 @@ from ..operators import flatten as P
 from ..operators import rerank as K
 from ..operators import tfidf as T
 from ..sources import documents as S
-from .base import ORACLES, RECORDS, TAGS, query, records, table, tags
+from .base import RECORDS, TAGS, query, records, table, tags
 from .shared import scratch as _scratch
 
 STOP = ("the", "and", "of", "to", "in", "is", "that", "on", "for", "with", "it", "as")
@@ -44,23 +42,23 @@ _FLAT = rf"""flat as (select doc_id, section_idx, objective_idx, 'sections[' ||
 
 @query("s1_read_documents", f"with {_NESTED} select doc_id, 'Talk ' || doc_id as title, count(distinct part) as n_sections, count(*) as n_objectives from turns group by 1")
 def s1(s, d):
+    """One file of several lines for each document, as the reader wants them; a file's stem is its doc_id, so the document's own id is beside it."""
     path = _scratch(s, "documents")
-    _nested(s, d).withColumn("key", F.col("doc_id")).drop("doc_id").repartition(4).write.json(path)
-    read = s.read.schema("key string, " + S.DOCUMENT).json(path)
-    return read.select(F.col("key").alias("doc_id"), "title", F.size("sections").cast("long").alias("n_sections"), F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + F.size(x["objectives"])).alias("n_objectives"))
+    _nested(s, d).withColumnRenamed("doc_id", "id").write.option("pretty", True).option("maxRecordsPerFile", 1).json(path)
+    read = S.read_documents(s, path)
+    return read.groupBy(F.col("doc_id").alias("stem")).agg(F.any_value("id").alias("doc_id"), F.any_value("title").alias("title"), F.any_value(F.size("sections")).cast("long").alias("n_sections"), F.any_value(F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + F.size(x["objectives"]))).alias("n_objectives")).drop("stem")
 
 
 @query("s2_read_taxonomy", "select 'ela' as subject, 'C' || p_partkey as code, p_name as text from part where p_partkey % 2 = 0 union all select 'math', 'C' || p_partkey, p_name from part where p_partkey % 2 = 1")
 def s2(s, d):
+    """One taxonomy as files that are arrays of records, one as files that hold them in `records`."""
     one, two = _scratch(s, "bare"), _scratch(s, "wrapped")
     r = table(s, d, "part").select("p_partkey", F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("text"))
-    r.where("p_partkey % 2 = 0").drop("p_partkey").write.json(one)
-    r.where("p_partkey % 2 = 1").groupBy(F.floor(F.col("p_partkey") / 100)).agg(F.collect_list(F.struct("code", "text")).alias("records")).select("records").write.json(two)
-
-    def lines(path):
-        return s.read.schema(f"{S.RECORD}, records array<struct<{S.RECORD}>>").json(path)
-
-    return S.taxonomy_rows(lines(one), "ela").unionByName(S.taxonomy_rows(lines(two), "math")).select("subject", "code", "text")
+    for k, path in enumerate((one, two)):
+        listed = r.where(f"p_partkey % 2 = {k}").groupBy(F.floor(F.col("p_partkey") / 500)).agg(F.collect_list(F.struct("code", "text")).alias("records"))
+        text = F.to_json(F.struct("records") if k else F.col("records"), {"pretty": "true"})
+        listed.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_taxonomy(s, {"ela": one, "math": two}).select("subject", "code", "text")
 
 
 @query("s3_list_inputs", "select url as file from pages where regexp_matches(url, 'example') and not regexp_matches(url, '(ref=x|page=2)$')")
@@ -93,7 +91,7 @@ def s6(s, d):
 @query("s7_build_manifest", "select cast(o_orderkey as varchar) as doc_id, case when o_orderkey % 2 = 0 then 'ela' else lower(o_orderpriority) end as subject, 'taxonomies/ela.json' as taxonomy, case when o_orderkey % 3 = 0 then cast(o_orderkey as varchar) else o_orderstatus end as title, o_orderkey in (select l_orderkey from lineitem where l_quantity > 30) as has_source from orders")
 def s7(s, d):
     k = F.col("o_orderkey")
-    finals = table(s, d, "orders").select(k.cast("string").alias("doc_id"), F.when(k % 2 != 0, F.lower("o_orderpriority")).otherwise("").alias("subject"), F.lit("").alias("standards_db"), F.when(k % 3 != 0, F.col("o_orderstatus")).alias("edusperience_title"))
+    finals = table(s, d, "orders").select(k.cast("string").alias("doc_id"), F.when(k % 2 != 0, F.lower("o_orderpriority")).otherwise("").alias("subject"), F.lit("").alias("standards_db"), F.when(k % 3 != 0, F.col("o_orderstatus")).alias("title"))
     return S.build_manifest(finals, table(s, d, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").cast("string").alias("doc_id")))
 
 
@@ -201,13 +199,9 @@ def p15(s, d):
     return r.select("code", G.display_metadata().alias("m")).select("code", "m.badge", "m.badge_name", "m.grade")
 
 
-@query("p18_parse_list", "with w as (select doc_id, string_split(left(text, 400), ',') as l from documents) select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(l, lambda x: lower(trim(x))), lambda x: x <> ''))), '|') as items from w")
-def p18(s, d, whole=False):
-    return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(X.parse_list(F.col("text") if whole else F.substring("text", 1, 400), lower=True, distinct=True)), "|").alias("items"))
-
-
-# the same over whole texts; the SQL of p18 has a cut at 400 characters
-query("p18_parse_list_whole", ORACLES["p18_parse_list"].replace("left(text, 400)", "text"))(partial(p18, whole=True))
+@query("p18_parse_list", "with w as (select doc_id, string_split(text, ',') as l from documents) select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(l, lambda x: lower(trim(x))), lambda x: x <> ''))), '|') as items from w")
+def p18(s, d):
+    return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(X.parse_list("text", lower=True, distinct=True)), "|").alias("items"))
 
 
 @query("p19_parse_json_loose", "select event_id, case when event_id % 3 = 2 then null else cast(props->>'k' as integer) end as k from events")
@@ -254,14 +248,13 @@ _ERAS = "list_concat(" + ", ".join(f"case when {_hit(w)} then {_list(g)} else []
 _TOPICS = "list_concat(" + ", ".join(f"case when {_hit(w)} then {_list(g)} else [] end" for w, g in (*R.SCIENCE_TOPICS, *((w, R.LEVEL_GRADES["science"][k]) for k, w in R.LEVEL_WORDS.items()))) + ")"
 # words of the rules, dealt to the texts so that the rules have something to find
 _SALT = ("essay on the civil war", "grade 7 ratio and budget", "ancient egypt timeline", "DNA and evolution in high school", "plain words", "reflection", "submit your file name", "weather and the food web, 5th grade", "World War and the Cold War", "theme of romeo; cite evidence")
-_SALTED = "salted as (select doc_id, left(text, 200) || ' ' || " + _list(_SALT) + "[1 + doc_id % 10] || '.' as text from documents)"
-_SALTED_WHOLE = _SALTED.replace("left(text, 200)", "text")
+_SALTED = "salted as (select doc_id, text || ' ' || " + _list(_SALT) + "[1 + doc_id % 10] || '.' as text from documents)"
 
 
-def _salted(s, d, whole=False):
-    """Texts with a dealt phrase at the end: the first 200 characters, as the SQL of f3 to f9 has them, or the whole text."""
+def _salted(s, d):
+    """Whole texts with a dealt phrase at the end."""
     salt = F.element_at(F.array(*map(F.lit, _SALT)), (F.col("doc_id") % 10 + 1).cast("int"))
-    return table(s, d, "documents").select("doc_id", F.concat(F.col("text") if whole else F.substring("text", 1, 200), F.lit(" "), salt, F.lit(".")).alias("text"))
+    return table(s, d, "documents").select("doc_id", F.concat("text", F.lit(" "), salt, F.lit(".")).alias("text"))
 
 
 @query("f1_detect_subjects", "select doc_id, case when s = '' then 'ela' else s end as subjects from (select doc_id, concat_ws(',', " + ", ".join(f"case when {_hit(R.SUBJECT_WORDS[x])} then '{x}' end" for x in R.SUBJECTS) + ") as s from documents)")
@@ -275,18 +268,18 @@ def f2(s, d):
 
 
 @query("f3_infer_grades", f"with {_SALTED} select doc_id, array_to_string({_level('ela')}, ',') as ela, array_to_string({_level('math')}, ',') as math from salted")
-def f3(s, d, whole=False):
-    return _salted(s, d, whole).select("doc_id", F.array_join(R.infer_grades_ela("text"), ",").alias("ela"), F.array_join(R.infer_grades_math("text"), ",").alias("math"))
+def f3(s, d):
+    return _salted(s, d).select("doc_id", F.array_join(R.infer_grades_ela("text"), ",").alias("ela"), F.array_join(R.infer_grades_math("text"), ",").alias("math"))
 
 
 @query("f4_infer_grades_history", f"with {_SALTED} select doc_id, array_to_string(list_sort(list_distinct(case when len(e) > 0 then e else l end)), ',') as grades from (select doc_id, {_ERAS} as e, {_level('history')} as l from salted)")
-def f4(s, d, whole=False):
-    return _salted(s, d, whole).select("doc_id", F.array_join(F.array_sort(R.infer_grades_history("text")), ",").alias("grades"))
+def f4(s, d):
+    return _salted(s, d).select("doc_id", F.array_join(F.array_sort(R.infer_grades_history("text")), ",").alias("grades"))
 
 
 @query("f5_infer_grades_science", f"with {_SALTED} select doc_id, array_to_string(list_sort(list_distinct({_TOPICS})), ',') as grades from salted")
-def f5(s, d, whole=False):
-    return _salted(s, d, whole).select("doc_id", F.array_join(F.array_sort(R.infer_grades_science("text")), ",").alias("grades"))
+def f5(s, d):
+    return _salted(s, d).select("doc_id", F.array_join(F.array_sort(R.infer_grades_science("text")), ",").alias("grades"))
 
 
 def _rules_sql(subject: str) -> str:
@@ -295,8 +288,8 @@ def _rules_sql(subject: str) -> str:
 
 
 @query("f6_match_rules", f"with {_SALTED} select doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct({_rules_sql(x)})), ',') as {x}" for x in R.SUBJECTS) + " from salted")
-def f6(s, d, whole=False):
-    return _salted(s, d, whole).select("doc_id", *(F.array_join(F.array_sort(R.match_rules("text", x)["boosts"]), ",").alias(x) for x in R.SUBJECTS))
+def f6(s, d):
+    return _salted(s, d).select("doc_id", *(F.array_join(F.array_sort(R.match_rules("text", x)["boosts"]), ",").alias(x) for x in R.SUBJECTS))
 
 
 def _ascii(words: str) -> str:
@@ -309,26 +302,21 @@ _SCOPE = f"""case when kind in ('ai', 'ai_assistant', 'teacher') or audience = '
 _SCOPED = _SALTED + ", scoped as (select doc_id, case when doc_id % 7 = 0 then 'insert ' || text else text end as text, case doc_id % 5 when 0 then 'teacher' when 1 then 'platform' else 'task' end as kind, case when doc_id % 11 = 0 then 'teacher' else '' end as audience from salted)"
 
 
-def _scoped(s, d, whole=False):
+def _scoped(s, d):
     k = F.col("doc_id")
-    return _salted(s, d, whole).select("doc_id", F.when(k % 7 == 0, F.concat(F.lit("insert "), "text")).otherwise(F.col("text")).alias("text"), F.when(k % 5 == 0, "teacher").when(k % 5 == 1, "platform").otherwise("task").alias("kind"), F.when(k % 11 == 0, "teacher").otherwise("").alias("audience"))
+    return _salted(s, d).select("doc_id", F.when(k % 7 == 0, F.concat(F.lit("insert "), "text")).otherwise(F.col("text")).alias("text"), F.when(k % 5 == 0, "teacher").when(k % 5 == 1, "platform").otherwise("task").alias("kind"), F.when(k % 11 == 0, "teacher").otherwise("").alias("audience"))
 
 
 @query("f7_counts_toward_coverage", f"with {_SCOPED} select doc_id, {_SCOPE} as counts from scoped")
-def f7(s, d, whole=False):
-    return _scoped(s, d, whole).select("doc_id", R.counts_toward_coverage("kind", "audience", "text").alias("counts"))
+def f7(s, d):
+    return _scoped(s, d).select("doc_id", R.counts_toward_coverage("kind", "audience", "text").alias("counts"))
 
 
-@query("f8_shows_in_report", f"with {_SCOPED} select doc_id from scoped where {_SCOPE} and doc_id % 2 = 0")
+@query("f8_shows_in_report", f"with {_SCOPED}, {TAGS} select doc_id, {_SCOPE} and doc_id in (select doc_id from tags) as shows from scoped")
 def f8(s, d):
-    return _scoped(s, d).where(R.counts_toward_coverage("kind", "audience", "text") & (F.col("doc_id") % 2 == 0)).select("doc_id")
-
-
-@query("f8_shows_in_report_tags", f"with {_SCOPED.replace(_SALTED, _SALTED_WHOLE)}, {TAGS} select doc_id, {_SCOPE} and doc_id in (select doc_id from tags) as shows from scoped")
-def f8_tags(s, d):
-    """All documents, whole, with the tags that the stand-in gives them; f8_shows_in_report has a filter on ids in its SQL."""
+    """All documents, with the tags that the stand-in gives them."""
     tagged = tags(s, d).groupBy("doc_id").agg(F.collect_list("code").alias("tags"))
-    return _scoped(s, d, whole=True).join(tagged, "doc_id", "left").select("doc_id", R.shows_in_report("kind", "audience", "tags", "text").alias("shows"))
+    return _scoped(s, d).join(tagged, "doc_id", "left").select("doc_id", R.shows_in_report("kind", "audience", "tags", "text").alias("shows"))
 
 
 _SKIP = f"""case when regexp_matches(title, '(?i)^\\s*([A-Za-z0-9 /&-]*(^|[^A-Za-z0-9_]))?(reflection|reflect on|metacognit|takeaways?|what did you learn|ai (prompt|reflection|critical thinking))\\s*\\d*\\s*$') then 'reflective'
@@ -336,16 +324,11 @@ _SKIP = f"""case when regexp_matches(title, '(?i)^\\s*([A-Za-z0-9 /&-]*(^|[^A-Za
 
 
 @query("f9_skip_reason", f"with {_SALTED}, t as (select doc_id, text, {_list(_SALT)}[1 + doc_id % 10] as title from salted) select doc_id, {_SKIP} as reason from t")
-def f9(s, d, whole=False):
-    t = _salted(s, d, whole).withColumn("title", F.element_at(F.array(*map(F.lit, _SALT)), (F.col("doc_id") % 10 + 1).cast("int")))
+def f9(s, d):
+    t = _salted(s, d).withColumn("title", F.element_at(F.array(*map(F.lit, _SALT)), (F.col("doc_id") % 10 + 1).cast("int")))
     return t.select("doc_id", R.skip_reason("title", "text", (F.col("doc_id") % 10) / 26.0).alias("reason"))
 
 
-# the same rules over whole texts
-for _name, _rule in {"f3_infer_grades": f3, "f4_infer_grades_history": f4, "f5_infer_grades_science": f5, "f6_match_rules": f6, "f7_counts_toward_coverage": f7, "f9_skip_reason": f9}.items():
-    query(f"{_name}_whole", ORACLES[_name].replace(_SALTED, _SALTED_WHOLE))(partial(_rule, whole=True))
-
-
 # retrieval
 
 _GRAMS = rf"""w as (select id, corpus, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: not list_contains({_STOPS}, x)) as l from (select doc_id as id, 0 as corpus, text from documents union all select item_id, 1, text from benchmark)),
@@ -388,7 +371,7 @@ def r4(s, d):
 def r5(s, d):
     """The flagship: the three best records of each document, as joins on terms."""
     q, c = _sides(s, d)
-    return T.shortlist(q, c, 3, stop_words=STOP).where("score > 0").select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return T.shortlist(q, c, 3, stop_words=STOP, pad=False).where("score > 0").select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("r6_pad_zero", f"with {_TOP.replace('K_ROWS', '15')} select query_id, record_id, round(score, 6) as score, rank from top")
@@ -400,7 +383,7 @@ def r6(s, d):
 @query("r7_attach_fields", f"with {_TOP.replace('K_ROWS', '2')} select query_id, rank, b.text as record_text from top join benchmark b on item_id = record_id")
 def r7(s, d):
     q, c = _sides(s, d)
-    return T.shortlist(q, c, 2, stop_words=STOP).join(c.select("record_id", F.col("text").alias("record_text")), "record_id").select("query_id", F.col("rank").cast("long").alias("rank"), "record_text")
+    return T.attach_fields(T.shortlist(q, c, 2, stop_words=STOP), c.withColumnRenamed("text", "record_text"), ["record_text"]).select("query_id", F.col("rank").cast("long").alias("rank"), "record_text")
 
 
 _R8 = rf"""w as (select id, corpus, subject, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: not list_contains({_STOPS}, x)) as l
@@ -428,16 +411,23 @@ _CANDS = """cands as (select *, row_number() over (partition by doc_id order by
     cand as (select doc_id, rank, score, k, case k % 3 when 0 then 'RL' when 1 then 'W' else 'L' end as strand, case k % 4 when 0 then '9-10' when 1 then '6' when 2 then 'K' else 'HS' end as grade, k % 5 = 0 as flag, k % 6 + 1 as num, doc_id % 3 as g, doc_id % 2 as h from cands)"""
 
 
-def _cands(s, d, subject):
+_BOOSTS = {"ela": ("RL 1", "W 3"), "math": ("RL", "MP"), "history": ("SKILL:W", "3.1"), "science": ("W", "ETS1")}
+
+
+def _cands(s, d, *subjects):
+    """Candidates and objectives of the subjects."""
     k, rank = F.col("l_partkey"), F.row_number().over(K.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     strand = F.when(k % 3 == 0, "RL").when(k % 3 == 1, "W").otherwise("L")
     grade = F.when(k % 4 == 0, "9-10").when(k % 4 == 1, "6").when(k % 4 == 2, "K").otherwise("HS")
     num = (k % 6 + 1).cast("string")
-    code = {"history": F.concat(num, F.lit("."), (k % 12).cast("string"))}.get(subject, F.concat(strand, F.lit(".9-10."), num))
-    cands = table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(subject).alias("subject"), F.lit("p").alias("path"), rank.alias("rank"), F.round(F.col("l_discount") * 5, 2).alias("score"), strand.alias("strand"), grade.alias("grade"), code.alias("code"), F.concat(F.lit("t"), num).alias("text"), *((k % 5 == 0).alias(c) for c in ("is_anchor", "is_practice", "is_skill", "engineering")), strand.alias("domain_code"), strand.alias("skill_category_code"), F.concat(F.lit("X-"), strand).alias("topic"))
-    boosts = {"ela": ("RL 1", "W 3"), "math": ("RL", "MP"), "history": ("SKILL:W", "3.1"), "science": ("W", "ETS1")}[subject]
-    o = F.col("o_orderkey")
-    objs = table(s, d, "orders").select(o.alias("doc_id"), F.lit(subject).alias("subject"), F.lit("p").alias("path"), F.when(o % 3 == 0, F.array(F.lit("9-10"), F.lit("HS"))).when(o % 3 == 1, F.array(F.lit("6"), F.lit("K"))).otherwise(F.array().cast("array<string>")).alias("grades"), F.when(o % 2 == 0, F.array(*map(F.lit, boosts))).otherwise(F.array().cast("array<string>")).alias("boosts"), F.when(o % 10 == 0, "Reflection").otherwise("Task").alias("objective_title"), F.lit("words").alias("context"))
+    each = F.explode(F.array(*map(F.lit, subjects))).alias("subject")
+    code = F.when(F.col("subject") == "history", F.concat(num, F.lit("."), (k % 12).cast("string"))).otherwise(F.concat(strand, F.lit(".9-10."), num))
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount", rank.alias("rank")).select("*", each)
+    cands = lines.select(F.col("l_orderkey").alias("doc_id"), "subject", F.lit("p").alias("path"), "rank", F.round(F.col("l_discount") * 5, 2).alias("score"), strand.alias("strand"), grade.alias("grade"), code.alias("code"), F.concat(F.lit("t"), num).alias("text"), *((k % 5 == 0).alias(c) for c in ("is_anchor", "is_practice", "is_skill", "engineering")), strand.alias("domain_code"), strand.alias("skill_category_code"), F.concat(F.lit("X-"), strand).alias("topic"))
+    boosts = F.element_at(F.create_map(*(x for c in subjects for x in (F.lit(c), F.array(*map(F.lit, _BOOSTS[c]))))), F.col("subject"))
+    o, none = F.col("doc_id"), F.array().cast("array<string>")
+    objs = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), each)
+    objs = objs.select("doc_id", "subject", F.lit("p").alias("path"), F.when(o % 3 == 0, F.array(F.lit("9-10"), F.lit("HS"))).when(o % 3 == 1, F.array(F.lit("6"), F.lit("K"))).otherwise(none).alias("grades"), F.when(o % 2 == 0, boosts).otherwise(none).alias("boosts"), F.when(o % 10 == 0, "Reflection").otherwise("Task").alias("objective_title"), F.lit("words").alias("context"))
     return cands, objs
 
 
@@ -487,19 +477,18 @@ def k6(s, d):
 
 
 @query("k7_auto_pick", f"""with {_ranked_sql('ela')}, t as (select *, max(final_score) over (partition by doc_id) as best from top), p as (select *, row_number() over (partition by doc_id order by final_rank) as n from t where final_score >= round(best * 0.85, 12) and doc_id % 10 <> 0),
-    a as (select distinct doc_id from top) select doc_id, coalesce(string_agg(strand || '.9-10.' || num, ',' order by n) filter (where n <= 3), '') as picks from a left join p using (doc_id) group by 1""")
+    a as (select o_orderkey as doc_id from orders) select doc_id, coalesce(string_agg(strand || '.9-10.' || num, ',' order by n) filter (where n <= 3), '') as picks,
+    case when doc_id % 10 = 0 then 'reflective/metacognitive objective, no ELA standard applies' when doc_id not in (select doc_id from top) then 'no candidates' else 'top-1 plus any candidate within 85% of top score' end as reason from a left join p using (doc_id) group by 1""")
 def k7(s, d):
-    picked = K.auto_pick(_ranked(s, d, "ela").withColumn("final_score", F.col("final_score") + 1e-12))
-    return picked.select("doc_id", F.array_join(F.transform("picks", lambda p: p["code"]), ",").alias("picks"))
+    """All orders as objectives; those without lines have no candidates."""
+    picked = K.auto_pick(_ranked(s, d, "ela").withColumn("final_score", F.col("final_score") + 1e-12), _cands(s, d, "ela")[1])
+    return picked.select("doc_id", F.array_join(F.transform("picks", lambda p: p["code"]), ",").alias("picks"), "reason")
 
 
 @query("k8_rerank", " union all ".join(f"(with {_ranked_sql(x).replace('round(final_score, 9) desc', 'final_score desc')} select '{x}' as subject, doc_id, final_rank, rank, round(final_score, 6) as final_score from top)" for x in R.SUBJECTS))
 def k8(s, d):
-    pairs = [_cands(s, d, x) for x in R.SUBJECTS]
-    cands, objs = pairs[0]
-    for c, o in pairs[1:]:
-        cands, objs = cands.unionByName(c), objs.unionByName(o)
-    out = K.rerank(cands.withColumn("score", F.col("score")), objs)
+    """Order lines are ranked once, then asked in each subject."""
+    out = K.rerank(*_cands(s, d, *R.SUBJECTS))
     return out.select("subject", "doc_id", F.col("final_rank").cast("long").alias("final_rank"), F.col("rank").cast("long").alias("rank"), F.round("final_score", 6).alias("final_score"))
 
 

@@ -15,8 +15,7 @@ DOCUMENT = """
         objectives array<struct<title string, description string, evaluation_type string, audience string, points long>>>>
 """
 FINAL = """
-    edusperience_id string, edusperience_title string, source_file string, subject string, inferred_grade_bands array<string>,
-    standards_db string, notes string,
+    id string, title string, source_file string, subject string, inferred_grade_bands array<string>, standards_db string, notes string,
     objectives array<struct<path string, title string, description string, note string,
         alignments array<struct<code string, confidence string, rationale string>>>>
 """
@@ -41,8 +40,11 @@ def read_documents(spark: SparkSession, glob: str, schema: str = DOCUMENT) -> Da
     return spark.read.schema(schema).option("multiLine", True).json(glob).select(_stem().alias("doc_id"), "*")
 
 
-def read_finals(spark: SparkSession, glob: str) -> DataFrame:
-    return read_documents(spark, glob, FINAL)
+def read_finals(spark: SparkSession, glob: str, id_field: str = "id", title_field: str = "title") -> DataFrame:
+    """Reviewed documents; `id_field` and `title_field` are what the files call a document's id and title."""
+    rest = FINAL.split("title string,", 1)[1]
+    read = read_documents(spark, glob, f"`{id_field}` string, `{title_field}` string, {rest}")
+    return read.withColumnsRenamed({id_field: "id", title_field: "title"})
 
 
 def read_taxonomy(spark: SparkSession, paths: dict[str, str], schema: str = RECORD) -> DataFrame:
@@ -102,7 +104,7 @@ def build_manifest(finals: DataFrame, sources: DataFrame) -> DataFrame:
         "doc_id",
         F.coalesce(first_present("subject"), F.lit("ela")).alias("subject"),
         F.coalesce(first_present("standards_db"), F.lit(DEFAULT_TAXONOMY)).alias("taxonomy"),
-        F.coalesce(first_present("edusperience_title"), F.col("doc_id")).alias("title"),
+        F.coalesce(first_present("title"), F.col("doc_id")).alias("title"),
         F.coalesce("has", F.lit(False)).alias("has_source"),
     )
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import excerpts, grades, rules, text
 from tagweave.operators import analytics, catalog, curation, evaluate, flatten, rerank, segment, tfidf
+from tagweave.sources import documents
 
 
 def one(spark, col, **values):
@@ -63,10 +64,13 @@ CAND = "doc_id string, subject string, path string, rank int, score double, code
 OBJ = "doc_id string, subject string, path string, grades array<string>, boosts array<string>, objective_title string, context string"
 
 
-def ranked(spark, subject, cands, grades_, boosts, title="Task"):
+def sides(spark, subject, cands, grades_, boosts, title="Task", context="words"):
     c = spark.createDataFrame([("d", subject, "p", i, *row) for i, row in enumerate(cands, 1)], CAND)
-    o = spark.createDataFrame([("d", subject, "p", grades_, boosts, title, "words")], OBJ)
-    return rerank.rerank(c, o)
+    return c, spark.createDataFrame([("d", subject, "p", grades_, boosts, title, context)], OBJ)
+
+
+def ranked(spark, *rest):
+    return rerank.rerank(*sides(spark, *rest))
 
 
 def cand(score, code, grade=None, strand=None, anchor=False, domain=None, practice=False, skill=False, category=None, topic=None, engineering=False):
@@ -86,10 +90,19 @@ def test_rerank_rules(spark):
 
 def test_auto_pick(spark):
     rows = [cand(s, f"c{i}") for i, s in enumerate((0.5, 0.5, 0.45, 0.43, 0.1))]
-    pick = rerank.auto_pick(ranked(spark, "ela", rows, [], [])).first()
-    assert [p.code for p in pick.picks] == ["c0", "c1", "c2"]
-    assert rerank.auto_pick(ranked(spark, "ela", rows, [], [], "Reflection")).first().picks == []
-    assert rerank.auto_pick(ranked(spark, "ela", [cand(0.1, "n", "6")], ["K"], [])).first().picks == []
+
+    def picked(*rest):
+        c, o = sides(spark, *rest)
+        r = rerank.auto_pick(rerank.rerank(c, o), o).collect()
+        assert len(r) == 1
+        return [p.code for p in r[0].picks], r[0].reason
+
+    assert picked("ela", rows, [], []) == (["c0", "c1", "c2"], "top-1 plus any candidate within 85% of top score")
+    assert picked("ela", rows, [], [], "Reflection") == ([], "reflective/metacognitive objective, no ELA standard applies")
+    assert picked("math", [cand(0.3, "n")], [], [], "x", "submit it") == ([], "logistical/operational objective, no MATH standard applies")
+    assert picked("ela", [cand(0.1, "n", "6")], ["K"], [])[0] == []
+    assert picked("ela", [], [], []) == picked("ela", [], [], [], "x", "submit it") == ([], "no candidates")
+    assert picked("ela", [], [], [], "Reflection")[1].startswith("reflective")
 
 
 def test_shortlist_is_full_and_sorted(spark):
@@ -152,6 +165,95 @@ def test_walk_clusters(spark):
     ]
 
 
+def walked(spark, lines, *rest, **options):
+    df = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "doc_id string, line_no int, line string")
+    return [(r.code, r.text) for r in segment.walk_clusters(df, *rest, **options).orderBy("line_no").collect()]
+
+
+def test_walk_goes_on_after_notes_and_strays(spark):
+    head = ["     Grade 3", "Operations   3.OA", "Represent and solve.", "1. First one.", "2. Second one."]
+    # after a note the walk goes on behind the next page line, not only at the next heading
+    note = ["", "", "", "1. A note that restarts.", "   more of it", "12 | Some Framework", "3. Third one.", "   ends here."]
+    assert walked(spark, head + note, ["OA"])[-1] == ("3.OA.A.3", "Third one. ends here.")
+    # a line at the left edge that is no heading ends the item and is no part of it
+    assert walked(spark, [*head, "stray words", "   not continued", "3. Third one."], ["OA"]) == [("3.OA.A.1", "First one."), ("3.OA.A.2", "Second one."), ("3.OA.A.3", "Third one.")]
+    # a heading without items takes no letter; one over several lines has its note's number cut off
+    got = walked(spark, [*head, "An empty cluster.", "Understand many things", "and more.4", "3. Third one."], ["OA"])
+    assert got[-1] == ("3.OA.B.3", "Third one.")
+    # a domain of another grade does not count; the grade may come from a page's title
+    assert walked(spark, ["   3   Grade 3", *head[1:4], "Operations   4.OA", "2. Still under the first."], ["OA"]) == [("3.OA.A.1", "First one."), ("3.OA.A.2", "Still under the first.")]
+
+
+def test_walk_of_high_school_categories(spark):
+    names = {"A": "Algebra", "F": "Functions"}
+    lines = ["  Algebra   A", "Seeing Structure    A-SSE", "Interpret the structure.", "1. Interpret expressions.", "   a. Parts of them.", "Algebra", "2. Use structure.", "Functions", "3. Under no domain.", "Interpreting    F-IF", "Understand functions.", "1. A domain.", "7.1 Graph a root."]
+    df = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "doc_id string, line_no int, line string")
+    rows = segment.walk_clusters(df, None, False, names).orderBy("line_no").collect()
+    assert [(r.code, r.category, r.category_name, r.grade) for r in rows] == [
+        ("A-SSE.A.1", "A", "Algebra", "9-12"), ("A-SSE.A.1.a", "A", "Algebra", "9-12"), ("A-SSE.A.2", "A", "Algebra", "9-12"), ("F-IF.A.1", "F", "Functions", "9-12"), ("F-IF.7.1", "F", "Functions", "9-12"),
+    ]
+
+
+def test_first_code_of_a_set_wins(spark):
+    one = spark.createDataFrame([(2, "a"), (1, "a"), (5, None), (3, "b")], "id int, code string")
+    two = spark.createDataFrame([(7, "a"), (8, "c")], "id int, code string")
+    assert {(r.code, r.id) for r in catalog.merge_record_sets([one.coalesce(1), two]).collect()} == {("a", 2), ("b", 3), ("c", 8)}
+    assert {(r.code, r.id) for r in catalog.merge_record_sets([one, two], "id").collect()} == {("a", 1), ("b", 3), ("c", 8)}
+
+
+def test_empty_page_has_a_total(spark):
+    records = spark.createDataFrame([(f"c{i}", i, "t", "B", "K", "") for i in range(7)], "code string, ord int, text string, strand string, grade string, grade_band string")
+    records = records.select("*", *(F.lit(None).cast("string").alias(c) for c in ("category", "skill_category_code", "domain", "section", "strand_name", "category_name", "domain_name", "course_title")), F.lit(False).alias("is_practice"))
+    page, total = catalog.browse_records(records, search="c", limit=5, offset=20)
+    assert page.count() == 0 and total.first().total == 7
+
+
+def test_readers_of_whole_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "docs").mkdir()
+    for name in ("one", "two"):
+        doc = {"id": f"i-{name}", "title": name, "sections": [{"title": "s", "objectives": [{"title": "o", "points": 2}]}, {"name": "t"}]}
+        (tmp_path / "docs" / f"{name}.json").write_text(json.dumps(doc, indent=2))
+    rows = documents.read_documents(spark, f"file://{tmp_path}/docs/*.json").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.id, len(r.sections), r.sections[0].objectives[0].points) for r in rows] == [("one", "i-one", 2, 2), ("two", "i-two", 2, 2)]
+    final = {"the_id": "x", "the_title": "T", "objectives": [{"path": "p", "alignments": [{"code": "c", "confidence": "high"}]}]}
+    (tmp_path / "essay.final.json").write_text(json.dumps(final, indent=2))
+    r = documents.read_finals(spark, f"file://{tmp_path}/essay.final.json", "the_id", "the_title").first()
+    assert (r.doc_id, r.id, r.title, r.subject, r.objectives[0].alignments[0].code) == ("essay", "x", "T", None, "c")
+    (tmp_path / "bare.json").write_text(json.dumps([{"code": "a", "number": 1}, {"code": None}], indent=2))
+    (tmp_path / "wrapped.json").write_text(json.dumps({"records": [{"code": "b", "text": "t"}, {"code": "c"}]}, indent=2))
+    got = documents.read_taxonomy(spark, {"ela": f"file://{tmp_path}/bare.json", "math": f"file://{tmp_path}/wrapped.json"}).collect()
+    assert {(x.subject, x.code) for x in got} == {("ela", "a"), ("math", "b"), ("math", "c")}
+
+
+def test_anchored_parts(spark):
+    def part(text_, why):
+        return one(spark, excerpts.anchored(F.col("t"), F.col("w")), t=text_, w=why)
+
+    assert part("Read it, then write 5-7 pages and stop; done", "needs 5-7 pages") == "then write 5-7 pages"
+    assert part("Read 3 AND write 12 long pages here", "12") == "write 12 long pages here"
+    assert part("Use 12, or more", "12 or 99") is None and part("Write 2 long essays", "none, 9, 2") == "Write 2 long essays"
+    assert part("In all, use the Five Paragraphs form", "five paragraphs") == "use the Five Paragraphs form"
+    assert part("A five paragraph essay", "a five-paragraph essay") == "A five paragraph essay" and part("nothing", "word count") is None
+
+
+def test_chunks_that_others_have_all_taken(spark):
+    """Where every chunk counts less than nothing the first one stands."""
+    s = "doc_id string, path string, ord int, objective_text string, code string, rationale string, text string, source_excerpt string"
+    body = "Alpha beta gamma. Delta epsilon zeta."
+    rows = [("d", "p", 1, body, "", "", "", "Alpha beta gamma."), ("d", "p", 2, body, "", "", "", "Delta epsilon zeta."), ("d", "p", 3, body, "", "nothing", "", None)]
+    got = {r.ord: r.excerpt for r in excerpts.best_excerpt(spark.createDataFrame(rows, s)).collect()}
+    assert got[3] == "Alpha beta gamma."
+
+
+def test_product_names_are_parameters(spark):
+    told = "wait until Acme can identify you"
+    assert one(spark, rules.counts_toward_coverage(F.lit(""), F.lit(""), "s"), s=told)
+    assert not one(spark, rules.counts_toward_coverage(F.lit(""), F.lit(""), "s", product="acme"), s=told)
+    assert one(spark, rules.skip_reason(F.lit("t"), "s", F.lit(0.1), product="acme"), s="the Acme intro") == "logistical"
+
+
 def test_excerpts(spark):
     s = "doc_id string, path string, ord int, objective_text string, code string, rationale string, text string, source_excerpt string"
     body = "Write an introduction here. Cite 2 sources in the essay. Check the grammar."

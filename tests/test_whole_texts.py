@@ -1,4 +1,4 @@
-"""Queries named _whole read texts to their end, past the cuts of the queries whose SQL has one."""
+"""Queries read texts to their end."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,9 +32,8 @@ def docs(spark, tmp_path_factory):
     ],
 )
 def test_rules_see_the_end(spark, docs, name, column, doc, want):
-    got = {r.doc_id: r[column] for r in QUERIES[f"{name}_whole"](spark, docs).collect()}
+    got = {r.doc_id: r[column] for r in QUERIES[name](spark, docs).collect()}
     assert got[doc] == want and got[64] != want and len(got) == 6
-    assert {r.doc_id: r[column] for r in QUERIES[name](spark, docs).collect()}[doc] != want
 
 
 def test_all_lines_are_walked(spark, tmp_path):
@@ -57,23 +56,23 @@ def benchmark(spark, tmp_path_factory):
 def test_coded_texts_are_whole(spark, benchmark):
     d, texts = benchmark
     flat = {k: " ".join(t.split()) for k, t in texts.items()}
-    body = {r.doc_id: r.body for r in QUERIES["g7_split_coded_text_whole"](spark, d).where("n = 1").collect()}
+    body = {r.doc_id: r.body for r in QUERIES["g7_split_coded_text"](spark, d).where("n = 1").collect()}
     assert all(body[k].startswith(f"{t}* [Clarification") for k, t in flat.items())
-    assert {r.doc_id: r.statement for r in QUERIES["g8_split_annotations_whole"](spark, d).collect()} == flat
-    got = {r.doc_id: r.text for r in QUERIES["g9_derive_code_parts_whole"](spark, d).where("grade = 'HS'").collect()}
+    assert {r.doc_id: r.statement for r in QUERIES["g8_split_annotations"](spark, d).collect()} == flat
+    got = {r.doc_id: r.text for r in QUERIES["g9_derive_code_parts"](spark, d).where("grade = 'HS'").collect()}
     assert got == {k: f"{t} look {k}" for k, t in flat.items()}
 
 
 def test_numbered_items_hold_the_texts(spark, benchmark):
     d, texts = benchmark
-    got = {(r.doc_id, r.number): r.item_text for r in QUERIES["g12_extract_numbered_whole"](spark, d).collect()}
+    got = {(r.doc_id, r.number): r.item_text for r in QUERIES["g12_extract_numbered"](spark, d).collect()}
     assert got == {(k, 1): f"First {k} {t}" for k, t in texts.items()} | {(k, 2): f"Second item {k} {t} too" for k, t in texts.items()}
 
 
 def test_lists_are_parsed_to_the_end(spark, tmp_path):
     items = [f"Item number {k}" for k in range(60)]
     spark.createDataFrame([(1, ", ".join(items))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert QUERIES["p18_parse_list_whole"](spark, str(tmp_path)).first()["items"].split("|") == sorted(x.lower() for x in items)
+    assert QUERIES["p18_parse_list"](spark, str(tmp_path)).first()["items"].split("|") == sorted(x.lower() for x in items)
 
 
 def test_excerpts_come_from_whole_turns(spark, tmp_path):
