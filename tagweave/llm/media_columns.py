@@ -1,13 +1,14 @@
 """Media columns: texts stored as 8-bit WAV files in content-defined chunks, rebuilt from deduplicated chunks.
 
-A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of a mono 8-bit WAV file. The header is the
-first chunk; the samples are cut where a gear hash of the last 32 bytes has 13 leading zero bits, at least MIN_CHUNK
-and at most MAX_CHUNK bytes apart, so equal passages give equal chunks wherever they stand. A document keeps the
-ordered list of its chunks' digests; each digest's bytes are kept once, compressed. Spark joins lists and chunks, each file
-is put together in order, read as WAV, and held against the digests of its chunks and of its text.
+A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of a mono 8-bit WAV file. The file
+is cut where a gear hash of the last 32 bytes has 10 leading zero bits, at least MIN_CHUNK and at most MAX_CHUNK bytes apart
+(1 KB on average), so equal passages of a few KB give equal chunks wherever they stand. A document keeps the ordered list of
+its chunks' digests; each digest's bytes are kept once, compressed. Spark joins lists and chunks, each different
+file is put together in order, read as WAV, and held against the digest that its samples had when they were stored.
 
 Defined cases: a null or empty text is 64 zero samples; equal texts share one file and get equal values; each input row
-gets its own row; a chunk or text that does not match its digest ends the job with an error. Only doc_id and text are read.
+gets its own row; a table without rows gives none; texts of any length are stored whole; samples that do not match
+their digest end the job with an error. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, read, ship, texts
+from .common import batches, cut, read, ship, slices, texts
 
-MIN_CHUNK, MAX_CHUNK, ZERO_BITS, WINDOW = 1024, 32_768, 13, 32
-RATE, HEADER = 8000, 44
-LEVEL, SAMPLE_DOCS, DICTIONARY_BYTES = 15, 4096, 112_640
+MIN_CHUNK, MAX_CHUNK, ZERO_BITS, WINDOW = 256, 8192, 10, 32
+RATE = 8000
+LEVEL, SAMPLE_DOCS, DICTIONARY_BYTES = 19, 4096, 400_000
+#: Bytes of a chunk's digest; a file is known by a longer one, against which what is rebuilt is held.
+CHUNK_DIGEST, FILE_DIGEST = 12, 16
 _BLOCK = 1 << 20
 #: Digests that a task remembers so as to send a chunk's bytes once.
 _REMEMBERED = 1 << 20
@@ -71,10 +74,11 @@ def cut_points(data: bytes) -> list[int]:
 
 
 def chunks_of(raw: bytes) -> list[bytes]:
-    """The stored file of a text, as its header and the chunks of its samples."""
+    """The chunks of a text's stored file."""
     payload = payload_of(raw)
-    ends = cut_points(payload)
-    return [wav_header(len(payload)), *(payload[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))]
+    media = wav_header(len(payload)) + payload
+    ends = cut_points(media)
+    return [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def features(samples: bytes) -> str:
@@ -84,42 +88,55 @@ def features(samples: bytes) -> str:
     return f"samples={len(x)};mean={total / len(x):.4f};rms={(squares / len(x)) ** 0.5:.4f};crossings={crossings};peak={int(x.max())}"
 
 
-def digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def digest(data: bytes, size: int = CHUNK_DIGEST) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
 
 
 def lists(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's digest and length, and the ordered digests of its chunks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_digest", pa.binary()), ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.binary()))])
+    """doc_id, the digest of the text's samples, its length, and the ordered digests of its file's chunks."""
+    schema = pa.schema([("doc_id", pa.int64()), ("samples_digest", pa.binary()), ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.binary()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             raws = texts(b)
-            yield batches({"doc_id": b.column(0).to_pylist(), "text_digest": list(map(digest, raws)), "n_bytes": list(map(len, raws)), "chunks": [list(map(digest, chunks_of(r))) for r in raws]}, schema)
+            keys = [digest(payload_of(r), FILE_DIGEST) for r in raws]
+            yield batches({"doc_id": b.column(0).to_pylist(), "samples_digest": keys, "n_bytes": list(map(len, raws)), "chunks": [list(map(digest, chunks_of(r))) for r in raws]}, schema)
 
-    return docs.mapInArrow(run, "doc_id long, text_digest binary, n_bytes long, chunks array<binary>")
+    return docs.mapInArrow(run, "doc_id long, samples_digest binary, n_bytes long, chunks array<binary>")
 
 
 def dictionary(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """A compression dictionary from a bounded sample of texts; it changes sizes, never contents."""
+    """A compression dictionary from the beginnings of a bounded sample of texts; it changes sizes, never contents."""
     n = docs.count()
-    rows = docs.select("text").where("text is not null").sample(fraction=min(1.0, sample_docs / max(n, 1)), seed=11).limit(sample_docs).collect()
-    parts = [c for r in rows for c in chunks_of(r.text.encode()[: 4 * MAX_CHUNK])[1:]]
+    rows = docs.select(F.substring("text", 1, MAX_CHUNK).alias("text")).where("text is not null").sample(fraction=min(1.0, sample_docs / max(n, 1)), seed=11).limit(sample_docs).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [c for r in rows for c in chunks_of(r.text.encode())]).as_bytes()
     except zstandard.ZstdError:  # too few samples
         return b""
 
 
+class Packer:
+    """Compresses chunks to frames without magic number and size."""
+
+    def __init__(self, words: bytes):
+        given = {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+        plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=1 << 10, dict_size=len(words), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False)
+        self.pack = zstandard.ZstdCompressor(compression_params=plain, **given).compress
+        self.read = zstandard.ZstdDecompressor(format=zstandard.FORMAT_ZSTD1_MAGICLESS, **given)
+
+    def unpack(self, packed: bytes) -> bytes:
+        return self.read.decompress(packed, max_output_size=MAX_CHUNK)
+
+
 def store(docs: DataFrame, words: bytes) -> DataFrame:
     """digest and compressed bytes of each different chunk."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     schema = pa.schema([("digest", pa.binary()), ("packed", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
+        packer = Packer(shared.value)
         seen: set[bytes] = set()
-        for b in it:
+        for b in slices(it):
             keys, packed = [], []
             for raw in texts(b):
                 for c in chunks_of(raw):
@@ -129,61 +146,60 @@ def store(docs: DataFrame, words: bytes) -> DataFrame:
                             seen.clear()
                         seen.add(k)
                         keys.append(k)
-                        packed.append(pack.compress(c))
+                        packed.append(packer.pack(c))
             yield batches({"digest": keys, "packed": packed}, schema)
 
     return docs.mapInArrow(run, "digest binary, packed binary").dropDuplicates(["digest"])
 
 
-_FILE = "text_digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+_FILE = "samples_digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
-    """Puts files together from rows (text_digest, n_bytes, seq, digest, packed) that come in order, reads and checks them."""
+    """Puts files together from rows (file, seq, packed) that come in order, and reads them; samples_digest is that of what was read."""
     shared = ordered.sparkSession.sparkContext.broadcast(words)
     names = [c.split()[0] for c in _FILE.split(", ")]
     kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _FILE.split(", ")])
 
-    def described(key: bytes, n_bytes: int, parts: list[bytes]) -> tuple:
+    def described(parts: list[bytes]) -> tuple:
         media = b"".join(parts)
         with wave.open(io.BytesIO(media)) as w:
             payload = w.readframes(w.getnframes())
-        if digest(payload[:n_bytes]) != key or payload != payload_of(payload[:n_bytes]):
-            raise ValueError(f"the media rebuilt for text {key.hex()} is not that text")
-        return key, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest(), features(payload)
+        return digest(payload, FILE_DIGEST), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest(), features(payload)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
-        key, size, parts = None, 0, []
-        for b in it:
+        packer = Packer(shared.value)
+        file, parts = None, []
+        for b in slices(it):
             rows = []
-            for k, n, _, d, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != key:
-                    if key is not None:
-                        rows.append(described(key, size, parts))
-                    key, size, parts = k, n, []
-                part = unpack.decompress(z)
-                if digest(part) != d:
-                    raise ValueError(f"chunk {d.hex()} is damaged")
-                parts.append(part)
+            for k, _, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != file:
+                    if file is not None:
+                        rows.append(described(parts))
+                    file, parts = k, []
+                parts.append(packer.unpack(z))
             yield batches(dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True)), schema)
-        if key is not None:
-            yield batches(dict(zip(names, zip(described(key, size, parts), strict=True), strict=True)), schema)
+        if file is not None:
+            yield batches(dict(zip(names, zip(described(parts), strict=True), strict=True)), schema)
 
-    return ordered.select("text_digest", "n_bytes", "seq", "digest", "packed").mapInArrow(run, _FILE)
+    return ordered.select("file", "seq", "packed").mapInArrow(run, _FILE)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
     """One row per document with what the file read back from the chunk store holds."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = dictionary(plain)
-    listed = cut(lists(plain))
-    places = listed.select("text_digest", "n_bytes", F.posexplode("chunks").alias("seq", "digest")).distinct()
-    found = places.join(store(plain, words), "digest")
-    files = rebuilt(found.repartition("text_digest").sortWithinPartitions("text_digest", "seq"), words)
-    out = listed.select("doc_id", "text_digest", "n_bytes").join(files, "text_digest").drop("text_digest")
-    return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
+    listed = cut(lists(plain).withColumn("file", F.monotonically_increasing_id()))
+    # the first row of each different file stands for it
+    first = listed.groupBy("samples_digest").agg(F.min("file").alias("file")).select("file")
+    places = listed.select("file", "chunks").join(first, "file").select("file", F.posexplode("chunks").alias("seq", "digest"))
+    found = places.join(store(plain, words), "digest").select("file", "seq", "packed")
+    files = rebuilt(found.repartition("file").sortWithinPartitions("file", "seq"), words)
+    out = listed.select("doc_id", "samples_digest", "n_bytes").join(files, "samples_digest", "left")
+    lost = F.raise_error(F.concat(F.lit("no file read back holds the samples of digest "), F.hex("samples_digest")))
+    checked = F.when(F.col("payload_bytes").isNull(), lost.cast("long")).otherwise(F.col("payload_bytes"))
+    return out.withColumn("payload_bytes", checked).withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}).drop("samples_digest")
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
