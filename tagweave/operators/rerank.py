@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import ELEMENTARY, infer_grades, match_rules_of, skip_reason
+from ..functions.rules import ELEMENTARY, infer_grades, match_rules_of, skip_reason, word_starts
 
 KEYS = ("doc_id", "subject", "path")
 #: Why an objective has its picks; `{}` is the subject.
@@ -87,8 +87,9 @@ def rerank_context(subject: str = "subject") -> Column:
 def with_rules(objectives: DataFrame) -> DataFrame:
     """Objectives with context, inferred grades, matched rules and boosts."""
     unit = F.concat_ws(" ", F.nullif("doc_title", F.lit("")), F.nullif("doc_description", F.lit("")))
-    out = objectives.withColumn("context", rerank_context()).withColumn("grades", infer_grades(unit)).withColumn("rules", match_rules_of("context"))
-    return out.withColumn("matched", F.col("rules.matched")).withColumn("boosts", F.col("rules.boosts")).drop("rules")
+    out = objectives.withColumn("context", rerank_context()).withColumn("grades", infer_grades(unit))
+    out = out.withColumn("_starts", word_starts("context")).withColumn("_rules", match_rules_of("context", starts="_starts"))
+    return out.withColumn("matched", F.col("_rules.matched")).withColumn("boosts", F.col("_rules.boosts")).drop("_rules", "_starts")
 
 
 def rerank(candidates: DataFrame, objectives: DataFrame, n: int = TOP_N) -> DataFrame:

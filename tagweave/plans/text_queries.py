@@ -289,7 +289,8 @@ def _rules_sql(subject: str) -> str:
 
 @query("f6_match_rules", f"with {_SALTED} select doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct({_rules_sql(x)})), ',') as {x}" for x in R.SUBJECTS) + " from salted")
 def f6(s, d):
-    return _salted(s, d).select("doc_id", *(F.array_join(F.array_sort(R.match_rules("text", x)["boosts"]), ",").alias(x) for x in R.SUBJECTS))
+    docs = _salted(s, d).withColumn("starts", R.word_starts("text"))
+    return docs.select("doc_id", *(F.array_join(F.array_sort(R.match_rules("text", x, starts="starts")["boosts"]), ",").alias(x) for x in R.SUBJECTS))
 
 
 def _ascii(words: str) -> str:
