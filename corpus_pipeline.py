@@ -8,7 +8,6 @@ handed on as they are, whatever they are called, up to the last stage, which ret
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +58,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each result is written as Parquet to the shared folder and read again."""
+    """Applies the stages to the documents; each result is written as Parquet to the shared folder and read again, and goes when the next is written."""
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    for i, (_, stage) in enumerate(STAGES):
+        before, docs = docs, common.cut(stage(spark, docs, sf_dir))
+        if i:
+            common.drop(before)
     return docs
