@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,5 +11,9 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; in a temporary folder where that is unset (local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tagweave-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tagweave-")
     return f"{base.rstrip('/')}/tagweave-{name}-{uuid.uuid4().hex}"
