@@ -131,3 +131,28 @@ def scan(docs: DataFrame) -> DataFrame:
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
     ship(spark)
     return scan(read(spark, sf_dir, "documents"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(values " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of op3_license_scan: the same voting, merging and verification from a table of all words."""
+    words = [template_words(t) for _, t in TEMPLATES]
+    grams = [(*w[p : p + GRAM], t, p) for t, w in enumerate(words) for p in range(len(w) - GRAM + 1)]
+    sizes = [(t, name, len(w)) for t, ((name, _), w) in enumerate(zip(TEMPLATES, words, strict=True))]
+    base = " ".join(f"when {' and '.join(f'w{i} = {chr(39)}{w}{chr(39)}' for i, w in enumerate(phrase.split()))} then '{label}'" for label, phrase in BASE.items())
+    return rf"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+    e as (select r, unnest(range(len(w))) as pos, unnest(w) as w0, unnest(w[2:]) as w1, unnest(w[3:]) as w2 from d),
+    b as (select r, pos, case {base} end as label from e), based as (select r, count(*) as n_base, min(pos) as first_word, max(pos) as last_word from b where label is not null group by 1),
+    grams(t0, t1, t2, t, p) as {_values(grams)}, sizes(t, name, size) as {_values(sizes)},
+    diag as (select r, t, pos - p as diagonal, bit_or(1::bigint << p) as seen, min(pos) as lo, max(pos) as hi from e join grams on w0 = t0 and w1 = t1 and w2 = t2 group by all),
+    cut as (select *, coalesce(diagonal - lag(diagonal) over (partition by r, t order by diagonal) > {GAP}, false)::integer as new from diag),
+    spans as (select *, sum(new) over (partition by r, t order by diagonal) as span from cut),
+    merged as (select r, name, size, bit_count(bit_or(seen)) / (size - {GRAM - 1}) as share, max(bit_count(seen)) / (size - {GRAM - 1}) as alone, max(hi) - min(lo) + {GRAM} as width from spans join sizes using (t) group by r, t, name, size, span),
+    told as (select distinct r, label, true as base from b where label is not null union all select distinct r, name, false from merged where alone >= {LEAST} or share >= {LEAST} and width <= {SPREAD} * size),
+    labels as (select r, string_agg(distinct label, ',' order by label) filter (where base) as base_labels, string_agg(distinct label, ',' order by label) as labels from told group by 1),
+    scores as (select r, max(share) as score from merged group by 1)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+    from d left join based using (r) left join labels using (r) left join scores using (r)"""

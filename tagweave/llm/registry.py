@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_license_scan": license_scan.oracle(), "op9_quality_rules": quality_rules.ORACLE_SQL}

@@ -328,6 +328,21 @@ def test_license_labels_equal_brute_force(docs, rows, spark):
         assert abs(r.score - score) < 1e-12
 
 
+@pytest.mark.parametrize("name", ["op3_license_scan", "op9_quality_rules"])
+def test_queries_equal_duckdb(spark, name):
+    import duckdb
+
+    from tagweave.llm import registry
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = registry.queries()[name](spark, SF)
+    want = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
+
+
 def test_repeated_short_notices(spark):
     df = spark.createDataFrame([(1, "All rights reserved. All rights reserved."), (2, "rights reserved all")], "doc_id long, text string")
     assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == {1: "all-rights-reserved", 2: ""}
