@@ -56,6 +56,8 @@ class SpeculativeBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix")):
+            raise ValueError(f"{path} is no plain vocabulary of merges")
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -72,6 +74,7 @@ class SpeculativeBpe:
         self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in lengths.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.library = tokens.tokenizer(path)
+        self.plain = spec["decoder"] is None
         self.quick = bool(self.end) and tokens.splits_words(path)
         #: What exact merging makes of each pair judged so far (left << 32 | right); None where the pair is stable.
         self.judged: dict[int, tuple[int, ...] | None] = {}
@@ -203,7 +206,8 @@ class SpeculativeBpe:
         return [(array("I", ids).tobytes(), self.decode(ids).encode()) for ids in rows]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.token[i] for i in ids])
+        """The entries joined by spaces, unless the file has a decoder."""
+        return " ".join([self.token[i] for i in ids]) if self.plain else self.library.decode(ids, skip_special_tokens=False)
 
 
 def _coder(name: str, path: str | None) -> tokens.ChunkCache:

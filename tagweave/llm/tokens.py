@@ -73,7 +73,7 @@ BLOCK = 16 << 20
 
 @lru_cache
 def splits_words(path: str) -> bool:
-    """Whether word_blocks() may split texts to lower-case words for this vocabulary file; else it splits them at white space."""
+    """Whether word_blocks() may split texts to lower-case words for this vocabulary file; else it leaves them whole."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
@@ -100,19 +100,20 @@ def _split(owners: list[int], column: pa.Array) -> Block:
 def word_blocks(column: pa.Array, words: bool = True) -> Iterator[Block]:
     """The words of a column of texts in blocks of bounded size; long texts are cut at spaces, so parts of a text come in order.
 
-    Without `words`, and for texts with rare characters or special tokens, the pieces between ASCII white space are the
-    words. Null texts and texts of white space have no words.
+    For texts with rare characters or special tokens the pieces between ASCII white space are the words; without `words`, for
+    vocabularies that may join what white space divides, a whole text is one. Null texts and, with `words`, texts of white space have none.
     """
     column = column.cast(pa.string()).fill_null("")
     odd = pc.match_substring_regex(column, _NOT_PLAIN).to_pylist() if words else [True] * len(column)
-    blank = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(column)), 0).to_pylist()
+    blank = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(column) if words else column), 0).to_pylist()
     group: list[int] = []
     size = 0
     for k, n in enumerate(pc.binary_length(column).to_pylist()):
         if blank[k]:
             continue
         if odd[k]:
-            chunks = by_white_space(column[k].as_py().encode())
+            raw = column[k].as_py().encode()
+            chunks = by_white_space(raw) if words else [raw]
             place = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
             yield Block(list(place), [place[c] for c in chunks], [(k, 0, len(chunks))])
             continue

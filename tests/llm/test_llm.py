@@ -443,9 +443,9 @@ def test_chunked_tokens_equal_the_library(text):
     assert sum(lengths) == len(tokens.tokenizer(pieces).encode(text, add_special_tokens=False).ids)
 
 
-def by_blocks(coder, column):
+def by_blocks(coder, column, words=True):
     out = [[] for _ in range(len(column))]
-    for block in tokens.word_blocks(column):
+    for block in tokens.word_blocks(column, words):
         known = coder(block.words)
         for k, first, to in block.spans:
             out[k].append(b"".join(known[p] for p in block.places[first:to]))
@@ -462,6 +462,21 @@ def test_word_blocks_equal_the_library(texts):
     assert by_blocks(lambda words: [x[0] for x in _coder()(words)], column) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), PARTS), max_size=4))
+def test_other_vocabularies_equal_the_library(texts):
+    """A vocabulary that keeps white space takes whole texts."""
+    path = P.path("byte_bpe_50k.json")
+    lib, column = tokens.tokenizer(path), pa.array(texts, pa.string())
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    raw = [array("I", ids).tobytes() for ids in want]
+    assert not tokens.splits_words(path) and by_blocks(tokens.ids_of_words(path), column, False) == raw
+    coder = _OTHER_CODER or _OTHER_CODER.append(bpe.SpeculativeBpe(path)) or _OTHER_CODER
+    assert by_blocks(lambda words: [x[0] for x in coder[0](words)], column, False) == raw
+    decoded = by_blocks(lambda words: [x[1] for x in coder[0](words)], column, False)
+    assert [d.decode() for d in decoded] == [lib.decode(ids, skip_special_tokens=False) for ids in want]
+
+
 def test_long_texts_and_words(monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK", 64)
     path, rng = P.path("word_bpe_49k.json"), random.Random(4)
@@ -489,7 +504,7 @@ def test_chunk_cache_keeps_two_generations(monkeypatch):
     assert asked.count(b"a") == 1 and len(cache.young) + len(cache.old) <= 8 and b"x" * 100 not in cache.young
 
 
-_CODER = []
+_CODER, _OTHER_CODER = [], []
 
 
 def _coder():
