@@ -27,7 +27,7 @@ def _unit(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fit_tfidf(corpus: DataFrame, key: str = "record_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(postings, idf): tf 1 + ln(tf), smooth idf ln((1 + N) / (1 + df)) + 1, rows of unit length."""
+    """(postings, idf and df of terms): tf 1 + ln(tf), smooth idf ln((1 + N) / (1 + df)) + 1, rows of unit length."""
     keys = [*by, key]
     counts = term_counts(corpus, key, text, stop_words, by)
     df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
@@ -35,7 +35,7 @@ def fit_tfidf(corpus: DataFrame, key: str = "record_id", text: str = "text", sto
         df, total = df.join(corpus.groupBy(*by).agg(F.count("*").alias("total")), [*by]), F.col("total")
     else:
         total = corpus.agg(F.count("*")).scalar()
-    idf = df.select(*by, "term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.select(*by, "term", "df", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     return _unit(counts.join(idf, [*by, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys), idf
 
 
@@ -48,10 +48,10 @@ def transform_tfidf(queries: DataFrame, idf: DataFrame, key: str = "query_id", t
     return _unit(counts.join(idf, [*own, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys)
 
 
-def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "query_id", key: str = "record_id", by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """Similarity of each query and record that share a term; `carry` are columns that the record's postings bring along."""
-    other = postings.select(*by, key, *carry, "term", F.col("weight").alias("record_weight"))
-    return queries.join(other, [*by, "term"]).groupBy(*by, query_key, key, *carry).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
+def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "query_id", key: str = "record_id", by: Sequence[str] = ()) -> DataFrame:
+    """Similarity of each query and record that share a term."""
+    other = postings.select(*by, key, "term", F.col("weight").alias("record_weight"))
+    return queries.join(other, [*by, "term"]).groupBy(*by, query_key, key).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = TOP_K) -> DataFrame:
@@ -86,11 +86,17 @@ def attach_fields(ranked: DataFrame, corpus: DataFrame, fields: Sequence[str], k
 
 def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), digits: int = 9, by: Sequence[str] = (), pad: bool = True) -> DataFrame:
     """The k best records of each query, in each group of `by` that it is asked in, with `pad` as many of score 0 as k lacks; scores are rounded before
-    ranking so that ties fall in corpus order. Postings carry that order, so pairs are scored, ranked and cut to k without another join.
+    ranking so that ties fall in corpus order. Postings carry that order and their term's idf and df, so the queries' terms are joined once, and
+    their norms follow from the joined rows: a term with df records stands in df of them.
 
     `corpus` has key, order and text, `queries` key and text; `corpus` has the columns of `by`, and queries without them are asked in every group."""
     postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
-    placed = attach_fields(postings, corpus, [order], key, by)
-    scores = cosine_scores(transform_tfidf(queries, idf, query_key, "text", stop_words, by), placed, query_key, key, by, [order])
-    best = top_k(scores.withColumn("score", F.round("score", digits)), [*by, query_key], [F.desc("score"), F.asc(order)], k)
+    placed = attach_fields(postings, corpus, [order], key, by).join(idf, [*by, "term"])
+    own = [c for c in by if c in queries.columns]
+    w = (1 + F.log("tf")) * F.col("idf")
+    pairs = term_counts(queries, query_key, "text", stop_words, own).join(placed, [*own, "term"]).groupBy(*by, query_key, key, order)
+    summed = pairs.agg(F.sum(w * F.col("weight")).alias("dot"), F.sum(w * w / F.col("df")).alias("part"))
+    norm = F.sqrt(F.sum("part").over(Window.partitionBy(*by, query_key)))
+    scores = summed.select(*by, query_key, key, order, F.round(F.col("dot") / norm, digits).alias("score"))
+    best = top_k(scores, [*by, query_key], [F.desc("score"), F.asc(order)], k)
     return pad_zero(best, queries, corpus, k, query_key, key, order, by) if pad else best
