@@ -232,7 +232,7 @@ def encode_decode(docs: DataFrame, name: str = VOCABULARY, path: str | None = No
                 known = coder(block.words)
                 of_ids, of_text = ([x[i] for x in known].__getitem__ for i in (0, 1))
                 for k, first, to in block.spans:
-                    places = block.places[first:to]
+                    places = block.places[first:to].tolist()
                     ids[k].append(b"".join(map(of_ids, places)))
                     decoded[k].append(b" ".join(filter(None, map(of_text, places))))
             left, right = [b"".join(x) for x in ids], [b" ".join(filter(None, x)) for x in decoded]

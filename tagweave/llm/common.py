@@ -71,7 +71,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches_: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches_: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that what a step makes of one stays small."""
     for b in batches_:
         for a in range(0, b.num_rows, rows):

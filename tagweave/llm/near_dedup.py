@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches, cut, drop, read, ship, texts, unused
+from .common import batches, cut, drop, read, ship, slices, texts, unused
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -57,7 +57,7 @@ def _hashed(chunks: list[bytes]) -> list[bytes]:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    cache = tokens.worker_cache("shingle words", lambda: _hashed)
+    cache = tokens.worker_cache("shingle words", lambda: _hashed, tokens.FEW_ENTRIES)
     return np.frombuffer(b"".join(cache(raw.split())), np.uint64)
 
 
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE, re
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("digest", pa.binary()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             digests, sizes, found = [], [], []
             for t in texts(b):
                 w = word_hashes(t)
@@ -278,10 +278,11 @@ def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     """
     marks = cut(signatures(docs, shingle, sample, repeats))
     rows = marks.select("doc_id", "row_key", "digest")
-    # node numbers hold from here on, because the table is written
-    nodes = cut(marks.where("digest is not null").groupBy("digest", "n", "sketches").agg(F.min("doc_id").alias("label")).withColumn("node", F.monotonically_increasing_id()))
-    places = nodes.select(F.explode("sketches").alias("bucket"), "node", F.coalesce("label", F.lit((1 << 63) - 1)).alias("order"))
-    heads = places.groupBy("bucket").agg(F.min_by("node", "order").alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head")
+    # nodes are numbered in the order of their least doc_id; the numbers hold from here on, because the table is written
+    different = marks.where("digest is not null").groupBy("digest", "n", "sketches").agg(F.min("doc_id").alias("label"))
+    nodes = cut(different.orderBy(F.asc_nulls_last("label"), "digest").withColumn("node", F.monotonically_increasing_id()))
+    places = nodes.select(F.explode("sketches").alias("bucket"), "node")
+    heads = places.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head")
     members = cut(places.join(heads, "bucket").select("bucket", "node", "head"))
 
     wanted = nodes.join(members.select("node").distinct(), "node").select("digest", "node", "label", "n")

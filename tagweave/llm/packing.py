@@ -66,7 +66,7 @@ def tokenized_pieces(docs: DataFrame, name: str = VOCABULARY, path: str | None =
             for block in tokens.word_blocks(b.column(1), tokens.splits_words(file)):
                 known = ids_of(block.words)
                 for k, first, to in block.spans:
-                    parts[k].append(b"".join(map(known.__getitem__, block.places[first:to])))
+                    parts[k].append(b"".join(map(known.__getitem__, block.places[first:to].tolist())))
             for k, doc_id in enumerate(b.column(0).to_pylist()):
                 ids = b"".join([*parts[k], end])
                 parts[k] = []

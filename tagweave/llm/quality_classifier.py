@@ -46,7 +46,7 @@ def _hashed(chunks: list[bytes]) -> list[bytes]:
 
 def buckets_of(raw: bytes, buckets: int) -> np.ndarray:
     """The buckets of all words and of all pairs of adjacent words."""
-    cache = tokens.worker_cache("quality words", lambda: _hashed)
+    cache = tokens.worker_cache("quality words", lambda: _hashed, tokens.FEW_ENTRIES)
     h = np.frombuffer(b"".join(cache(raw.split())), np.uint64)
     pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
     pair ^= pair >> np.uint64(32)

@@ -24,7 +24,9 @@ import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Entries that a worker's cache holds at most, both generations together, but for one call's (about 150 bytes each).
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
+#: The same for what is cheap to compute again.
+FEW_ENTRIES = 150_000
 #: A chunk longer than this is encoded, but not kept.
 CACHED_BYTES = 64
 
@@ -68,7 +70,7 @@ LETTERS_ALONE = re.compile(f"[{_LETTERS}]+")
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes of text that are split at once.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 
 @lru_cache
@@ -85,7 +87,7 @@ class Block:
     """Texts as places of words: text k's words, or those of a part of it, are words[p] for p in places[first:end]."""
 
     words: list[bytes]
-    places: list[int]
+    places: np.ndarray
     spans: list[tuple[int, int, int]]  # k, first, end
 
 
@@ -94,7 +96,7 @@ def _split(owners: list[int], column: pa.Array) -> Block:
     rows = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
     coded = rows.flatten().dictionary_encode()
     ends = rows.offsets.to_pylist()
-    return Block(coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().tolist(), list(zip(owners, ends, ends[1:], strict=False)))
+    return Block(coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), list(zip(owners, ends, ends[1:], strict=False)))
 
 
 def word_blocks(column: pa.Array, words: bool = True) -> Iterator[Block]:
@@ -115,7 +117,7 @@ def word_blocks(column: pa.Array, words: bool = True) -> Iterator[Block]:
             raw = column[k].as_py().encode()
             chunks = by_white_space(raw) if words else [raw]
             place = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
-            yield Block(list(place), [place[c] for c in chunks], [(k, 0, len(chunks))])
+            yield Block(list(place), np.array([place[c] for c in chunks], np.int64), [(k, 0, len(chunks))])
             continue
         if n > BLOCK:
             text, at = column[k].as_py(), 0
@@ -160,8 +162,8 @@ class ChunkCache:
     It has two generations: what is asked for while the younger one fills is kept, the rest goes with the older one.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], list]):
-        self.compute = compute
+    def __init__(self, compute: Callable[[list[bytes]], list], entries: int | None = None):
+        self.compute, self.entries = compute, entries or CACHE_ENTRIES
         self.young: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
 
@@ -176,7 +178,7 @@ class ChunkCache:
         out = [found[c] if v is None else v for c, v in zip(chunks, out, strict=True)]
         for c in [c for c in new if len(c) > CACHED_BYTES]:
             del found[c]
-        if len(self.young) + len(found) > CACHE_ENTRIES // 2:
+        if len(self.young) + len(found) > self.entries // 2:
             self.old, self.young = self.young, {}
         self.young.update(found)
         return out
@@ -185,11 +187,11 @@ class ChunkCache:
 _ACTIVE: dict[str, ChunkCache] = {}
 
 
-def worker_cache(use: str, make: Callable[[], Callable[[list[bytes]], list]]) -> ChunkCache:
+def worker_cache(use: str, make: Callable[[], Callable[[list[bytes]], list]], entries: int | None = None) -> ChunkCache:
     """The worker's cache for one use. A worker that goes on to another use drops the cache it had, so it holds one at most."""
     if use not in _ACTIVE:
         _ACTIVE.clear()
-        _ACTIVE[use] = ChunkCache(make())
+        _ACTIVE[use] = ChunkCache(make(), entries)
     return _ACTIVE[use]
 
 
