@@ -24,7 +24,7 @@ import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Entries that a worker's cache holds at most, both generations together, but for one call's (about 150 bytes each).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: The same for what is cheap to compute again.
 FEW_ENTRIES = 150_000
 #: A chunk longer than this is encoded, but not kept.
