@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
+from . import matrix
 
 TOP_K = 15
 
@@ -54,6 +55,15 @@ def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "que
     return queries.join(other, [*by, "term"]).groupBy(*by, query_key, key).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
 
 
+def matrix_scores(queries: DataFrame, corpus: DataFrame, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """The rows of cosine_scores() from block products; `corpus` as in shortlist()."""
+    postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
+    if not matrix.fits(postings, corpus, idf):
+        raise ValueError("the corpus is too large to be broadcast; use cosine_scores()")
+    every = matrix.best_records(queries, postings, idf, corpus, matrix.MAX_RECORDS, query_key, key, order, stop_words, list(by), None, False)
+    return every.select(*by, query_key, key, "score")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = TOP_K) -> DataFrame:
     """The first k rows of each key in a given order, with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
@@ -84,13 +94,20 @@ def attach_fields(ranked: DataFrame, corpus: DataFrame, fields: Sequence[str], k
     return ranked.join(corpus.select(*by, key, *fields), [*by, key])
 
 
-def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), digits: int = 9, by: Sequence[str] = (), pad: bool = True) -> DataFrame:
+def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), digits: int = 9, by: Sequence[str] = (), pad: bool = True, method: str = "join") -> DataFrame:
     """The k best records of each query, in each group of `by` that it is asked in, with `pad` as many of score 0 as k lacks; scores are rounded before
     ranking so that ties fall in corpus order. Postings carry that order and their term's idf and df, so the queries' terms are joined once, and
     their norms follow from the joined rows: a term with df records stands in df of them.
 
-    `corpus` has key, order and text, `queries` key and text; `corpus` has the columns of `by`, and queries without them are asked in every group."""
+    `corpus` has key, order and text, `queries` key and text; `corpus` has the columns of `by`, and queries without them are asked in every group.
+    `method` is "join" (terms are joined, for corpora of any size), "matrix" (block products in workers that all get the corpus, which
+    is refused if it is too large for that) or "auto": matrix where the corpus, which is counted, is small enough, else join."""
     postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
+    if method != "join":
+        if matrix.fits(postings, corpus, idf):
+            return matrix.best_records(queries, postings, idf, corpus, k, query_key, key, order, stop_words, list(by), digits, pad)
+        if method == "matrix":
+            raise ValueError("the corpus is too large to be broadcast; use the join")
     placed = attach_fields(postings, corpus, [order], key, by).join(idf, [*by, "term"])
     own = [c for c in by if c in queries.columns]
     w = (1 + F.log("tf")) * F.col("idf")

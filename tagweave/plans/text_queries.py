@@ -12,9 +12,11 @@ from ..operators import curation as L
 from ..operators import flatten as P
 from ..operators import rerank as K
 from ..operators import tfidf as T
+from ..operators.pruned import PrunedTopK, impact_index
 from ..sources import documents as S
 from .base import RECORDS, TAGS, query, records, table, tags
 from .shared import scratch as _scratch
+from .shared import stored
 
 STOP = ("the", "and", "of", "to", "in", "is", "that", "on", "for", "with", "it", "as")
 _STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
@@ -368,17 +370,39 @@ def r4(s, d):
     return T.cosine_scores(T.transform_tfidf(q, idf, stop_words=STOP), postings).withColumn("score", F.round("score", 6))
 
 
+@query("r4_matrix_scores", f"with {_SCORES} select query_id, record_id, round(score, 6) as score from sc")
+def r4_matrix(s, d):
+    """The same scores from block products."""
+    return T.matrix_scores(*_sides(s, d), stop_words=STOP).withColumn("score", F.round("score", 6))
+
+
 @query("r5_top_k", f"with {_TOP.replace('K_ROWS', '3')} select query_id, record_id, round(score, 6) as score, rank from top where score > 0")
 def r5(s, d):
-    """The flagship: the three best records of each document, as joins on terms."""
+    """The flagship: the three best records of each document."""
     q, c = _sides(s, d)
-    return T.shortlist(q, c, 3, stop_words=STOP, pad=False).where("score > 0").select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return T.shortlist(q, c, 3, stop_words=STOP, pad=False, method="auto").where("score > 0").select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# the other way round: benchmark items ask, documents are the corpus
+_TURNED = _GRAMS.replace("doc_id as id, 0 as corpus", "doc_id as id, 1 as corpus").replace("item_id, 1, text", "item_id, 0, text").replace("count(*) from benchmark", "count(*) from documents")
+
+
+@query("r5_pruned_top_k", f"with {_TURNED}, sc as (select q.id as query_id, c.id as record_id, round(sum(q.weight * c.weight), 9) as score from u q join u c on q.term = c.term and q.corpus = 0 and c.corpus = 1 group by all) select query_id, record_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, record_id) as rank from sc qualify rank <= 3")
+def r5_pruned(s, d):
+    """The three best documents of each benchmark text, from blocks of impact."""
+    return pruned_job(s, d).result().select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def pruned_job(s, d) -> PrunedTopK:
+    docs, asked = table(s, d, "documents").select(F.col("doc_id").alias("record_id"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    postings, idf = (stored(x) for x in T.fit_tfidf(docs, stop_words=STOP))
+    return PrunedTopK(stored(T.transform_tfidf(asked, idf, stop_words=STOP)), impact_index(postings).withColumn("ord", F.col("record_id")), 3, store=stored)
 
 
 @query("r6_pad_zero", f"with {_TOP.replace('K_ROWS', '15')} select query_id, record_id, round(score, 6) as score, rank from top")
 def r6(s, d):
     q, c = _sides(s, d)
-    return T.shortlist(q, c, 15, stop_words=STOP).select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return T.shortlist(q, c, 15, stop_words=STOP, method="auto").select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("r7_attach_fields", f"with {_TOP.replace('K_ROWS', '2')} select query_id, rank, b.text as record_text from top join benchmark b on item_id = record_id")
@@ -402,7 +426,7 @@ def r8(s, d):
     q, c = _sides(s, d)
     subjects = F.array(*map(F.lit, R.SUBJECTS))
     c = c.withColumn("subject", F.element_at(subjects, (F.col("record_id") % 4 + 1).cast("int")))
-    best = T.shortlist(q, c, T.TOP_K, stop_words=STOP, by=["subject"])
+    best = T.shortlist(q, c, T.TOP_K, stop_words=STOP, by=["subject"], method="auto")
     return best.select("subject", "query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.lit("tfidf").alias("method"), F.lit(T.TOP_K).alias("top_k"))
 
 
