@@ -397,48 +397,30 @@ def infer_grades(col: Column | str, subject: Column | str = "subject") -> Column
 
 
 @cache
-def leads(words: str) -> tuple[tuple[str, ...], str]:
-    """The first three or four letters of a pattern's alternatives, and those alternatives that begin with fewer."""
-    parts, depth, part = [], 0, ""
+def split_alternatives(words: str) -> tuple[str, ...]:
+    """The alternatives of a rule, those inside parentheses left together."""
+    parts, depth = [""], 0
     for token in re.findall(r"\\.|.", words):
         depth += (token in "([") - (token in ")]")
         if token == "|" and not depth:
-            parts.append(part)
-            part = ""
+            parts.append("")
         else:
-            part += token
-    parts.append(part)
-    plain = [re.match(r"(?i)(?:\\b)*([a-z]{4}(?![?*{])|[a-z]{3}(?![?*{]))", p) for p in parts]
-    return tuple(dict.fromkeys(m[1].lower() for m in plain if m)), "|".join(p for p, m in zip(parts, plain, strict=True) if not m)
+            parts[-1] += token
+    return tuple(parts)
 
 
-def word_starts(col: Column | str) -> Column:
-    """The different first three letters, and first four, of a text's words."""
-    low = F.translate(F.lower(F.coalesce(_c(col), F.lit(""))), "ſ", "s")
-    four = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\p{Nd}_])([a-z]{3,4})"), F.lit(1)))
-    # bound as the one element of an array, so that a text is searched once
-    return F.get(F.transform(F.array(four), lambda x: F.array_union(x, F.transform(x, lambda w: F.substring(w, 1, 3)))), F.lit(0))
-
-
-def match_rules(col: Column | str, subject: str, rules=None, starts: Column | str | None = None) -> Column:
+def match_rules(col: Column | str, subject: str, rules=None) -> Column:
     """Struct of the names (first 60 characters of the pattern) and the union of targets of all rules that a text matches, in rule order.
 
-    With `starts`, a column of word_starts() of the text, a rule's pattern is tried only where a word begins as one of its alternatives does.
-    """
+    Each pattern is tried apart, which suits short texts and few rules; see matcher.py for one pass over long ones."""
     rules = KEYWORD_RULES[subject] if rules is None else rules
-
-    def hit(words: str) -> Column:
-        first, rest = leads(words) if starts is not None else ((), words)
-        out = F.arrays_overlap(_c(starts), _strings(first)) & _has(col, words) if first else F.lit(False)
-        return out | _has(col, rest) if rest else out
-
-    hits = F.array_compact(F.array(*(F.when(hit(words), F.struct(F.lit(pattern_of(words)[:60]).alias("name"), _strings(targets).alias("targets"))) for words, targets in rules)))
+    hits = F.array_compact(F.array(*(F.when(_has(col, words), F.struct(F.lit(pattern_of(words)[:60]).alias("name"), _strings(targets).alias("targets"))) for words, targets in rules)))
     return F.struct(F.transform(hits, lambda h: h["name"]).alias("matched"), F.array_distinct(F.flatten(F.transform(hits, lambda h: h["targets"]))).alias("boosts"))
 
 
-def match_rules_of(col: Column | str, subject: Column | str = "subject", starts: Column | str | None = None) -> Column:
+def match_rules_of(col: Column | str, subject: Column | str = "subject") -> Column:
     s = _c(subject)
-    math, history, science, ela = (match_rules(col, x, starts=starts) for x in ("math", "history", "science", "ela"))
+    math, history, science, ela = (match_rules(col, x) for x in ("math", "history", "science", "ela"))
     return F.when(s == "math", math).when(s == "history", history).when(s == "science", science).otherwise(ela)
 
 

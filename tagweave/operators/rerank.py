@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import ELEMENTARY, infer_grades, match_rules_of, skip_reason, word_starts
+from ..functions.matcher import matcher, rules_result
+from ..functions.rules import ELEMENTARY, infer_grades, skip_reason
 
 KEYS = ("doc_id", "subject", "path")
 #: Why an objective has its picks; `{}` is the subject.
@@ -88,8 +89,10 @@ def with_rules(objectives: DataFrame) -> DataFrame:
     """Objectives with context, inferred grades, matched rules and boosts."""
     unit = F.concat_ws(" ", F.nullif("doc_title", F.lit("")), F.nullif("doc_description", F.lit("")))
     out = objectives.withColumn("context", rerank_context()).withColumn("grades", infer_grades(unit))
-    out = out.withColumn("_starts", word_starts("context")).withColumn("_rules", match_rules_of("context", starts="_starts"))
-    return out.withColumn("matched", F.col("_rules.matched")).withColumn("boosts", F.col("_rules.boosts")).drop("_rules", "_starts")
+    out = out.withColumn("_numbers", matcher()("context"))
+    ela, math, history, science = (rules_result("_numbers", x) for x in ("ela", "math", "history", "science"))
+    out = out.withColumn("_rules", F.when(F.col("subject") == "math", math).when(F.col("subject") == "history", history).when(F.col("subject") == "science", science).otherwise(ela))
+    return out.withColumn("matched", F.col("_rules.matched")).withColumn("boosts", F.col("_rules.boosts")).drop("_rules", "_numbers")
 
 
 def rerank(candidates: DataFrame, objectives: DataFrame, n: int = TOP_N) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import excerpts
 from ..functions import grades as G
 from ..functions import rules as R
 from ..functions import text as X
+from ..functions.matcher import matcher, rules_result
 from ..operators import curation as L
 from ..operators import flatten as P
 from ..operators import rerank as K
@@ -291,8 +292,8 @@ def _rules_sql(subject: str) -> str:
 
 @query("f6_match_rules", f"with {_SALTED} select doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct({_rules_sql(x)})), ',') as {x}" for x in R.SUBJECTS) + " from salted")
 def f6(s, d):
-    docs = _salted(s, d).withColumn("starts", R.word_starts("text"))
-    return docs.select("doc_id", *(F.array_join(F.array_sort(R.match_rules("text", x, starts="starts")["boosts"]), ",").alias(x) for x in R.SUBJECTS))
+    docs = _salted(s, d).select("doc_id", matcher()("text").alias("numbers"))
+    return docs.select("doc_id", *(F.array_join(F.array_sort(rules_result("numbers", x)["boosts"]), ",").alias(x) for x in R.SUBJECTS))
 
 
 def _ascii(words: str) -> str:
