@@ -2,7 +2,8 @@
 
 The fitted corpus is cut into blocks of records, each a sparse matrix with its postings by term; queries pass through Arrow
 batches, are weighed, multiplied with one block after the other, and keep their k best records as they go. Nothing of the
-queries is shuffled. The corpus is broadcast only if its postings are counted and few enough; see `fits()`.
+queries is shuffled, but for texts that lie in fewer files than there are cores. The corpus is broadcast only if its texts are
+measured and small enough, which bounds its postings too; see `fits()`.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import ngrams
 
-#: Postings, records, and bytes of different terms that may be broadcast; records of a block; terms, and query-record cells, handled at once.
-MAX_POSTINGS, MAX_RECORDS, MAX_TERM_BYTES = 4_000_000, 500_000, 64 << 20
+#: Records, and bytes of their texts, that may be broadcast (a text has fewer terms than bytes); records of a block; terms, and query-record cells, handled at once.
+MAX_RECORDS, MAX_TEXT_BYTES = 200_000, 16 << 20
 BLOCK_RECORDS, BATCH_TERMS, BATCH_CELLS = 4096, 1_000_000, 4_000_000
 
 
@@ -45,30 +46,30 @@ class Group:
     records: pa.Table
 
 
-def fits(postings: DataFrame, corpus: DataFrame, idf: DataFrame) -> bool:
-    """Whether a fitted corpus is small enough to be broadcast; counts it."""
-    n_terms, term_bytes = idf.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    return corpus.count() <= MAX_RECORDS and term_bytes <= MAX_TERM_BYTES and n_terms <= MAX_POSTINGS and postings.count() <= MAX_POSTINGS
+def fits(corpus: DataFrame, text: str = "text") -> bool:
+    """Whether a corpus is small enough to be broadcast; measures it."""
+    n, size = corpus.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return n <= MAX_RECORDS and size <= MAX_TEXT_BYTES
 
 
-def collect(postings: DataFrame, idf: DataFrame, corpus: DataFrame, key: str, order: str, by: Sequence[str], digits: int | None = None) -> tuple[pa.Array, list[Group]]:
-    """(all terms, the groups) of a corpus that `fits()`."""
-    weights, ranks, records = (df.toArrow() for df in (postings.select(*by, key, "term", "weight"), idf.select(*by, "term", "idf"), corpus.select(*by, key, order)))
-    terms = pc.unique(ranks["term"].combine_chunks())
-    groups = {}
+def collect(counts: DataFrame, corpus: DataFrame, key: str, order: str, by: Sequence[str]) -> tuple[pa.Array, list[Group]]:
+    """(all terms, the groups) of a corpus that `fits()`, fitted as fit_tfidf() does; `counts` are its term_counts()."""
+    tf, records = counts.select(*by, key, "term", "tf").toArrow(), corpus.select(*by, key, order).toArrow()
+    terms, groups = pc.unique(tf["term"].combine_chunks()), []
     for values in sorted({tuple(r[c] for c in by) for r in records.select(list(by)).to_pylist()}, key=repr) if by else [()]:
         own = records.filter(_of(records, by, values)).sort_by([(order, "ascending"), (key, "ascending")])
-        rank, posting = ranks.filter(_of(ranks, by, values)), weights.filter(_of(weights, by, values))
-        table = np.full(len(terms), np.nan)
-        table[pc.index_in(rank["term"], terms).to_numpy()] = rank["idf"].to_numpy()
+        posting = tf.filter(_of(tf, by, values))
         code, row = pc.index_in(posting["term"], terms).to_numpy(), pc.index_in(posting[key], own[key].combine_chunks()).to_numpy()
-        weight, blocks = posting["weight"].to_numpy(), []
+        df = np.bincount(code, minlength=len(terms))
+        idf = np.where(df > 0, np.log((1 + own.num_rows) / (1 + df)) + 1, np.nan)
+        weight = (1 + np.log(posting["tf"].to_numpy())) * idf[code]
+        weight, blocks = weight / np.sqrt(np.bincount(row, weight * weight, own.num_rows))[row], []
         for first in range(0, own.num_rows, BLOCK_RECORDS):
             at = np.flatnonzero((row >= first) & (row < first + BLOCK_RECORDS))
             at = at[np.argsort(code[at], kind="stable")]
             blocks.append(Block(first, min(BLOCK_RECORDS, own.num_rows - first), code[at], row[at] - first, weight[at]))
-        groups[values] = Group(values, table, blocks, own)
-    return terms, list(groups.values())
+        groups.append(Group(values, idf, blocks, own))
+    return terms, groups
 
 
 def _of(table: pa.Table, by: Sequence[str], values: tuple) -> pa.Array:
@@ -135,9 +136,9 @@ def _parts(batch: pa.RecordBatch, terms: str, records: int) -> Iterator[pa.Recor
         yield batch.slice(start)
 
 
-def best_records(queries: DataFrame, postings: DataFrame, idf: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, order: str, stop_words: Sequence[str], by: Sequence[str], digits: int | None, pad: bool) -> DataFrame:
+def best_records(queries: DataFrame, counts: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, order: str, stop_words: Sequence[str], by: Sequence[str], digits: int | None, pad: bool) -> DataFrame:
     """by, query, record, order, score and rank of the k best records of each query and group; see tfidf.shortlist()."""
-    known, groups = collect(postings, idf, corpus, key, order, by)
+    known, groups = collect(counts, corpus, key, order, by)
     sent = queries.sparkSession.sparkContext.broadcast((known, groups))
     own = [c for c in by if c in queries.columns]
     most = min(BLOCK_RECORDS, max((g.records.num_rows for g in groups), default=1))
@@ -168,5 +169,7 @@ def best_records(queries: DataFrame, postings: DataFrame, idf: DataFrame, corpus
                     columns += [part.column(part.schema.get_field_index(query_key)).take(pa.array(r)), *(got[c].combine_chunks() for c in (key, order))]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((_rank(r) + 1).astype(np.int32))], names=[f.name for f in fields])
 
-    slim = queries.select(*own, query_key, ngrams("text", stop_words).alias("_terms"))
-    return slim.mapInArrow(run, StructType(fields))
+    slim, cores = queries.select(*own, query_key, "text"), queries.sparkSession.sparkContext.defaultParallelism
+    if len(queries.inputFiles()) < cores:
+        slim = slim.repartition(cores)
+    return slim.select(*own, query_key, ngrams("text", stop_words).alias("_terms")).mapInArrow(run, StructType(fields))

@@ -57,10 +57,9 @@ def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "que
 
 def matrix_scores(queries: DataFrame, corpus: DataFrame, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """The rows of cosine_scores() from block products; `corpus` as in shortlist()."""
-    postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
-    if not matrix.fits(postings, corpus, idf):
+    if not matrix.fits(corpus):
         raise ValueError("the corpus is too large to be broadcast; use cosine_scores()")
-    every = matrix.best_records(queries, postings, idf, corpus, matrix.MAX_RECORDS, query_key, key, order, stop_words, list(by), None, False)
+    every = matrix.best_records(queries, term_counts(corpus, key, "text", stop_words, by), corpus, matrix.MAX_RECORDS, query_key, key, order, stop_words, list(by), None, False)
     return every.select(*by, query_key, key, "score")
 
 
@@ -101,13 +100,13 @@ def shortlist(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_key:
 
     `corpus` has key, order and text, `queries` key and text; `corpus` has the columns of `by`, and queries without them are asked in every group.
     `method` is "join" (terms are joined, for corpora of any size), "matrix" (block products in workers that all get the corpus, which
-    is refused if it is too large for that) or "auto": matrix where the corpus, which is counted, is small enough, else join."""
-    postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
+    is refused if it is too large for that) or "auto": matrix where the corpus, which is measured, is small enough, else join."""
     if method != "join":
-        if matrix.fits(postings, corpus, idf):
-            return matrix.best_records(queries, postings, idf, corpus, k, query_key, key, order, stop_words, list(by), digits, pad)
+        if matrix.fits(corpus):
+            return matrix.best_records(queries, term_counts(corpus, key, "text", stop_words, by), corpus, k, query_key, key, order, stop_words, list(by), digits, pad)
         if method == "matrix":
             raise ValueError("the corpus is too large to be broadcast; use the join")
+    postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
     placed = attach_fields(postings, corpus, [order], key, by).join(idf, [*by, "term"])
     own = [c for c in by if c in queries.columns]
     w = (1 + F.log("tf")) * F.col("idf")

@@ -48,7 +48,7 @@ def test_matrix_scores_equal_cosine_scores(sides):
 
 def test_large_corpora_are_not_broadcast(sides, monkeypatch):
     queries, corpus = sides
-    monkeypatch.setattr(matrix, "MAX_POSTINGS", 100)
+    monkeypatch.setattr(matrix, "MAX_TEXT_BYTES", 100)
     with pytest.raises(ValueError, match="too large"):
         T.shortlist(queries, corpus, 3, method="matrix")
     assert T.shortlist(queries, corpus, 3, method="auto").count() == 180
