@@ -64,14 +64,27 @@ def documents_using(docs: DataFrame, taxonomy_id: str) -> DataFrame:
     return docs.where(F.array_contains(taxonomy_ids(), taxonomy_id))
 
 
-def assign_ranges(pages: DataFrame, ranges: DataFrame, value: str = "page") -> DataFrame:
-    """Rows with each small range (lo, hi, both inclusive) that holds their value. Ranges are a handful by nature: they become one array in the row."""
-    listed = ranges.agg(F.collect_list(F.struct("*"))).scalar()
-    each = pages.withColumn("_ranges", listed)
-    return each.select(*pages.columns, F.explode(F.filter("_ranges", lambda r: (F.col(value) >= r["lo"]) & (F.col(value) <= r["hi"]))).alias("range"))
+def assign_ranges(pages: DataFrame, ranges: DataFrame, value: str = "page", unit: float = 1.0) -> DataFrame:
+    """Rows with each range (lo, hi, both inclusive) that holds their value, as struct `range`; any number of ranges of any lengths.
 
+    A range belongs to the level of its length, level n being 2^n units wide, and lies in at most two bins of that width. So
+    ranges and values are joined by (level, bin): a value has one bin for each level that occurs, long ranges are apart from short ones,
+    and only ranges that begin or end near a value are compared with it. Null values and ranges with a null or reversed end match nothing."""
+    lo, hi, v = F.col("lo").cast("double"), F.col("hi").cast("double"), F.col(value).cast("double")
+    level = F.greatest(F.ceil(F.log2(F.greatest((hi - lo) / unit, F.lit(1.0)))).cast("int"), F.lit(0))
 
-def assign_nearest_left(value: Column | str, starts: Column | str, slack: float = 0.0) -> Column:
+    def bin_of(x: Column, level: Column) -> Column:
+        return F.floor(x / (F.pow(F.lit(2.0), level) * unit))
+
+    valid = ranges.where(F.col("lo") <= F.col("hi"))
+    cut = valid.select(F.struct(*ranges.columns).alias("range"), level.alias("_level"), F.explode(F.array_distinct(F.array(bin_of(lo, level), bin_of(hi, level)))).alias("_bin"))
+    levels = valid.agg(F.coalesce(F.sort_array(F.collect_set(level)), F.array().cast("array<int>"))).scalar()
+    each = pages.select("*", F.explode(levels).alias("_level")).withColumn("_bin", bin_of(v, F.col("_level")))
+    holds = (F.col(value) >= F.col("range.lo")) & (F.col(value) <= F.col("range.hi"))
+    return each.join(cut, ["_level", "_bin"]).where(holds).select(*pages.columns, "range")
+
+
+def nearest_left(value: Column | str, starts: Column | str, slack: float = 0.0) -> Column:
     """Of an array of starts the greatest at most `value + slack`; where none is, the nearest."""
     v, s = (F.col(c) if isinstance(c, str) else c for c in (value, starts))
     left = F.array_max(F.filter(s, lambda x: x <= v + slack))
@@ -79,6 +92,35 @@ def assign_nearest_left(value: Column | str, starts: Column | str, slack: float
     return F.coalesce(left, nearest)
 
 
+def assign_nearest_left(items: DataFrame, starts: DataFrame, value: str, start: str = "start", slack: float = 0.0, keys: Sequence[str] = (), slices: int = 64) -> DataFrame:
+    """Items with the greatest start of their key that is at most `value + slack`, else with the nearest; null where the key has no start.
+
+    One ordered pass over items and starts together. So that a key with very many rows is not one task, values are cut at
+    quantiles of the items into slices, each ordered by itself: the last start before a slice is carried over from the
+    largest of each earlier slice, a table of at most `slices` rows a key. Where no start lies to the left all lie to the right, and
+    the nearest is the first. Null values get null, and so do rows with a null key."""
+    keys, kind = list(keys), starts.schema[start].dataType
+    cuts = [i / slices for i in range(1, slices)] or [0.5]
+    bounds = items.agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double") + slack, cuts, 1000))).scalar()
+
+    def sliced(df: DataFrame) -> DataFrame:
+        """Which slice a place is in: the number of bounds below it."""
+        below = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_at"))), F.lit(0))
+        return df.withColumn("_bounds", bounds).withColumn("_slice", below).drop("_bounds")
+
+    known = starts.where(" and ".join(f"`{c}` is not null" for c in (start, *keys))).select(*keys, F.col(start).alias("_start"), F.col(start).cast("double").alias("_at"))
+    rows = items.select(*keys, F.struct(*items.columns).alias("_item"), F.lit(None).cast(kind).alias("_start"), (F.col(value).cast("double") + slack).alias("_at"))
+    both = known.select(*keys, F.lit(None).cast(rows.schema["_item"].dataType).alias("_item"), "_start", "_at").unionByName(rows)
+    # with equal places starts come first
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_at", F.col("_item").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = sliced(both).withColumn("_left", F.last("_start", ignorenulls=True).over(inside)).where("_item is not null")
+    per_slice = sliced(known).groupBy(*keys, "_slice").agg(F.min("_start").alias("_lo"), F.max("_start").alias("_hi"))
+    firsts = per_slice.groupBy(*keys).agg(F.min("_lo").alias("_first"), F.sort_array(F.collect_list(F.struct("_slice", "_hi"))).alias("_earlier"))
+    out = found.join(firsts, keys, "left") if keys else found.join(firsts, how="left")
+    carried = F.array_max(F.transform(F.filter("_earlier", lambda e: e["_slice"] < F.col("_slice")), lambda e: e["_hi"]))
+    return out.select("_item.*", F.when(F.col(f"_item.{value}").isNotNull(), F.coalesce("_left", carried, "_first")).alias(start))
+
+
 def assign_range_owner(items: DataFrame, markers: DataFrame, tol: float, keys: Sequence[str], at: str = "y") -> DataFrame:
     """Each item with its last marker at most `at + tol`, by one ordered pass over items and markers of a key."""
     both = markers.select(*keys, (F.col(at) - tol).alias(at), F.col("marker"), F.lit(0).alias("_item"), F.lit(None).cast(items.schema["item"].dataType).alias("item"))

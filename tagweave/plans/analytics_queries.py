@@ -242,16 +242,32 @@ def j7b(s, d):
     return C.adopted(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title")), table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")))
 
 
-@query("j10_assign_ranges", "select p_partkey, p_size, r.name from part, (values (1, 10, 'low'), (8, 30, 'mid'), (31, 50, 'high')) r(lo, hi, name) where p_size between lo and hi")
+_ORDER_RANGES = "r as (select o_orderkey as id, o_custkey as lo, o_custkey + case when o_orderkey % 50 = 0 then 200 else o_orderkey % 4 end as hi from orders)"
+
+
+@query("j10_assign_ranges", f"with {_ORDER_RANGES} select s_suppkey, id from supplier join r on s_suppkey between lo and hi")
 def j10(s, d):
-    ranges = table(s, d, "region").where("r_regionkey < 3").select(*(F.element_at(F.array(*map(F.lit, v)), F.col("r_regionkey") + 1).alias(n) for n, v in (("lo", (1, 8, 31)), ("hi", (10, 30, 50)), ("name", ("low", "mid", "high")))))
-    return C.assign_ranges(table(s, d, "part"), ranges, "p_size").select("p_partkey", "p_size", "range.name")
+    """Suppliers' numbers in ranges that all orders give, most of them short and some long."""
+    k = F.col("o_orderkey")
+    ranges = table(s, d, "orders").select(k.alias("id"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + F.when(k % 50 == 0, 200).otherwise(k % 4)).alias("hi"))
+    return C.assign_ranges(table(s, d, "supplier").select("s_suppkey"), ranges, "s_suppkey").select("s_suppkey", "range.id")
 
 
-@query("j11_assign_nearest_left", "select event_id, value, coalesce((select max(x) from (values (5.0::double), (12.0), (40.0), (90.0)) t(x) where x <= value + 0.5), 5.0::double) as start from events")
+@query("j11_assign_nearest_left", """with st as (select user_id, value as start from events where event_type = 'click'), it as (select user_id, event_id, value, value + 0.5 as at from events where event_type <> 'click'),
+    f as (select user_id, min(start) as first from st group by 1) select it.user_id, event_id, value, coalesce(st.start, first) as start from it asof left join st on it.user_id = st.user_id and it.at >= st.start left join f on f.user_id = it.user_id""")
 def j11(s, d):
-    starts = F.array(*(F.lit(x) for x in (5.0, 12.0, 40.0, 90.0)))
-    return table(s, d, "events").select("event_id", "value", C.assign_nearest_left("value", starts, 0.5).alias("start"))
+    """Each other event gets a click's value as start: the nearest to the left for its user, with slack."""
+    e = table(s, d, "events").select("user_id", "event_id", "value", "event_type")
+    starts = e.where("event_type = 'click'").select("user_id", F.col("value").alias("start"))
+    return C.assign_nearest_left(e.where("event_type <> 'click'").drop("event_type"), starts, "value", "start", 0.5, ["user_id"])
+
+
+@query("j11_one_list", "with st as (select distinct p_retailprice as start from part where p_size < 3), it as (select l_orderkey, l_linenumber, l_extendedprice, l_extendedprice / 20 as at from lineitem) select l_orderkey, l_linenumber, it.at as value, coalesce(st.start, (select min(start) from st)) as start from it asof left join st on it.at >= st.start")
+def j11_one_list(s, d):
+    """Prices of all lines against one list of starts."""
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 20).alias("value"))
+    starts = table(s, d, "part").where("p_size < 3").select(F.col("p_retailprice").alias("start"))
+    return C.assign_nearest_left(lines, starts, "value", "start")
 
 
 @query("j12_assign_range_owner", "with m as (select user_id, epoch(ts) - 2.0 as y, event_id as marker from events where event_type = 'click'), i as (select user_id, epoch(ts) as y, event_id as item from events where event_type <> 'click') select i.user_id, i.item, m.marker from i asof left join m on i.user_id = m.user_id and i.y >= m.y")
