@@ -5,7 +5,7 @@ Tags are one row each: doc_id, path, code, confidence. Objectives are one row ea
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,36 +76,67 @@ def coverage_summary(objectives: DataFrame, exclusions: DataFrame) -> DataFrame:
     return _coverage(kept, F.col("counts"), False).withColumn("n_codes", codes)
 
 
-def document_cards(objectives: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Coverage and distinct codes of each document after exclusions."""
-    kept = without_excluded(objectives, exclusions)
-    cards = kept.groupBy("doc_id").agg(F.count_if("counts").alias("n_objectives"), F.count_if(F.col("counts") & (F.size("tags") > 0)).alias("n_aligned"))
-    codes = tags_of(kept).groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"))
-    return cards.join(codes, "doc_id", "left").withColumn("n_codes", F.coalesce("n_codes", F.lit(0)))
+def _each_document(objectives: DataFrame, exclusions: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """One row per document with counts over its included objectives; documents whose sections are all excluded, and those of `docs` without objectives, count 0.
+
+    Coverage and confidence are over objectives that count, codes over all included ones."""
+    out = exclusions.select("doc_id", "section_idx").distinct().withColumn("_out", F.lit(True))
+    marked = objectives.join(out, ["doc_id", "section_idx"], "left").withColumn("_in", F.col("_out").isNull())
+    counted, tagged = F.col("_in") & F.col("counts"), F.size("tags") > 0
+
+    def level(name: str) -> Column:
+        return F.sum(F.when(counted, F.size(F.filter("tags", lambda t: t["confidence"] == name))).otherwise(0)).alias(name)
+
+    codes = F.explode_outer(F.when(F.col("_in"), F.filter(F.transform("tags", lambda t: t["code"]), lambda c: F.coalesce(c, F.lit("")) != "")))
+    n_codes = marked.select("doc_id", codes.alias("code")).groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"))
+    each = marked.groupBy("doc_id").agg(F.count_if(counted).alias("n_objectives"), F.count_if(counted & tagged).alias("n_aligned"), *map(level, LEVELS)).join(n_codes, "doc_id")
+    if docs is None:
+        return each
+    return docs.select("doc_id").distinct().join(each, "doc_id", "left").na.fill(0)
+
+
+def document_cards(objectives: DataFrame, exclusions: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Coverage and distinct codes of each document (of `docs`, else of those with objectives) after exclusions."""
+    return _each_document(objectives, exclusions, docs).select("doc_id", "n_objectives", "n_aligned", "n_codes")
 
 
-def alignment_report(objectives: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Confidence mix and coverage of each document over included objectives that count."""
-    inside = without_excluded(objectives, exclusions).where("counts")
-    out = inside.groupBy("doc_id").agg(F.count("*").alias("n_objectives"), F.count_if(F.size("tags") > 0).alias("n_aligned"), *_confidence_counts())
-    return out.withColumn("pct_aligned", F.round(100.0 * F.col("n_aligned") / F.col("n_objectives"), 0))
+def alignment_report(objectives: DataFrame, exclusions: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Confidence mix and coverage of each document over included objectives that count; coverage is 0 where there are none, and halves round up."""
+    out = _each_document(objectives, exclusions, docs).drop("n_codes")
+    pct = F.when(F.col("n_objectives") > 0, F.floor(100.0 * F.col("n_aligned") / F.col("n_objectives") + 0.5)).otherwise(0)
+    return out.withColumn("pct_aligned", pct.cast("long"))
 
 
 def taxonomy_summary(records: DataFrame) -> DataFrame:
-    """Records by bucket (most first) and by grade (in grade order), in one grouping."""
+    """Records by bucket and by grade, in one grouping; see summary_order()."""
     named = records.select(bucket_of().alias("bucket"), F.coalesce(first_present("grade", "grade_band"), F.lit("unspecified")).alias("grade"))
     out = named.groupingSets([["bucket"], ["grade"]], "bucket", "grade").agg(F.grouping("bucket").alias("by_grade"), F.count("*").alias("n"))
     return out.select(F.when(F.col("by_grade") == 1, "grade").otherwise("bucket").alias("kind"), F.when(F.col("by_grade") == 1, F.col("grade")).otherwise(F.col("bucket")).alias("name"), "n")
 
 
-def usage_index(tags: DataFrame) -> DataFrame:
-    """(code, doc_id) pairs in use, in long form: a code that very many documents use makes no large row."""
-    return tags.where("code is not null").select("code", "doc_id").distinct()
+def summary_order() -> list[Column]:
+    """Buckets, most records first, then grades in their order."""
+    bucket = F.col("kind") == "bucket"
+    return [F.when(bucket, 0).otherwise(1), F.desc(F.when(bucket, F.col("n"))), F.when(~bucket, grade_order_key("name")), F.col("name")]
 
 
-def used_records(tags: DataFrame, records: DataFrame) -> DataFrame:
-    """Codes in use that the taxonomy has."""
-    return tags.select("code").distinct().join(records.select("code"), "code", "left_semi")
+def _tags_in_use(tags: DataFrame, exclusions: DataFrame | None, docs: DataFrame | None) -> DataFrame:
+    """Tags with a code, outside excluded sections, of the documents given."""
+    out = tags.where(first_present("code").isNotNull())
+    out = out if exclusions is None else without_excluded(out, exclusions)
+    return out if docs is None else out.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def usage_index(tags: DataFrame, exclusions: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """(code, doc_id) pairs in use, in long form: a code that very many documents use makes no large row.
+
+    `exclusions` are (doc_id, section_idx), and tags have section_idx then; `docs` are the documents under a taxonomy, see documents_using()."""
+    return _tags_in_use(tags, exclusions, docs).select("code", "doc_id").distinct()
+
+
+def used_records(tags: DataFrame, records: DataFrame, exclusions: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """Records of a taxonomy whose code is in use by the documents under it."""
+    return records.join(_tags_in_use(tags, exclusions, docs).select("code").distinct(), "code", "left_semi")
 
 
 def record_counts(records: DataFrame, keys: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
@@ -128,30 +159,65 @@ def relative_to_max(df: DataFrame, count: str = "n", digits: int = 6) -> DataFra
 
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     """Distinct present values in grade order."""
-    return df.select(first_present(col).alias(col)).where(F.col(col).isNotNull()).distinct().orderBy(grade_order_key(col), col)
+    return df.select(first_present(col).alias(col)).where(F.col(col).isNotNull()).distinct().orderBy(*distinct_order(col))
+
+
+def distinct_order(col: str) -> list[Column]:
+    return [grade_order_key(col), F.col(col)]
 
 
 def top_codes(tags: DataFrame, k: int = 15) -> DataFrame:
     return code_counts(tags).orderBy(F.desc("n"), F.asc("code")).limit(k)
 
 
-def sort_by_subject_title(docs: DataFrame) -> DataFrame:
+def subject_title_order() -> list[Column]:
     """ela, math, history, then others; then by lower-case title."""
     place = F.coalesce(F.element_at(F.create_map(F.lit("ela"), F.lit(0), F.lit("math"), F.lit(1), F.lit("history"), F.lit(2)), F.col("subject")), F.lit(3))
-    return docs.orderBy(place, F.lower("title"))
+    return [place, F.lower("title")]
+
+
+def sort_by_subject_title(docs: DataFrame) -> DataFrame:
+    return docs.orderBy(*subject_title_order())
+
 
+def catalog_order(mode: str = "recent", title: str = "name", missing_is_seed: bool = False) -> list[Column]:
+    """`recent`: users' rows first, newest first; `name`; `aligned`: by share of aligned objectives.
 
-def sort_catalog(docs: DataFrame, mode: str = "recent") -> DataFrame:
-    """`recent`: users' rows first, newest first; `name`; `aligned`: by share of aligned objectives."""
+    Documents have a name, and count as users' where is_seed is missing; taxonomies have a title, and count as seeds there."""
     if mode == "name":
-        return docs.orderBy(F.lower("name"))
+        return [F.lower(F.coalesce(title, F.lit("")))]
     if mode == "aligned":
-        return docs.orderBy(F.desc(F.when(F.col("n_objectives") > 0, F.col("n_aligned") / F.col("n_objectives")).otherwise(0.0)), F.lower("name"))
-    return docs.orderBy(F.asc("is_seed"), F.desc("created_at"))
+        return [F.desc(F.when(F.col("n_objectives") > 0, F.col("n_aligned") / F.col("n_objectives")).otherwise(0.0))]
+    return [F.coalesce("is_seed", F.lit(missing_is_seed)), F.desc_nulls_last("created_at")]
+
+
+def sort_catalog(rows: DataFrame, mode: str = "recent", title: str = "name", missing_is_seed: bool = False) -> DataFrame:
+    return rows.orderBy(*catalog_order(mode, title, missing_is_seed))
+
+
+#: Grades of science records in the order of their lists; others come last.
+SCIENCE_GRADES = ("K", "K-2", "1", "2", "3", "4", "3-5", "5", "MS", "HS")
+
+
+def science_grade_order() -> list[Column]:
+    """By grade, then topic and number."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SCIENCE_GRADES)), F.col("grade")), F.lit(0)), F.lit(len(SCIENCE_GRADES) + 1))
+    return [place, F.col("topic"), F.col("number")]
 
 
 def sort_by_grade(records: DataFrame) -> DataFrame:
-    return records.orderBy(grade_order_key("grade"), "topic", "number")
+    return records.orderBy(*science_grade_order())
+
+
+def with_position(df: DataFrame, order: Sequence[Column | str], store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds `position`, from 1, in an order that should be total. Rows are sorted by ranges and stored; a row's place in its range and
+    the sizes of the ranges before it give its position, so no task holds more than a range."""
+    placed = store(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(before, "_part").withColumn("position", F.col("_before") + at + 1).select(*df.columns, "position")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

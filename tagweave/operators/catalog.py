@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grades import bucket_of, first_present
-from ..functions.rules import SUBJECTS
+from ..functions.text import preview_text
 
 # joins
 
@@ -138,14 +138,17 @@ def flag_listed(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFr
 # status and browsing
 
 
-def document_status(seed: str = "is_seed", aligned: str = "n_aligned", objectives: str = "n_objectives", parsed: str = "is_parsed") -> Column:
-    """Struct of alignment (raw or aligned), parsing (parsed, needs_parse or empty) and tagging (tagged or pending)."""
-    has_tags = F.coalesce(F.col(aligned), F.lit(0)) > 0
-    has_any = F.coalesce(F.col(objectives), F.lit(0)) > 0
+def document_status(seed: str = "is_seed", aligned: str = "n_aligned", parsed: str = "is_parsed", file: str = "file_name", tagged: str = "is_tagged") -> Column:
+    """Struct of alignment (aligned for seeds and where an objective has a tag, else raw), parsing (parsed where a parse is stored,
+    else needs_parse with a file and empty without) and tagging (tagged where an alignment is stored, else pending)."""
+
+    def yes(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(False))
+
     return F.struct(
-        F.when(F.coalesce(F.col(seed), F.lit(False)) | has_tags, "aligned").otherwise("raw").alias("alignment"),
-        F.when(has_any, "parsed").when(F.coalesce(F.col(parsed), F.lit(False)), "empty").otherwise("needs_parse").alias("parse"),
-        F.when(has_tags, "tagged").otherwise("pending").alias("tag"),
+        F.when(yes(seed) | (F.coalesce(F.col(aligned), F.lit(0)) > 0), "aligned").otherwise("raw").alias("alignment"),
+        F.when(yes(parsed), "parsed").when(first_present(file).isNotNull(), "needs_parse").otherwise("empty").alias("parse"),
+        F.when(yes(tagged), "tagged").otherwise("pending").alias("tag"),
     )
 
 
@@ -156,8 +159,13 @@ def _has(query: str, *cols: Column | str) -> Column:
     return out
 
 
-def filter_documents(docs: DataFrame, hide_seeds: bool = False, alignment: str = "all", grade: str = "all", subject: str = "all", search: str = "") -> DataFrame:
-    """Documents by origin, alignment, grade, subject and words; rows without a known subject pass every subject."""
+#: The subjects that documents can be browsed by.
+BROWSED_SUBJECTS = ("ela", "math", "history")
+
+
+def filter_documents(docs: DataFrame, hide_seeds: bool = False, alignment: str = "all", grade: str = "all", subject: str = "all", search: str = "", subjects: Sequence[str] = BROWSED_SUBJECTS) -> DataFrame:
+    """Documents by origin, alignment, grade, subject and words (in name, grade and the preview of the description); rows
+    without one of the known `subjects` pass every subject."""
     out = docs
     if hide_seeds:
         out = out.where(~F.coalesce("is_seed", F.lit(False)))
@@ -167,8 +175,8 @@ def filter_documents(docs: DataFrame, hide_seeds: bool = False, alignment: str =
     if grade != "all":
         out = out.where(F.trim(F.coalesce("grade", F.lit(""))) == grade)
     if subject != "all":
-        out = out.where(F.coalesce(~F.col("subject").isin(*SUBJECTS), F.lit(True)) | (F.col("subject") == subject))
-    return out.where(_has(search, "name", "grade", "description")) if search.strip() else out
+        out = out.where(F.coalesce(~F.col("subject").isin(*subjects), F.lit(True)) | (F.col("subject") == subject))
+    return out.where(_has(search, "name", "grade", preview_text("description"))) if search.strip() else out
 
 
 def filter_taxonomies(taxonomies: DataFrame, hide_library: bool = False, search: str = "") -> DataFrame:
@@ -184,7 +192,7 @@ def browse_records(records: DataFrame, search: str = "", bucket: str = "", grade
     if grade:
         out = out.where((F.col("grade") == grade) | (F.col("grade_band") == grade))
     if search.strip():
-        out = out.where(_has(search, "code", "text", first_present("strand_name", "category_name", "domain_name", "course_title")))
+        out = out.where(_has(search, "code", "text", first_present("strand_name", "category_name", "domain_name", "skill_category")))
     if used is not None:
         out = out.join(used.select("code").distinct(), "code", "left_semi")
     return out.orderBy(order).offset(offset).limit(limit), out.agg(F.count("*").alias("total"))
@@ -213,11 +221,17 @@ def insert_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 def patch_rows(table: DataFrame, patches: DataFrame, allowed: Sequence[str], now: Column | str = "updated_at") -> DataFrame:
     """Sets allowed columns from `patches` (id, a map of column to new value in `set`, updated_at). A column that is not in
-    the map stays; one that is there with null becomes null. Seeds stay as they are."""
+    the map stays; one that is there with null becomes null. Strings are trimmed, a subject is also put in lower case, and null if
+    nothing is left of it. Seeds stay as they are."""
+
+    def value(c: str) -> Column:
+        new = F.regexp_replace(F.col("_set")[c], r"(?U)^\s+|\s+$", "")
+        return F.nullif(F.lower(new), F.lit("")) if c == "subject" else new
+
     p = patches.select("id", F.col("set").alias("_set"), F.col(now).alias("_now") if isinstance(now, str) else now.alias("_now"))
     out = table.join(p, "id", "left").withColumn("_on", F.col("_set").isNotNull() & ~F.coalesce("is_seed", F.lit(False)))
     for c in allowed:
-        out = out.withColumn(c, F.when(F.col("_on") & F.map_contains_key("_set", c), F.col("_set")[c].cast(table.schema[c].dataType)).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(F.col("_on") & F.map_contains_key("_set", c), value(c).cast(table.schema[c].dataType)).otherwise(F.col(c)))
     return out.withColumn("updated_at", F.when(F.col("_on"), F.col("_now")).otherwise(F.col("updated_at"))).select(*table.columns)
 
 
@@ -239,20 +253,31 @@ def latest_by_key(versions: DataFrame, key: str, order: Sequence[str]) -> DataFr
     return versions.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v")).select(key, "v.*")
 
 
-def replace_tags(objectives: DataFrame, changes: DataFrame) -> DataFrame:
-    """New tags for some (doc_id, path); tags without code go, and n_tags and the document's counts follow."""
+def replace_tags(objectives: DataFrame, changes: DataFrame, taxonomies: DataFrame | None = None, order: str = "ord") -> DataFrame:
+    """New tags for some (doc_id, path); tags without code go, n_tags and the document's counts follow, and a tag without text gets
+    its code's first non-empty text in the taxonomies (code, text) by their order, else an empty one."""
     new = changes.select("doc_id", "path", F.filter("tags", lambda t: first_present(t["code"]).isNotNull()).alias("_new"))
+    if taxonomies is not None:
+        fields = new.schema["_new"].dataType.elementType.names
+        each = fill_tag_text(new.select("doc_id", "path", F.posexplode("_new").alias("_pos", "t")).select("doc_id", "path", "_pos", "t.*").withColumn("text", F.trim("text")), taxonomies, order)
+        tag = F.struct(*(F.coalesce("text", F.lit("")).alias("text") if f == "text" else F.col(f) for f in fields))
+        filled = each.groupBy("doc_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", tag.alias("t")))), lambda x: x["t"]).alias("_filled"))
+        new = new.join(filled, ["doc_id", "path"], "left").select("doc_id", "path", F.coalesce("_filled", "_new").alias("_new"))
     out = objectives.join(new, ["doc_id", "path"], "left").withColumn("tags", F.coalesce("_new", "tags")).drop("_new").withColumn("n_tags", F.size("tags"))
     w = Window.partitionBy("doc_id")
     return out.withColumn("n_objectives", F.count("*").over(w)).withColumn("n_aligned", F.count_if(F.col("n_tags") > 0).over(w))
 
 
 def document_detail(docs: DataFrame, parsed: DataFrame, alignments: DataFrame, taxonomies: DataFrame) -> DataFrame:
-    """Documents with their alignment's objectives, else the parsed ones, their taxonomies' titles joined by ` + `, counts and statuses."""
-    wide = docs.join(parsed.select("id", F.col("objectives").alias("_parsed")), "id", "left").join(alignments.select("id", F.col("objectives").alias("_aligned")), "id", "left")
-    wide = wide.withColumn("objectives", F.coalesce("_aligned", "_parsed")).withColumn("is_parsed", F.col("_parsed").isNotNull()).withColumn("_ids", taxonomy_ids())
+    """Documents with their alignment's objectives, else the parsed ones, the title that the alignment stores, else their taxonomies'
+    titles joined by ` + `, counts and statuses. `alignments` may have taxonomy_title, `docs` is_seed and file_name."""
+    alignments = alignments if "taxonomy_title" in alignments.columns else alignments.withColumn("taxonomy_title", F.lit(None).cast("string"))
+    stored = alignments.select("id", F.col("objectives").alias("_aligned"), F.col("taxonomy_title").alias("_title"), F.lit(True).alias("is_tagged"))
+    wide = docs.join(parsed.select("id", F.col("objectives").alias("_parsed"), F.lit(True).alias("is_parsed")), "id", "left").join(stored, "id", "left")
+    wide = wide.withColumn("objectives", F.coalesce("_aligned", "_parsed")).withColumn("_ids", taxonomy_ids())
     titles = wide.select("id", F.posexplode("_ids").alias("pos", "taxonomy")).join(taxonomies.select(F.col("id").alias("taxonomy"), "title"), "taxonomy").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "title"))).alias("t"))
-    out = wide.join(titles, "id", "left").withColumn("taxonomy_title", F.array_join(F.transform("t", lambda x: x["title"]), " + "))
+    out = wide.join(titles, "id", "left").withColumn("taxonomy_title", F.coalesce(first_present("_title"), F.nullif(F.array_join(F.filter(F.transform("t", lambda x: x["title"]), lambda x: x != ""), " + "), F.lit(""))))
     out = out if "is_seed" in out.columns else out.withColumn("is_seed", F.lit(False))
+    out = out if "file_name" in out.columns else out.withColumn("file_name", F.lit(None).cast("string"))
     out = out.withColumn("n_objectives", F.coalesce(F.size("objectives"), F.lit(0))).withColumn("n_aligned", F.coalesce(F.size(F.filter("objectives", lambda o: F.size(o["tags"]) > 0)), F.lit(0)))
-    return out.withColumn("status", document_status()).drop("_parsed", "_aligned", "_ids", "t")
+    return out.withColumn("status", document_status()).drop("_parsed", "_aligned", "_title", "_ids", "t", "is_parsed", "is_tagged")

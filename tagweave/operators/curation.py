@@ -87,21 +87,26 @@ def estimate_cost(prompts: DataFrame, price_in: float = PRICE_IN, price_out: flo
 def compact_records(records: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """code, grade and text of at most 400 characters; if all records together are larger than `max_chars`, every text shrinks in proportion."""
     slim = records.select(F.col("code"), first_present("grade", "grade_band").alias("grade"), F.substring(F.coalesce("text", F.lit("")), 1, RECORD_CHARS).alias("text"))
-    size = slim.agg(F.sum(F.length(F.to_json(F.struct("code", "grade", "text"))))).scalar()
+    # the size of all as one array: a comma behind each but the last, and two brackets
+    size = slim.agg(F.sum(F.length(F.to_json(F.struct("code", "grade", "text"), {"ignoreNullFields": "false"})) + 1) + 1).scalar()
     least = F.greatest(F.lit(LEAST_CHARS), F.floor(F.length("text") * (F.lit(float(max_chars)) / size)).cast("int"))
     return slim.withColumn("text", F.when(size > max_chars, F.substr("text", F.lit(1), least)).otherwise(F.col("text")))
 
 
 def objective_payload() -> Column:
-    """What a prompt tells of an objective, as JSON."""
-    return F.to_json(F.struct("path", F.coalesce("section_title", F.lit("")).alias("section"), F.coalesce("objective_title", F.lit("")).alias("title"), F.coalesce("objective_description", F.lit("")).alias("description")))
+    """What a prompt tells of an objective, as JSON of six fields; what is missing is null."""
+    fields = [first_present("objective_title").alias("title"), "section_title", F.col("objective_description").alias("description"), *(first_present(c).alias(c) for c in ("evaluation_type", "audience"))]
+    return F.to_json(F.struct("path", *fields), {"ignoreNullFields": "false"})
 
 
-def merge_answers(objectives: DataFrame, answers: DataFrame, order: str = "attempt") -> DataFrame:
-    """Objectives with the tags of their last answer; without one they stay as they are. A skip reason is the note where there are no tags."""
+def merge_answers(objectives: DataFrame, answers: DataFrame, order: str = "attempt") -> tuple[DataFrame, DataFrame]:
+    """(objectives with the tags of their last answer, n_total and n_aligned of each document). Without an answer an objective stays as
+    it is. Where an answer has no tags but a reason to skip, the reason, trimmed, is the note; else the old note stays."""
     last = answers.groupBy("doc_id", "path").agg(F.max_by(F.struct(F.col("tags").alias("new_tags"), "skip_reason"), order).alias("a"))
     got = F.col("a").isNotNull()
     tags = F.when(got, F.coalesce("a.new_tags", F.array().cast(objectives.schema["tags"].dataType))).otherwise(F.col("tags"))
     out = objectives.join(last, ["doc_id", "path"], "left").withColumn("_tags", tags)
-    note = F.when(got, F.when(F.size("_tags") == 0, F.col("a.skip_reason"))).otherwise(F.col("note"))
-    return out.withColumn("note", note).withColumn("tags", F.col("_tags")).withColumn("n_tags", F.size("tags")).drop("_tags", "a")
+    reason = F.nullif(F.regexp_replace("a.skip_reason", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    note = F.when(got & (F.size("_tags") == 0) & reason.isNotNull(), reason).otherwise(F.col("note"))
+    merged = out.withColumn("note", note).withColumn("tags", F.col("_tags")).withColumn("n_tags", F.size("tags")).drop("_tags", "a")
+    return merged, merged.groupBy("doc_id").agg(F.count("*").alias("n_total"), F.count_if(F.col("n_tags") > 0).alias("n_aligned"))

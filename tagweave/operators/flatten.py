@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grades import first_present
 from ..functions.rules import SUBJECTS, detect_subjects
-from ..functions.text import clean_text
+from ..functions.text import clean_text, preview_text
 
 #: The record fields that are searched, by subject.
 INDEX_FIELDS = {
@@ -54,20 +54,29 @@ def normalize_taxonomy(records: DataFrame) -> DataFrame:
 
 
 def normalize_document(docs: DataFrame) -> DataFrame:
-    """Uploaded documents with labels filled in, without empty objectives and then without empty sections, so that both are numbered anew."""
+    """Uploaded documents: an objective has its title as label, and as description the preview of its description, else of its title,
+    else the label; those with neither go, and then sections without objectives, so that both are numbered anew. A nameless
+    section is `Section`, a missing subject `other`; other missing texts are empty."""
+    empty = F.lit("")
 
     def text(*cs: Column) -> Column:
-        return F.trim(F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs), F.lit("")))
+        return F.coalesce(*(F.nullif(c, empty) for c in cs), empty)
 
     def objective(o: Column) -> Column:
-        return F.struct(text(o["title"], o["description"]).alias("title"), text(o["description"]).alias("description"), o["evaluation_type"].alias("evaluation_type"), o["audience"].alias("audience"))
+        shown = preview_text(text(o["description"], o["title"]))
+        return F.struct(text(o["title"]).alias("title"), text(shown, o["title"]).alias("description"), F.nullif(o["evaluation_type"], empty).alias("evaluation_type"), F.nullif(o["audience"], empty).alias("audience"))
 
-    def section(s: Column) -> Column:
-        filled = F.filter(F.transform(F.coalesce(s["objectives"], F.array()), objective), lambda o: o["title"] != "")
-        return F.struct(text(s["title"], s["name"]).alias("title"), text(s["description"]).alias("description"), filled.alias("objectives"))
+    # previews decode entities outside of array functions: one row an objective on the way, in order
+    each = docs.select("doc_id", F.posexplode_outer("sections").alias("si", "s")).select("doc_id", "si", F.coalesce(F.nullif("s.title", empty), F.nullif("s.name", empty), F.lit("Section")).alias("st"), F.posexplode_outer("s.objectives").alias("oi", "o"))
+    full = each.where("o is not null").select("doc_id", "si", "st", "oi", objective(F.col("o")).alias("o")).where("o.description <> '' or o.title <> ''")
+    sections = full.groupBy("doc_id", "si").agg(F.first("st").alias("st"), F.sort_array(F.collect_list(F.struct("oi", "o"))).alias("os"))
+    listed = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("si", "st", "os"))).alias("ss"))
+    nested = F.transform("ss", lambda s: F.struct(s["st"].alias("title"), F.transform(s["os"], lambda x: x["o"]).alias("objectives")))
+    head = docs.select("doc_id", text(F.col("title"), F.col("name")).alias("title"), preview_text("description").alias("description"), text(F.col("grade"), F.col("grade_band")).alias("grade"), F.lower(F.coalesce(F.nullif("subject", empty), F.lit("other"))).alias("subject"))
+    return head.join(listed.select("doc_id", nested.alias("sections")), "doc_id", "left").withColumn("sections", F.coalesce("sections", F.array().cast(_SECTIONS)))
 
-    sections = F.filter(F.transform(F.coalesce("sections", F.array()), section), lambda s: F.size(s["objectives"]) > 0)
-    return docs.select("doc_id", text(F.col("title"), F.col("name")).alias("title"), text(F.col("description")).alias("description"), first_present("grade", "grade_band").alias("grade"), "subject", sections.alias("sections"))
+
+_SECTIONS = "array<struct<title: string, objectives: array<struct<title: string, description: string, evaluation_type: string, audience: string>>>>"
 
 
 def expand_subjects(docs: DataFrame, mode: str = "auto", text: str = "text") -> DataFrame:

@@ -108,7 +108,7 @@ def auto_pick(ranked: DataFrame, objectives: DataFrame, ratio: float = PICK_RATI
     each = objectives.select(*KEYS, "objective_title", "context").join(best, list(KEYS), "left")
     skipped = skip_reason("objective_title", "context", "top")
     listed = F.coalesce("all", F.array().cast(best.schema["all"].dataType))
-    near = F.slice(F.filter(listed, lambda c: skipped.isNull() & (c["final_score"] >= F.col("top") * ratio)), 1, max_picks)
+    near = F.slice(F.filter(listed, lambda c: skipped.isNull() & (c["final_score"] >= F.round(F.col("top") * ratio, 12))), 1, max_picks)
     picks = F.transform(near, lambda c: F.struct(c["code"].alias("code"), c["grade"].alias("grade"), F.round(c["final_score"], 3).alias("final_score"), c["text"].alias("text")))
 
     def told(reason: str) -> Column:

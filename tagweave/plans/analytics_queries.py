@@ -9,6 +9,7 @@ from ..operators import analytics as A
 from ..operators import catalog as C
 from ..operators import evaluate as E
 from .base import EXCLUSIONS, KEPT, OBJECTIVES, RECORDS, TAGS, exclusions, objectives, query, records, table, tags
+from .shared import stored
 
 
 @query("a1_document_summary", f"""with {TAGS}, {OBJECTIVES}, n as (select doc_id, code, count(*) as n from tags group by all), c as (select doc_id, string_agg(code, ',' order by code) as codes, string_agg(code || ':' || n, ',' order by code) as code_counts from n group by 1)
@@ -37,34 +38,54 @@ def a3(s, d):
     return A.coverage_summary(objectives(s, d), exclusions(s, d))
 
 
-@query("a4_document_cards", f"""with {TAGS}, {OBJECTIVES}, {EXCLUSIONS}, {KEPT}, c as (select doc_id, count(distinct code) as n_codes from kept_tags group by 1)
-    select doc_id, count(*) filter (where counts) as n_objectives, count(*) filter (where counts and n_tags > 0) as n_aligned, coalesce(any_value(n_codes), 0) as n_codes
-    from kept left join c using (doc_id) group by 1""")
+# every document that has objectives, with zeros where all its sections are excluded
+_REPORTED = "d as (select distinct doc_id from objs), k as (select doc_id, count(*) filter (where counts) as n_objectives, count(*) filter (where counts and n_tags > 0) as n_aligned, sum(high) filter (where counts) as high, sum(medium) filter (where counts) as medium, sum(low) filter (where counts) as low from kept group by 1)"
+
+
+@query("a4_document_cards", f"""with {TAGS}, {OBJECTIVES}, {EXCLUSIONS}, {KEPT}, {_REPORTED}, c as (select doc_id, count(distinct code) as n_codes from kept_tags group by 1)
+    select doc_id, coalesce(n_objectives, 0) as n_objectives, coalesce(n_aligned, 0) as n_aligned, coalesce(n_codes, 0) as n_codes from d left join k using (doc_id) left join c using (doc_id)""")
 def a4(s, d):
     return A.document_cards(objectives(s, d), exclusions(s, d))
 
 
-@query("a5_alignment_report", f"""with {OBJECTIVES}, {EXCLUSIONS} select doc_id, count(*) as n_objectives, count(*) filter (where n_tags > 0) as n_aligned, cast(sum(high) as bigint) as high,
-    cast(sum(medium) as bigint) as medium, cast(sum(low) as bigint) as low, round(100.0 * count(*) filter (where n_tags > 0) / count(*), 0) as pct_aligned
-    from objs anti join excl using (doc_id, section_idx) where counts group by 1""")
+@query("a5_alignment_report", f"""with {TAGS}, {OBJECTIVES}, {EXCLUSIONS}, {KEPT}, {_REPORTED}, o as (select o_orderkey as doc_id from orders)
+    select doc_id, coalesce(n_objectives, 0) as n_objectives, coalesce(n_aligned, 0) as n_aligned, cast(coalesce(high, 0) as bigint) as high, cast(coalesce(medium, 0) as bigint) as medium, cast(coalesce(low, 0) as bigint) as low,
+    cast(case when n_objectives > 0 then floor(100.0 * n_aligned / n_objectives + 0.5) else 0 end as bigint) as pct_aligned from o left join k using (doc_id)""")
 def a5(s, d):
-    return A.alignment_report(objectives(s, d), exclusions(s, d))
+    """All orders, those without lines too."""
+    return A.alignment_report(objectives(s, d), exclusions(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")))
 
 
-@query("a6_taxonomy_summary", f"""with {RECORDS}, n as (select coalesce(nullif(strand, ''), category, case when is_practice then 'MP' else 'Other' end) as bucket,
-    coalesce(nullif(grade, ''), grade_band) as grade from recs) select 'bucket' as kind, bucket as name, count(*) as n from n group by all union all select 'grade', grade, count(*) from n group by all""")
+@query("a6_taxonomy_summary", f"""with {RECORDS}, n as (select coalesce(nullif(strand, ''), category, case when is_practice then 'MP' else 'Other' end) as bucket, coalesce(nullif(grade, ''), grade_band) as grade from recs),
+    b as (select 'bucket' as kind, bucket as name, count(*) as n, row_number() over (order by count(*) desc, bucket) as position from n group by 2),
+    g as (select 'grade' as kind, grade as name, count(*) as n from n group by 2), o as (select *, case when name like 'K%' then 0 else coalesce(try_cast(nullif(regexp_extract(name, '^(\\d+)', 1), '') as integer), 998) end as key from g)
+    select kind, name, n, position from b union all select kind, name, n, (select count(*) from b) + row_number() over (order by key, name) from o""")
 def a6(s, d):
-    return A.taxonomy_summary(records(s, d))
+    return A.with_position(A.taxonomy_summary(records(s, d)), A.summary_order(), stored)
+
+
+_KEPT_TAGS = "kept_tags as (select * from tags anti join excl using (doc_id, section_idx))"
+# orders use one of ten taxonomies
+_UNDER = "u as (select o_orderkey as doc_id from orders where o_custkey % 10 = 3)"
+
+
+def _under(s, d):
+    return table(s, d, "orders").where("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("doc_id"))
 
 
-@query("a7_usage_index", f"with {TAGS} select distinct code, doc_id from tags")
+@query("a7_usage_index", f"with {TAGS}, {EXCLUSIONS}, {_KEPT_TAGS} select distinct code, doc_id from kept_tags")
 def a7(s, d):
-    return A.usage_index(tags(s, d))
+    return A.usage_index(tags(s, d), exclusions(s, d))
 
 
-@query("a8_used_records", f"with {TAGS}, {RECORDS} select distinct code from tags where code in (select code from recs where ord % 2 = 0)")
+@query("a7_usage_under_taxonomy", f"with {TAGS}, {EXCLUSIONS}, {_UNDER}, {_KEPT_TAGS} select distinct code, doc_id from kept_tags semi join u using (doc_id)")
+def a7_under(s, d):
+    return A.usage_index(tags(s, d), exclusions(s, d), _under(s, d))
+
+
+@query("a8_used_records", f"with {TAGS}, {EXCLUSIONS}, {_UNDER}, {RECORDS}, {_KEPT_TAGS} select code, ord, text, grade from recs where ord % 2 = 0 and code in (select code from kept_tags semi join u using (doc_id))")
 def a8(s, d):
-    return A.used_records(tags(s, d), records(s, d).where("ord % 2 = 0"))
+    return A.used_records(tags(s, d), records(s, d).where("ord % 2 = 0"), exclusions(s, d), _under(s, d)).select("code", "ord", "text", "grade")
 
 
 _PAIRS = """p as (select l_orderkey as doc_id, cast(l_linenumber as varchar) as path, list_distinct(list('C' || (l_partkey % 50))) as c from lineitem where l_discount <= 0.06 group by all),
@@ -120,9 +141,12 @@ def a12(s, d):
     return A.relative_to_max(A.shares(tags(s, d).groupBy("confidence").agg(F.count("*").alias("n"))))
 
 
-@query("a13_distinct_sorted", f"with {RECORDS} select distinct nullif(grade, '') as grade from recs where nullif(grade, '') is not null")
+_GRADE_KEY = "case when grade is null or grade = '' then 999 when grade = 'K' or grade like 'K-%' then 0 else coalesce(try_cast(nullif(regexp_extract(grade, '^(\\d+)', 1), '') as integer), 998) end"
+
+
+@query("a13_distinct_sorted", f"with {RECORDS}, g as (select distinct grade from recs where grade <> '') select grade, row_number() over (order by {_GRADE_KEY}, grade) as position from g")
 def a13(s, d):
-    return A.distinct_sorted(records(s, d), "grade")
+    return A.with_position(A.distinct_sorted(records(s, d), "grade"), A.distinct_order("grade"), stored)
 
 
 @query("w1_top_codes", f"with {TAGS} select code, count(*) as n from tags group by 1 order by n desc, code limit 15")
@@ -131,7 +155,7 @@ def w1(s, d):
 
 
 _CATALOG = """cat as (select o_orderkey as id, case o_orderkey % 5 when 0 then 'ela' when 1 then 'math' when 2 then 'history' when 3 then 'science' else null end as subject, 'Order ' || o_custkey as name,
-    o_orderdate as created_at, o_orderstatus = 'F' as is_seed, o_orderkey % 4 as n_aligned, o_orderkey % 6 as n_objectives, case when o_orderkey % 3 = 0 then ' 9-10 ' else 'K' end as grade, o_orderpriority as description from orders)"""
+    o_orderdate as created_at, o_orderstatus = 'F' as is_seed, o_orderkey % 4 as n_aligned, o_orderkey % 6 as n_objectives, case when o_orderkey % 2 = 0 then 'f.json' else '' end as file_name, o_orderkey % 6 > 1 as is_parsed, o_orderkey % 4 > 1 as is_tagged, case when o_orderkey % 3 = 0 then ' 9-10 ' else 'K' end as grade, '<p>' || o_orderpriority || '</p>' || repeat('x', 215) || '7' as description from orders)"""
 
 
 def _catalog(s, d):
@@ -139,18 +163,37 @@ def _catalog(s, d):
     return table(s, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.when(k == 0, "ela").when(k == 1, "math").when(k == 2, "history").when(k == 3, "science").alias("subject"), F.concat(F.lit("Order "), F.col("o_custkey").cast("string")).alias("name"),
         F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") == "F").alias("is_seed"), (F.col("o_orderkey") % 4).alias("n_aligned"), (F.col("o_orderkey") % 6).alias("n_objectives"),
-        F.when(F.col("o_orderkey") % 3 == 0, " 9-10 ").otherwise("K").alias("grade"), F.col("o_orderpriority").alias("description"),
+        F.when(F.col("o_orderkey") % 2 == 0, "f.json").otherwise("").alias("file_name"), (F.col("o_orderkey") % 6 > 1).alias("is_parsed"), (F.col("o_orderkey") % 4 > 1).alias("is_tagged"),
+        F.when(F.col("o_orderkey") % 3 == 0, " 9-10 ").otherwise("K").alias("grade"), F.concat(F.lit("<p>"), "o_orderpriority", F.lit("</p>" + "x" * 215 + "7")).alias("description"),
     )
 
 
-@query("w2_sort_by_subject_title", f"with {_CATALOG} select id, subject, name as title from cat")
+# the queries of sorts return each row's position; ids make their orders total
+@query("w2_sort_by_subject_title", f"with {_CATALOG} select id, subject, name as title, row_number() over (order by case subject when 'ela' then 0 when 'math' then 1 when 'history' then 2 else 3 end, lower(name), id) as position from cat")
 def w2(s, d):
-    return A.sort_by_subject_title(_catalog(s, d).withColumnRenamed("name", "title")).select("id", "subject", "title")
+    rows = _catalog(s, d).select("id", "subject", F.col("name").alias("title"))
+    return A.with_position(rows, [*A.subject_title_order(), "id"], stored)
 
 
-@query("w3_sort_catalog", f"with {_CATALOG} select id, is_seed, created_at from cat order by is_seed, created_at desc")
+@query("w3_sort_catalog", f"with {_CATALOG} select id, is_seed, created_at, row_number() over (order by is_seed, created_at desc, id) as position from cat")
 def w3(s, d):
-    return A.sort_catalog(_catalog(s, d)).select("id", "is_seed", "created_at")
+    return A.with_position(_catalog(s, d).select("id", "is_seed", "created_at"), [*A.catalog_order(), "id"], stored)
+
+
+@query("w3_sort_by_name", f"with {_CATALOG} select id, name, row_number() over (order by lower(name), id) as position from cat")
+def w3_name(s, d):
+    return A.with_position(_catalog(s, d).select("id", "name"), [*A.catalog_order("name"), "id"], stored)
+
+
+@query("w3_sort_by_aligned", f"with {_CATALOG} select id, n_aligned, n_objectives, row_number() over (order by case when n_objectives > 0 then n_aligned / n_objectives else 0 end desc, id) as position from cat")
+def w3_aligned(s, d):
+    return A.with_position(_catalog(s, d).select("id", "n_aligned", "n_objectives"), [*A.catalog_order("aligned"), "id"], stored)
+
+
+@query("w3_sort_taxonomies", f"with {_CATALOG}, t as (select id, name as title, case when id % 3 <> 0 then is_seed end as is_seed, created_at from cat) select *, row_number() over (order by coalesce(is_seed, true), created_at desc, id) as position from t")
+def w3_taxonomies(s, d):
+    rows = _catalog(s, d).select("id", F.col("name").alias("title"), F.when(F.col("id") % 3 != 0, F.col("is_seed")).alias("is_seed"), "created_at")
+    return A.with_position(rows, [*A.catalog_order(title="title", missing_is_seed=True), "id"], stored)
 
 
 @query("w5_first_per_key", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) as n from lineitem) where n = 1")
@@ -173,9 +216,14 @@ def w8(s, d):
     return A.cluster_letters(table(s, d, "part").select(F.col("p_type").alias("domain"), F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("line_no")))
 
 
-@query("w9_sort_by_grade", f"with {RECORDS} select code, grade from recs")
+_SCIENCE = "sci as (select p_partkey as number, case p_size % 12 when 0 then 'K' when 1 then 'K-2' when 2 then '1' when 3 then '2' when 4 then '3' when 5 then '4' when 6 then '3-5' when 7 then '5' when 8 then 'MS' when 9 then 'HS' when 10 then '9' end as grade, p_type as topic from part)"
+
+
+@query("w9_sort_by_grade", f"with {_SCIENCE} select *, row_number() over (order by case grade when 'K' then 0 when 'K-2' then 0.5 when '1' then 1 when '2' then 2 when '3' then 3 when '4' then 4 when '3-5' then 4.5 when '5' then 5 when 'MS' then 6 when 'HS' then 7 else 99 end, topic, number) as position from sci")
 def w9(s, d):
-    return A.sort_by_grade(records(s, d).withColumn("topic", F.col("category")).withColumn("number", F.col("ord"))).select("code", "grade")
+    grade = F.get(F.array(*map(F.lit, (*A.SCIENCE_GRADES, "9", None))), F.col("p_size") % 12)
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("number"), grade.alias("grade"), F.col("p_type").alias("topic"))
+    return A.with_position(rows, A.science_grade_order(), stored)
 
 
 # joins
@@ -285,29 +333,46 @@ def j13(s, d):
 # status and browsing
 
 
-@query("f10_document_status", f"with {_CATALOG} select id, case when is_seed or n_aligned > 0 then 'aligned' else 'raw' end as alignment, case when n_objectives > 0 then 'parsed' when id % 2 = 0 then 'empty' else 'needs_parse' end as parse, case when n_aligned > 0 then 'tagged' else 'pending' end as tag from cat")
+@query("f10_document_status", f"with {_CATALOG} select id, case when is_seed or n_aligned > 0 then 'aligned' else 'raw' end as alignment, case when is_parsed then 'parsed' when file_name <> '' then 'needs_parse' else 'empty' end as parse, case when is_tagged then 'tagged' else 'pending' end as tag from cat")
 def f10(s, d):
-    return _catalog(s, d).withColumn("is_parsed", F.col("id") % 2 == 0).select("id", C.document_status().alias("s")).select("id", "s.*")
+    return _catalog(s, d).select("id", C.document_status().alias("s")).select("id", "s.*")
 
 
-@query("f11_filter_documents", f"with {_CATALOG} select id from cat where not is_seed and n_aligned > 0 and trim(grade) = '9-10' and (subject is null or subject = 'math') and (contains(lower(name), '7') or contains(lower(grade), '7') or contains(lower(description), '7'))")
+# the description is searched as shown: without tags, and cut behind 219 characters, so that the 7 at its end is never found
+@query("f11_filter_documents", f"with {_CATALOG} select id from cat where not is_seed and n_aligned > 0 and trim(grade) = '9-10' and (subject is null or subject in ('math', 'science')) and (contains(lower(name), '7') or contains(lower(grade), '7'))")
 def f11(s, d):
     return C.filter_documents(_catalog(s, d), hide_seeds=True, alignment="aligned", grade="9-10", subject="math", search=" 7 ").select("id")
 
 
+@query("f11_search_previews", f"with {_CATALOG} select id from cat where contains(lower(name), 'p') or contains(description, 'SPECIFIED')")
+def f11_search(s, d):
+    """A search for the letter of the tags finds it in names and in what the tags hold."""
+    return C.filter_documents(_catalog(s, d), search="P").select("id")
+
+
 @query("f12_filter_taxonomies", f"with {_CATALOG} select id from cat where not is_seed and (contains(lower(name), 'r 1') or contains(lower(grade), 'r 1') or contains(lower(subject), 'r 1'))")
 def f12(s, d):
     return C.filter_taxonomies(_catalog(s, d).withColumnRenamed("name", "title"), hide_library=True, search="r 1").select("id")
 
 
-@query("f13_browse_records", f"with {RECORDS}, f as (select * from recs where coalesce(nullif(strand, ''), category, case when is_practice then 'MP' else 'Other' end) = 'Brand#2' and (grade = '11-12' or grade_band = '11-12') and (contains(lower(code), 'e') or contains(lower(text), 'e'))) select code, (select count(*) from f) as total from f order by ord offset 5 limit 20")
+@query("f13_browse_records", f"with {RECORDS}, f as (select * from recs where coalesce(nullif(strand, ''), category, case when is_practice then 'MP' else 'Other' end) = 'Brand#2' and (grade = '11-12' or grade_band = '11-12') and (contains(lower(code), 'e') or contains(lower(text), 'e') or ord % 3 = 0)) select code, (select count(*) from f) as total from f order by ord offset 5 limit 20")
 def f13(s, d):
-    page, total = C.browse_records(records(s, d), search="e", bucket="Brand#2", grade="11-12", limit=20, offset=5)
+    r = records(s, d).withColumn("skill_category", F.when(F.col("ord") % 3 == 0, "Evidence"))
+    page, total = C.browse_records(r, search="e", bucket="Brand#2", grade="11-12", limit=20, offset=5)
     return page.select("code", total.scalar().alias("total"))
 
 
-@query("f14_search_objectives", f"with {OBJECTIVES}, {TAGS} select distinct doc_id, path from tags where contains(lower(code), 'c4')")
+@query("f14_search_objectives", "select conv_id as doc_id, turn, role from conversations where contains(lower(role), 'stem') or contains(lower(text), 'stem') or conv_id % 4 = 0 or conv_id % 50 = 7")
 def f14(s, d):
+    """Turns as objectives: their role is the title, their text the description, and every fourth conversation has a tag whose rationale holds the words."""
+    tag = F.struct(F.lit("C1").alias("code"), F.lit("reads the SYSTEM").alias("rationale"), F.lit(None).cast("string").alias("text"))
+    none = F.array().cast("array<struct<code: string, rationale: string, text: string>>")
+    o = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.col("role").alias("title"), F.col("text").alias("description"), F.when(F.col("conv_id") % 50 == 7, "Stems").otherwise("Roots").alias("section_title"), F.when(F.col("conv_id") % 4 == 0, F.array(tag)).otherwise(none).alias("tags"))
+    return C.search_objectives(o, "Stem").select("doc_id", "turn", "role")
+
+
+@query("f14_search_aligned", f"with {TAGS} select distinct doc_id, path from tags where contains(lower(code), 'c4')")
+def f14_aligned(s, d):
     o = objectives(s, d).select("*", *(F.lit("").alias(c) for c in ("title", "description", "section_title")))
     return C.search_objectives(o, "C4", only_aligned=True).select("doc_id", "path")
 
@@ -334,13 +399,15 @@ def t1(s, d):
     return C.insert_rows(o.where("id % 2 = 0").withColumn("is_public", F.lit(True)), new)
 
 
-@query("t2_patch_rows", """with c as (select o_orderkey as id, o_orderpriority as name, o_orderstatus as grade, o_orderstatus = 'F' as is_seed, o_orderdate as updated_at from orders)
-    select id, case when on_ then 'new' || id else name end as name, case when on_ and id % 6 = 0 then null else grade end as grade, case when on_ then timestamp '2020-01-01' else updated_at end as updated_at from (select *, not is_seed and id % 3 = 0 as on_ from c)""")
+@query("t2_patch_rows", """with c as (select o_orderkey as id, o_orderpriority as name, o_orderstatus as subject, o_orderstatus = 'F' as is_seed, o_orderdate as updated_at from orders)
+    select id, case when on_ then 'new' || id else name end as name, case when on_ and id % 6 = 0 then null when on_ and id % 9 = 0 then 'math' when on_ and id % 15 = 0 then null else subject end as subject, case when on_ then timestamp '2020-01-01' else updated_at end as updated_at from (select *, not is_seed and id % 3 = 0 as on_ from c)""")
 def t2(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("grade"), (F.col("o_orderstatus") == "F").alias("is_seed"), F.col("o_orderdate").alias("updated_at"))
-    name = F.concat(F.lit("new"), F.col("id").cast("string"))
-    patches = o.where("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, F.create_map(F.lit("name"), name, F.lit("grade"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("name"), name)).alias("set"), F.expr("cast('2020-01-01' as timestamp)").cast(dict(o.dtypes)["updated_at"]).alias("updated_at"))
-    return C.patch_rows(o, patches, ["name", "grade"]).select("id", "name", "grade", "updated_at")
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("subject"), (F.col("o_orderstatus") == "F").alias("is_seed"), F.col("o_orderdate").alias("updated_at"))
+    name = F.concat(F.lit(" new"), F.col("id").cast("string"), F.lit("\t"))
+    subject = F.when(F.col("id") % 6 == 0, F.lit(None).cast("string")).when(F.col("id") % 9 == 0, " MATH ").when(F.col("id") % 15 == 0, "  ")
+    both = F.create_map(F.lit("name"), name, F.lit("subject"), subject)
+    patches = o.where("id % 3 = 0").select("id", F.when((F.col("id") % 6 == 0) | (F.col("id") % 9 == 0) | (F.col("id") % 15 == 0), both).otherwise(F.create_map(F.lit("name"), name)).alias("set"), F.expr("cast('2020-01-01' as timestamp)").cast(dict(o.dtypes)["updated_at"]).alias("updated_at"))
+    return C.patch_rows(o, patches, ["name", "subject"]).select("id", "name", "subject", "updated_at")
 
 
 @query("t3_delete_rows", "select 'left' as part, o_orderkey as id from orders where not (o_orderstatus <> 'F' and o_orderkey % 4 = 0) union all select 'hidden', o_orderkey from orders where o_orderstatus = 'F' and o_orderkey % 4 = 0 union all select 'lines', l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'F' and o_orderkey % 4 = 0)")
@@ -360,19 +427,27 @@ def t6(s, d):
     return C.latest_by_key(table(s, d, "events").select("user_id", "event_id", "value", "ts"), "user_id", ["ts"]).select("user_id", "event_id", "value")
 
 
-@query("t7_replace_tags", f"with {OBJECTIVES}, n as (select doc_id, path, case when doc_id % 5 = 0 then 1 else n_tags end as n_tags from objs) select doc_id, path, n_tags, count(*) over (partition by doc_id) as n_objectives, count(*) filter (where n_tags > 0) over (partition by doc_id) as n_aligned from n")
+@query("t7_replace_tags", f"""with {OBJECTIVES}, n as (select doc_id, path, case when doc_id % 5 = 0 then 2 else n_tags end as n_tags from objs), f as (select arg_min(p_name, p_partkey) as text from part where p_brand = 'Brand#1')
+    select doc_id, path, n_tags, case when doc_id % 5 = 0 then (select text from f) || '|own' else repeat('|', greatest(cast(n_tags as bigint) - 1, 0)) end as texts, count(*) over (partition by doc_id) as n_objectives, count(*) filter (where n_tags > 0) over (partition by doc_id) as n_aligned from n""")
 def t7(s, d):
+    """Every fifth order gets a tag whose text comes from the taxonomy, one with its own text, and one without code, which goes."""
     o = objectives(s, d)
-    new = F.array(*(F.struct(F.lit(c).alias("code"), F.lit("high").alias("confidence"), F.lit("").alias("rationale"), F.lit("").alias("text")) for c in ("X1", "")))
-    return C.replace_tags(o, o.where("doc_id % 5 = 0").select("doc_id", "path", new.alias("tags"))).select("doc_id", "path", F.col("n_tags").cast("long").alias("n_tags"), "n_objectives", "n_aligned")
+    new = F.array(*(F.struct(F.lit(c).alias("code"), F.lit("high").alias("confidence"), F.lit("").alias("rationale"), F.lit(t).alias("text")) for c, t in (("Brand#1", " "), ("", "x"), ("Brand#2", " own "))))
+    texts = table(s, d, "part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("text"), F.col("p_partkey").alias("ord"))
+    out = C.replace_tags(o, o.where("doc_id % 5 = 0").select("doc_id", "path", new.alias("tags")), texts)
+    return out.select("doc_id", "path", F.col("n_tags").cast("long").alias("n_tags"), F.array_join(F.transform("tags", lambda t: t["text"]), "|").alias("texts"), "n_objectives", "n_aligned")
 
 
-@query("t8_document_detail", f"""with u as (select o_orderkey as id, unnest({_USING}) as taxonomy, generate_subscripts({_USING}, 1) as pos from orders), t as (select 'T' || s_suppkey as taxonomy, s_name as title from supplier where s_suppkey < 9),
-    g as (select id, string_agg(title, ' + ' order by pos) as taxonomy_title from u join t using (taxonomy) group by 1), a as (select l_orderkey as id, count(*) as n, count(*) filter (where l_quantity >= 10) as m from lineitem group by 1)
-    select o_orderkey as id, taxonomy_title, coalesce(n, 0) as n_objectives, coalesce(m, 0) as n_aligned from orders o left join g on g.id = o_orderkey left join a on a.id = o_orderkey""")
+@query("t8_document_detail", f"""with u as (select o_orderkey as id, unnest({_USING}) as taxonomy, generate_subscripts({_USING}, 1) as pos from orders), t as (select 'T' || s_suppkey as taxonomy, s_name as title from supplier),
+    g as (select id, string_agg(title, ' + ' order by pos) as title from u join t using (taxonomy) group by 1), a as (select l_orderkey as id, count(*) as n, count(*) filter (where l_quantity >= 10) as m from lineitem group by 1),
+    w as (select o_orderkey as id, case when o_orderkey % 6 = 1 and n is not null then 'stored' else title end as taxonomy_title, coalesce(n, 0) as n_objectives, coalesce(m, 0) as n_aligned, n is not null as has, o_orderstatus = 'O' as has_file from orders o left join g on g.id = o_orderkey left join a on a.id = o_orderkey)
+    select id, taxonomy_title, n_objectives, n_aligned, case when n_aligned > 0 then 'aligned' else 'raw' end as alignment, case when has and id % 2 = 0 then 'parsed' when has_file then 'needs_parse' else 'empty' end as parse, case when has and id % 2 = 1 then 'tagged' else 'pending' end as tag from w""")
 def t8(s, d):
+    """Orders with even keys have a parse alone, the others an alignment; some alignments store a title."""
     tag = F.when(F.col("l_quantity") >= 10, F.array(F.lit("C"))).otherwise(F.array().cast("array<string>"))
-    parsed = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(tag.alias("tags"))).alias("objectives"))
-    titles = table(s, d, "supplier").where("s_suppkey < 9").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"))
-    out = C.document_detail(_with_taxonomies(s, d), parsed.where("id % 2 = 0"), parsed.where("id % 2 = 1"), titles)
-    return out.select("id", "taxonomy_title", F.col("n_objectives").cast("long").alias("n_objectives"), F.col("n_aligned").cast("long").alias("n_aligned"))
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(tag.alias("tags"))).alias("objectives"))
+    titles = table(s, d, "supplier").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"))
+    files = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "f.json").alias("file_name"))
+    aligned = lines.where("id % 2 = 1").withColumn("taxonomy_title", F.when(F.col("id") % 6 == 1, "stored"))
+    out = C.document_detail(_with_taxonomies(s, d).join(files, "id"), lines.where("id % 2 = 0"), aligned, titles)
+    return out.select("id", "taxonomy_title", F.col("n_objectives").cast("long").alias("n_objectives"), F.col("n_aligned").cast("long").alias("n_aligned"), "status.*")

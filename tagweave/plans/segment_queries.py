@@ -52,9 +52,27 @@ _ITEMS = "items as (select user_id as doc_id, event_id as line_no, event_type as
 @query("g6_mint_codes", f"""with {_ITEMS}, t as (select *, last_value(case when sub is null then prefix || '.' || number end ignore nulls) over (partition by doc_id, prefix order by line_no) as top from items)
     select line_no, case when sub is null then top else top || '.' || sub end as code, case when sub is not null then top end as parent_code from t where top is not null""")
 def g6(s, d):
+    return G.mint_codes(_numbers(s, d)).select("line_no", "code", "parent_code")
+
+
+def _numbers(s, d):
     sub = F.when(F.col("event_id") % 3 != 0, F.char(97 + F.col("event_id") % 3))
-    e = table(s, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), F.col("event_type").alias("prefix"), (F.rint("value").cast("int") % 5).alias("number"), sub.alias("sub"))
-    return G.mint_codes(e).select("line_no", "code", "parent_code")
+    return table(s, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), F.col("event_type").alias("prefix"), (F.rint("value").cast("int") % 5).alias("number"), sub.alias("sub"))
+
+
+@query("g6_mint_skill_codes", f"with {_ITEMS} select line_no, '9-12.' || prefix || '.' || number as code, cast(null as varchar) as parent_code from items where prefix <> 'view'")
+def g6_skills(s, d):
+    """The third scheme: band, category and number; items without a category go."""
+    items = _numbers(s, d).select("line_no", F.lit("9-12").alias("band"), F.when(F.col("prefix") != "view", F.col("prefix")).alias("category"), "number")
+    return G.mint_codes(items, "band", "number", category="category").select("line_no", "code", "parent_code")
+
+
+@query("g6_skip_other_grades", rf"with {_LINES} select doc_id, line_no, line from lines where not (line_no % 4 = 1)")
+def g6_grades(s, d):
+    """Every fourth line is made an item of another grade, every other fourth one of the own grade, which stays."""
+    item = F.when(F.col("line_no") % 4 == 1, F.lit("K.1 Students ")).when(F.col("line_no") % 4 == 2, F.lit("5.2 students "))
+    lines = _lines(s, d).withColumn("grade", F.lit("5")).withColumn("was", F.col("line")).withColumn("line", F.when(item.isNotNull(), F.concat(item, "line")).otherwise(F.col("line")))
+    return G.skip_other_grades(lines).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("was").alias("line"))
 
 
 _CODED = """coded as (select item_id as doc_id, 'Intro HS-PS' || (1 + item_id % 4) || '-1. ' || text || '* [Clarification Statement: look ' || item_id || '] [Assessment Boundary: not ' || item_id || ']  MS-LS2-3. Second ' || item_id || ' Disciplinary Core Ideas tail K-2-ETS1-2. Third.' as text from benchmark)"""
@@ -80,10 +98,10 @@ def g8(s, d):
     return G.split_annotations(one).select("doc_id", "clarification", "assessment_boundary", "engineering", "statement")
 
 
-@query("g9_derive_code_parts", r"""select item_id as doc_id, 'HS-PS' || (1 + item_id % 4) || '-1' as code, 'HS' as grade, '9-12' as grade_band, 'PS' as domain, cast(1 + item_id % 4 as integer) as topic_number, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' look ' || item_id as text from benchmark
-    union all select item_id, 'MS-LS2-3', 'MS', '6-8', 'LS', 2, 'Second ' || item_id from benchmark union all select item_id, 'K-2-ETS1-2', 'K-2', 'K-2', 'ETS', 1, 'Third.' from benchmark""")
+@query("g9_derive_code_parts", r"""select item_id as doc_id, 'HS-PS' || (1 + item_id % 4) || '-1' as code, 'HS' as grade, 'HS' as grade_band, 'PS' as domain, cast(1 + item_id % 4 as integer) as topic_number, ['Matter and Its Interactions', 'Motion and Stability: Forces and Interactions', 'Energy', 'Waves and their Applications in Technologies for Information Transfer'][1 + item_id % 4] as topic_name, 'Physical Sciences' as domain_name, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' look ' || item_id as text from benchmark
+    union all select item_id, 'MS-LS2-3', 'MS', 'MS', 'LS', 2, 'Ecosystems: Interactions, Energy, and Dynamics', 'Life Sciences', 'Second ' || item_id from benchmark union all select item_id, 'K-2-ETS1-2', 'K-2', 'K-5', 'ETS', 1, 'Engineering Design', 'Engineering, Technology, and Applications of Science', 'Third.' from benchmark""")
 def g9(s, d):
-    return G.derive_code_parts(G.split_annotations(G.split_coded_text(_coded(s, d)))).select("doc_id", "code", "grade", "grade_band", "domain", "topic_number", "text")
+    return G.derive_code_parts(G.split_annotations(G.split_coded_text(_coded(s, d)))).select("doc_id", "code", "grade", "grade_band", "domain", "topic_number", "topic_name", "domain_name", "text")
 
 
 @query("g10_extract_markers", r"select p_partkey, p_partkey % 2 = 0 as ca_addition, p_partkey % 3 = 0 as modeling, p_partkey % 5 = 0 as plus_standard, p_name as text, case when p_partkey % 7 = 0 then 'CCSS.MATH.PRACTICE.' else 'CCSS.MATH.CONTENT.' end || p_partkey as full_code from part")
@@ -105,9 +123,9 @@ def g11(s, d):
     return G.walk_clusters(heads.unionByName(lines).withColumn("doc_id", F.col("doc_id").cast("string")), ["OA"])
 
 
-@query("g12_extract_numbered", "select item_id as doc_id, unnest([1, 2]) as number, unnest([trim('First ' || item_id || ' ' || text), 'Second item ' || item_id || ' ' || text || ' too']) as item_text from benchmark")
+@query("g12_extract_numbered", "select item_id as doc_id, unnest([1, 2]) as number, unnest([trim('First ' || item_id || ' ' || text) || ' see 1. Again', 'Second item ' || item_id || ' ' || text || ' too']) as item_text from benchmark")
 def g12(s, d):
-    """The benchmark texts as first and second item."""
+    """The benchmark texts as first and second item; an item's own number does not end it, and what follows the second on the page goes."""
     i = F.col("item_id").cast("string")
-    text = F.concat(F.lit("Head 1. lower 1. First "), i, F.lit(" "), "text", F.lit(" 2. Second item "), i, F.lit(" "), "text", F.lit(" too *2 3. Short Note here"))
+    text = F.concat(F.lit("Head 1. lower 1. First "), i, F.lit(" "), "text", F.lit(" see 1. Again 2. Second item "), i, F.lit(" "), "text", F.lit(" too *These broad types of text *2 3. Short Note here"))
     return G.extract_numbered(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text")), [1, 2, 3, 4], ["Note here"])

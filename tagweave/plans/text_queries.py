@@ -78,11 +78,22 @@ def s4(s, d):
     return s.read.schema("doc_id long, o_totalprice double, subject string").parquet(path).select("doc_id", "subject", "o_totalprice")
 
 
-@query("s5_to_nested", "select cast(l_orderkey as varchar) as doc_id, 'ela' as subject, count(distinct l_linenumber) as n_objectives, count(*) as n_candidates, arg_min('C' || l_partkey, (l_linenumber, l_partkey, l_suppkey)) as first_code from lineitem group by 1")
+_S5 = """c as (select cast(l_orderkey as varchar) as doc_id, l_linenumber, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) as rank, 'C' || l_partkey as code, l_tax as score, 'G' || (l_partkey % 4) as grade from lineitem),
+    o as (select doc_id, l_linenumber, string_agg(rank || ':' || code || ':' || grade, ',' order by rank) as candidates, arg_min(code, rank) as pick from c group by all)"""
+
+
+@query("s5_to_nested", f"with {_S5} select cast(o_orderkey as varchar) as doc_id, 'Order ' || o_orderkey as title, o_orderpriority as method, coalesce(string_agg(l_linenumber || '=' || pick || '=' || candidates, ';' order by l_linenumber), '') as objectives from orders left join o on doc_id = cast(o_orderkey as varchar) group by all")
 def s5(s, d):
-    c = table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("ela").alias("subject"), F.lit(0).alias("section_idx"), F.col("l_linenumber").alias("objective_idx"), F.format_string("sections[0].objectives[%d]", "l_linenumber").alias("path"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("rank"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("code"), F.col("l_tax").alias("score"))
-    n = S.to_nested(c)
-    return n.select("doc_id", "subject", F.size("objectives").cast("long").alias("n_objectives"), F.aggregate("objectives", F.lit(0).cast("long"), lambda a, o: a + F.size(o["candidates"])).alias("n_candidates"), F.element_at(F.element_at("objectives", 1)["candidates"], 1)["code"].alias("first_code"))
+    """All orders as records with their header, objectives with picks, and any fields of candidates, written as JSON lines and read back."""
+    place = F.row_number().over(K.Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
+    keys = [F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("ela").alias("subject"), F.lit(0).alias("section_idx"), F.col("l_linenumber").alias("objective_idx"), F.format_string("sections[0].objectives[%d]", "l_linenumber").alias("path")]
+    c = table(s, d, "lineitem").select(*keys, place.alias("rank"), F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("code"), F.col("l_tax").alias("score"), F.concat(F.lit("G"), (F.col("l_partkey") % 4).cast("string")).alias("grade"))
+    picks = c.groupBy("doc_id", "subject", "section_idx", "objective_idx", "path").agg(F.min_by("code", "rank").alias("pick"))
+    headers = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("ela").alias("subject"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderpriority").alias("method"))
+    nested, path = S.to_nested(c, ["code", "score", "grade"], picks, headers), _scratch(s, "nested")
+    S.write_nested(nested, path)
+    shown = F.transform("objectives", lambda o: F.concat_ws("=", F.regexp_extract(o["path"], r"(\d+)\]$", 1), o["pick"], F.array_join(F.transform(o["candidates"], lambda x: F.concat_ws(":", x["rank"].cast("string"), x["code"], x["grade"])), ",")))
+    return s.read.schema(nested.schema).json(path).select("doc_id", "title", "method", F.array_join(shown, ";").alias("objectives"))
 
 
 @query("s6_prune_document", f"with {_NESTED} select doc_id, section_idx, objective_idx, role as title, text as description, case role when 'system' then 'teacher' else 'task' end as evaluation_type, cast(1 as bigint) as points from turns")
@@ -156,17 +167,30 @@ def p8(s, d):
     return P.normalize_taxonomy(r).select("code", "text", "grade", "strand")
 
 
-@query("p9_normalize_document", """with t as (select cast(conv_id as varchar) as doc_id, turn % 2 as part, turn, role, case when role = 'user' and turn % 4 = 0 then '' else trim(text) end as text from conversations where not (role = 'user' and turn % 4 = 0))
-    select doc_id, dense_rank() over (partition by doc_id order by part) - 1 as section_idx, row_number() over (partition by doc_id, part order by turn, role, text) - 1 as objective_idx, text as title from t where text <> ''""")
+_SHOWN = f"regexp_replace({_STRIP}, '{_WS}', ' ', 'g')".replace("html", "body")
+
+
+@query("p9_normalize_document", f"""with t as (select cast(conv_id as varchar) as doc_id, turn % 2 as part, turn, role, case when turn % 4 = 0 then '' when turn % 4 = 1 then role else '' end as label, case when role = 'user' and turn % 4 = 0 then '' when turn % 4 = 1 then '' else text end as body from conversations),
+    o as (select * replace (case when body = '' then label else body end as body) from t), s as (select *, {_SHOWN} as shown from o), p as (select *, case when length(shown) > 220 then regexp_replace(substring(shown, 1, 219), '{_WS}$', '') || '…' else shown end as preview from s),
+    k as (select *, case when preview = '' then label else preview end as description from p where preview <> '' or label <> '')
+    select doc_id, 'Talk' as title, 'x' as doc_description, '9-12' as grade, 'other' as subject, dense_rank() over (partition by doc_id order by part) - 1 as section_idx, case part when 0 then 'Part' else 'Section' end as section_title,
+    row_number() over (partition by doc_id, part order by turn, role, body) - 1 as objective_idx, label as objective_title, description from k""")
 def p9(s, d):
+    """Turns as objectives: some have a title alone, some a description alone, some neither; one of two sections has no name."""
     turn = F.struct("turn", "role", "text")
     parts = table(s, d, "conversations").groupBy("conv_id", (F.col("turn") % 2).alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("o"))
     none = F.lit(None).cast("string")
-    objectives = F.transform("o", lambda t: F.struct(F.lit(" ").alias("title"), F.when((t["role"] == "user") & (t["turn"] % 4 == 0), "").otherwise(t["text"]).alias("description"), none.alias("evaluation_type"), none.alias("audience")))
-    section = F.struct("part", F.lit("").alias("title"), F.lit("Part").alias("name"), none.alias("description"), objectives.alias("objectives"))
-    docs = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(section)).alias("sections")).select(F.col("conv_id").cast("string").alias("doc_id"), *(none.alias(c) for c in ("title", "name", "description", "grade", "grade_band", "subject")), "sections")
-    n = P.normalize_document(docs).select("doc_id", F.posexplode("sections").alias("section_idx", "x"))
-    return n.select("doc_id", F.col("section_idx").cast("long").alias("section_idx"), F.posexplode("x.objectives").alias("objective_idx", "o")).select("doc_id", "section_idx", F.col("objective_idx").cast("long").alias("objective_idx"), "o.title")
+
+    def objective(t):
+        kind = t["turn"] % 4
+        title, description = F.when(kind == 1, t["role"]).otherwise(""), F.when((t["role"] == "user") & (kind == 0), "").when(kind == 1, none).otherwise(t["text"])
+        return F.struct(title.alias("title"), description.alias("description"), none.alias("evaluation_type"), none.alias("audience"))
+
+    section = F.struct("part", F.lit("").alias("title"), F.when(F.col("part") == 0, "Part").alias("name"), none.alias("description"), F.transform("o", objective).alias("objectives"))
+    docs = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(section)).alias("sections")).select(F.col("conv_id").cast("string").alias("doc_id"), none.alias("title"), F.lit("Talk").alias("name"), F.lit("<b>x</b>").alias("description"), F.lit("").alias("grade"), F.lit("9-12").alias("grade_band"), none.alias("subject"), "sections")
+    n = P.normalize_document(docs).select("doc_id", "title", F.col("description").alias("doc_description"), "grade", "subject", F.posexplode("sections").alias("section_idx", "x"))
+    n = n.select("doc_id", "title", "doc_description", "grade", "subject", F.col("section_idx").cast("long").alias("section_idx"), F.col("x.title").alias("section_title"), F.posexplode("x.objectives").alias("objective_idx", "o"))
+    return n.select("doc_id", "title", "doc_description", "grade", "subject", "section_idx", "section_title", F.col("objective_idx").cast("long").alias("objective_idx"), F.col("o.title").alias("objective_title"), "o.description")
 
 
 @query("p10_compose_query", f"with {_NESTED}, {_FLAT}, q as (select doc_id, path, concat_ws(' ', nullif(section_title, ''), nullif(objective_title, ''), nullif(objective_description, '')) as q from flat) select doc_id, path, case when length(q) < 40 then 'Talk ' || doc_id || '. ' || q else q end as query from q")
@@ -507,7 +531,7 @@ def k6(s, d):
     case when doc_id % 10 = 0 then 'reflective/metacognitive objective, no ELA standard applies' when doc_id not in (select doc_id from top) then 'no candidates' else 'top-1 plus any candidate within 85% of top score' end as reason from a left join p using (doc_id) group by 1""")
 def k7(s, d):
     """All orders as objectives; those without lines have no candidates."""
-    picked = K.auto_pick(_ranked(s, d, "ela").withColumn("final_score", F.col("final_score") + 1e-12), _cands(s, d, "ela")[1])
+    picked = K.auto_pick(_ranked(s, d, "ela"), _cands(s, d, "ela")[1])
     return picked.select("doc_id", F.array_join(F.transform("picks", lambda p: p["code"]), ",").alias("picks"), "reason")
 
 
@@ -581,25 +605,40 @@ def l7(s, d):
     return L.estimate_cost(table(s, d, "documents").select(F.col("source").alias("doc_id"), F.col("text").alias("prompt")))
 
 
-@query("l8_compact_records", """with s as (select item_id as code, left(text, 400) as text from benchmark), t as (select sum(length('{"code":' || code || ',"text":"' || replace(text, chr(10), '\\n') || '"}')) as size from s)
-    select code, left(text, cast(greatest(80, floor(length(text) * (3000.0::double / size))) as integer)) as text from s, t""")
+@query("l8_compact_records", """with s as (select item_id as code, case when item_id % 3 = 0 then null when item_id % 3 = 1 then '11-12' else 'K' end as grade, left(text, 400) as text from benchmark),
+    t as (select sum(length('{"code":' || code || ',"grade":' || coalesce('"' || grade || '"', 'null') || ',"text":"' || replace(text, chr(10), '\\n') || '"}')) + count(*) - 1 + 2 as size from s)
+    select code, grade, left(text, cast(greatest(80, floor(length(text) * (3000.0::double / size))) as integer)) as text from s, t""")
 def l8(s, d):
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("code"), *(F.lit(None).cast("string").alias(c) for c in ("grade", "grade_band")), "text")
-    return L.compact_records(b, 3000).select("code", "text")
+    i = F.col("item_id") % 3
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("code"), F.when(i == 2, "K").otherwise("").alias("grade"), F.when(i == 1, "11-12").alias("grade_band"), "text")
+    return L.compact_records(b, 3000).select("code", "grade", "text")
 
 
-@query("l9_objective_payload", f"""with {_NESTED}, {_FLAT} select doc_id, path, section_title as section, objective_title as title, objective_description as description from flat""")
+@query("l9_objective_payload", f"""with {_NESTED}, {_FLAT} select doc_id, '{{"path":"' || path || '","title":' || case when objective_title = 'system' then 'null' else '"' || objective_title || '"' end || ',"section_title":"' || section_title || '","description":"d","evaluation_type":' || case when objective_title = 'system' then '"teacher"' else '"task"' end || ',"audience":null}}' as payload from flat""")
 def l9(s, d):
-    flat = P.flatten_objectives(_nested(s, d)).select("doc_id", L.objective_payload().alias("j"))
-    return flat.select("doc_id", F.from_json("j", "path string, section string, title string, description string").alias("o")).select("doc_id", "o.*")
+    flat = P.flatten_objectives(_nested(s, d)).withColumn("objective_title", F.when(F.col("objective_title") != "system", F.col("objective_title")).otherwise("")).withColumn("objective_description", F.lit("d"))
+    return flat.select("doc_id", L.objective_payload().alias("payload"))
 
 
-@query("l10_merge_answers", "with o as (select user_id, event_id, event_type from events) select user_id as doc_id, cast(event_id as varchar) as path, case when event_id % 3 = 0 then case when event_id % 2 = 0 then 0 else 1 end else 2 end as n_tags, case when event_id % 3 <> 0 then 'old' when event_id % 2 = 0 then 'skip' end as note from o")
-def l10(s, d):
+_ANSWERED = "o as (select user_id as doc_id, cast(event_id as varchar) as path, event_id % 3 = 0 as got, event_id % 2 = 0 as bare, event_id % 5 = 0 as mute from events), m as (select doc_id, path, case when got then case when bare then 0 else 1 end else 2 end as n_tags, case when got and bare and not mute then 'skip' else 'old' end as note from o)"
+
+
+def _merged(s, d):
+    """A third of all events get answers, the last of which have one tag, or none and mostly a reason."""
     e = table(s, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("path"), "event_id")
     objs = e.select("doc_id", "path", F.array(F.lit("a"), F.lit("b")).alias("tags"), F.lit("old").alias("note"))
     hit = e.where("event_id % 3 = 0")
     none = F.array().cast("array<string>")
-    last = hit.select("doc_id", "path", F.lit(2).alias("attempt"), F.when(F.col("event_id") % 2 == 0, none).otherwise(F.array(F.lit("n"))).alias("tags"), F.lit("skip").alias("skip_reason"))
+    last = hit.select("doc_id", "path", F.lit(2).alias("attempt"), F.when(F.col("event_id") % 2 == 0, none).otherwise(F.array(F.lit("n"))).alias("tags"), F.when(F.col("event_id") % 5 == 0, "  ").otherwise(" skip\n").alias("skip_reason"))
     first = hit.select("doc_id", "path", F.lit(1).alias("attempt"), F.array(F.lit("x"), F.lit("y"), F.lit("z")).alias("tags"), F.lit("").alias("skip_reason"))
-    return L.merge_answers(objs, first.unionByName(last)).select("doc_id", "path", "n_tags", "note")
+    return L.merge_answers(objs, first.unionByName(last))
+
+
+@query("l10_merge_answers", f"with {_ANSWERED} select * from m")
+def l10(s, d):
+    return _merged(s, d)[0].select("doc_id", "path", "n_tags", "note")
+
+
+@query("l10_totals", f"with {_ANSWERED} select doc_id, count(*) as n_total, count(*) filter (where n_tags > 0) as n_aligned from m group by 1")
+def l10_totals(s, d):
+    return _merged(s, d)[1]

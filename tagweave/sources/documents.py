@@ -74,11 +74,32 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str] = ("subject"
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def to_nested(candidates: DataFrame) -> DataFrame:
-    """One row per document and subject: objectives in order, each with its candidates in rank order."""
-    objectives = candidates.groupBy("doc_id", "subject", "section_idx", "objective_idx", "path").agg(F.sort_array(F.collect_list(F.struct("rank", "code", "score"))).alias("candidates"))
-    nested = F.sort_array(F.collect_list(F.struct("section_idx", "objective_idx", "path", "candidates")))
-    return objectives.groupBy("doc_id", "subject").agg(F.transform(nested, lambda o: F.struct(o["path"].alias("path"), o["candidates"].alias("candidates"))).alias("objectives"))
+_OBJECTIVE = ("doc_id", "subject", "section_idx", "objective_idx", "path")
+
+
+def to_nested(candidates: DataFrame, fields: Sequence[str] = ("code", "score"), objectives: DataFrame | None = None, headers: DataFrame | None = None) -> DataFrame:
+    """One row per document and subject: its header's fields, and objectives in order, each with its own fields and its candidates in rank order.
+
+    `fields` are the candidates' fields to keep beside their rank. `objectives` (keys and any other columns, such as titles, matched rules
+    and picks) also brings objectives without candidates, `headers` (doc_id, subject and any other columns) documents without objectives."""
+    listed = F.sort_array(F.collect_list(F.struct("rank", *fields)))
+    each = candidates.groupBy(*_OBJECTIVE).agg(listed.alias("candidates"))
+    own: list[str] = []
+    if objectives is not None:
+        own = [c for c in objectives.columns if c not in _OBJECTIVE]
+        each = objectives.join(each, list(_OBJECTIVE), "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(each.schema["candidates"].dataType)))
+    placed = F.sort_array(F.collect_list(F.struct("section_idx", "objective_idx", "path", F.struct("path", *own, "candidates").alias("o"))))
+    out = each.groupBy("doc_id", "subject").agg(F.transform(placed, lambda x: x["o"]).alias("objectives"))
+    if headers is None:
+        return out
+    rest = [c for c in headers.columns if c not in ("doc_id", "subject")]
+    joined = headers.join(out, ["doc_id", "subject"], "left").withColumn("objectives", F.coalesce("objectives", F.array().cast(out.schema["objectives"].dataType)))
+    return joined.select("doc_id", "subject", *rest, "objectives")
+
+
+def write_nested(nested: DataFrame, path: str) -> None:
+    """Writes one JSON record a line, in order of subject and document within and between the files; nulls are written."""
+    nested.repartitionByRange("subject", "doc_id").sortWithinPartitions("subject", "doc_id").write.option("ignoreNullFields", False).json(path)
 
 
 def prune_document(docs: DataFrame) -> DataFrame:
