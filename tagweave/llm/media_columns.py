@@ -1,14 +1,16 @@
 """Media columns: texts stored as 8-bit WAV files in content-defined chunks, rebuilt from deduplicated chunks.
 
-A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of a mono 8-bit WAV file. The file
-is cut where a gear hash of the last 32 bytes has 10 leading zero bits, at least MIN_CHUNK and at most MAX_CHUNK bytes apart
-(1 KB on average), so equal passages of a few KB give equal chunks wherever they stand. A document keeps the ordered list of
-its chunks' digests; each digest's bytes are kept once, compressed. Spark joins lists and chunks, each different
-file is put together in order, read as WAV, and held against the digest that its samples had when they were stored.
+A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of a mono 8-bit WAV file. The samples
+are cut where a gear hash of the last 32 bytes has 10 leading zero bits, at least MIN_CHUNK and at most MAX_CHUNK bytes apart
+(1 KB on average), so equal passages of a few KB give equal chunks wherever they stand, the openings of files of different length
+too. A document keeps the ordered list of its chunks' digests and the digest of its whole file; each chunk's bytes are kept once,
+compressed. The header, which follows from the number of samples, stands in front of the list and in no chunk. Spark joins lists
+and chunks, each different file is put together in order, header first, held against the digest that the file had when it was
+stored, and read as WAV.
 
 Defined cases: a null or empty text is 64 zero samples; equal texts share one file and get equal values; each input row
-gets its own row; a table without rows gives none; texts of any length are stored whole; samples that do not match
-their digest end the job with an error. Only doc_id and text are read, whatever other columns are called.
+gets its own row; a table without rows gives none; texts of any length are stored whole; of equal chunks any one serves; a file
+that does not match its digest ends the job with an error. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .common import batches, cut, read, ship, slices, texts
 MIN_CHUNK, MAX_CHUNK, ZERO_BITS, WINDOW = 256, 8192, 10, 32
 RATE = 8000
 LEVEL, SAMPLE_DOCS, DICTIONARY_BYTES = 19, 4096, 400_000
-#: Bytes of a chunk's digest; a file is known by a longer one, against which what is rebuilt is held.
-CHUNK_DIGEST, FILE_DIGEST = 12, 16
+#: Bytes of the digest of a chunk, and of a file, against which what is rebuilt is held.
+DIGEST = 16
 _BLOCK = 1 << 20
 #: Digests that a task remembers so as to send a chunk's bytes once.
 _REMEMBERED = 1 << 20
@@ -73,12 +75,13 @@ def cut_points(data: bytes) -> list[int]:
     return out
 
 
-def chunks_of(raw: bytes) -> list[bytes]:
-    """The chunks of a text's stored file."""
-    payload = payload_of(raw)
-    media = wav_header(len(payload)) + payload
-    ends = cut_points(media)
-    return [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def chunks_of(payload: bytes) -> list[bytes]:
+    ends = cut_points(payload)
+    return [payload[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def file_of(payload: bytes) -> bytes:
+    return wav_header(len(payload)) + payload
 
 
 def features(samples: bytes) -> str:
@@ -88,21 +91,21 @@ def features(samples: bytes) -> str:
     return f"samples={len(x)};mean={total / len(x):.4f};rms={(squares / len(x)) ** 0.5:.4f};crossings={crossings};peak={int(x.max())}"
 
 
-def digest(data: bytes, size: int = CHUNK_DIGEST) -> bytes:
-    return hashlib.blake2b(data, digest_size=size).digest()
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
 def lists(docs: DataFrame) -> DataFrame:
-    """doc_id, the digest of the text's samples, its length, and the ordered digests of its file's chunks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("samples_digest", pa.binary()), ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.binary()))])
+    """doc_id, the digest of the text's file, the text's length, and the ordered digests of its chunks."""
+    schema = pa.schema([("doc_id", pa.int64()), ("file_digest", pa.binary()), ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.binary()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             raws = texts(b)
-            keys = [digest(payload_of(r), FILE_DIGEST) for r in raws]
-            yield batches({"doc_id": b.column(0).to_pylist(), "samples_digest": keys, "n_bytes": list(map(len, raws)), "chunks": [list(map(digest, chunks_of(r))) for r in raws]}, schema)
+            payloads = list(map(payload_of, raws))
+            yield batches({"doc_id": b.column(0).to_pylist(), "file_digest": [digest(file_of(p)) for p in payloads], "n_bytes": list(map(len, raws)), "chunks": [list(map(digest, chunks_of(p))) for p in payloads]}, schema)
 
-    return docs.mapInArrow(run, "doc_id long, samples_digest binary, n_bytes long, chunks array<binary>")
+    return docs.mapInArrow(run, "doc_id long, file_digest binary, n_bytes long, chunks array<binary>")
 
 
 def dictionary(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> bytes:
@@ -110,7 +113,7 @@ def dictionary(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> bytes:
     n = docs.count()
     rows = docs.select(F.substring("text", 1, MAX_CHUNK).alias("text")).where("text is not null").sample(fraction=min(1.0, sample_docs / max(n, 1)), seed=11).limit(sample_docs).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [c for r in rows for c in chunks_of(r.text.encode())]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [c for r in rows for c in chunks_of(payload_of(r.text.encode()))]).as_bytes()
     except zstandard.ZstdError:  # too few samples
         return b""
 
@@ -139,7 +142,7 @@ def store(docs: DataFrame, words: bytes) -> DataFrame:
         for b in slices(it):
             keys, packed = [], []
             for raw in texts(b):
-                for c in chunks_of(raw):
+                for c in chunks_of(payload_of(raw)):
                     k = digest(c)
                     if k not in seen:
                         if len(seen) >= _REMEMBERED:
@@ -152,21 +155,21 @@ def store(docs: DataFrame, words: bytes) -> DataFrame:
     return docs.mapInArrow(run, "digest binary, packed binary").dropDuplicates(["digest"])
 
 
-_FILE = "samples_digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+_FILE = "file_digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
-    """Puts files together from rows (file, seq, packed) that come in order, and reads them; samples_digest is that of what was read."""
+    """Puts files together from rows (file, seq, packed) that come in order, and reads them; file_digest is that of what was put together."""
     shared = ordered.sparkSession.sparkContext.broadcast(words)
     names = [c.split()[0] for c in _FILE.split(", ")]
     kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _FILE.split(", ")])
 
     def described(parts: list[bytes]) -> tuple:
-        media = b"".join(parts)
+        media = file_of(b"".join(parts))
         with wave.open(io.BytesIO(media)) as w:
             payload = w.readframes(w.getnframes())
-        return digest(payload, FILE_DIGEST), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest(), features(payload)
+        return digest(media), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest(), features(payload)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(shared.value)
@@ -192,14 +195,14 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     words = dictionary(plain)
     listed = cut(lists(plain).withColumn("file", F.monotonically_increasing_id()))
     # the first row of each different file stands for it
-    first = listed.groupBy("samples_digest").agg(F.min("file").alias("file")).select("file")
+    first = listed.groupBy("file_digest").agg(F.min("file").alias("file")).select("file")
     places = listed.select("file", "chunks").join(first, "file").select("file", F.posexplode("chunks").alias("seq", "digest"))
     found = places.join(store(plain, words), "digest").select("file", "seq", "packed")
     files = rebuilt(found.repartition("file").sortWithinPartitions("file", "seq"), words)
-    out = listed.select("doc_id", "samples_digest", "n_bytes").join(files, "samples_digest", "left")
-    lost = F.raise_error(F.concat(F.lit("no file read back holds the samples of digest "), F.hex("samples_digest")))
+    out = listed.select("doc_id", "file_digest", "n_bytes").join(files, "file_digest", "left")
+    lost = F.raise_error(F.concat(F.lit("no file read back has the digest "), F.hex("file_digest")))
     checked = F.when(F.col("payload_bytes").isNull(), lost.cast("long")).otherwise(F.col("payload_bytes"))
-    return out.withColumn("payload_bytes", checked).withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}).drop("samples_digest")
+    return out.withColumn("payload_bytes", checked).withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}).drop("file_digest")
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
