@@ -89,7 +89,9 @@ def _weights(ratios: np.ndarray, raws: list[bytes]) -> list[float]:
 
 
 def gumbel(seed: int = SEED) -> Column:
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A row's noise: drawn by doc_id, or by the text where there is no doc_id, so that only equal texts share a draw there."""
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(seed))
+    u = (F.pmod(F.when(F.col("doc_id").isNull(), own).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -158,15 +160,15 @@ class Resampler:
 
     def weigh(self, docs: DataFrame) -> DataFrame:
         """doc_id, log_weight and key of each row."""
-        schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("noise", pa.float64())])
         shared = self.shared
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                yield batches({"doc_id": b.column(0).to_pylist(), "log_weight": _weights(shared.value, texts(b))}, schema)
+                yield batches({"doc_id": b.column(0).to_pylist(), "log_weight": _weights(shared.value, texts(b)), "noise": b.column(2).to_pylist()}, schema)
 
-        out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, log_weight double")
-        return out.withColumn("key", F.col("log_weight") / self.temperature + gumbel(self.seed))
+        out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), gumbel(self.seed).alias("noise")).mapInArrow(run, "doc_id long, log_weight double, noise double")
+        return out.select("doc_id", "log_weight", (F.col("log_weight") / self.temperature + F.col("noise")).alias("key"))
 
     def decisions(self) -> DataFrame:
         return self.scores.withColumn("kept", F.col("key") >= self.least_key)
