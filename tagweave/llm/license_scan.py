@@ -1,7 +1,8 @@
 """License scan by diagonal voting, with DataFrame functions alone.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. Every rolling gram of three words is joined
-to the places of the same gram in short license templates (a fixed list, so its broadcast is bounded). A hit votes for
+to the places of the same gram in license templates (a fixed list, so its broadcast is bounded); a license text has several, one for
+each of its sentences that tell it, under one label. A hit votes for
 the diagonal place - template place; a diagonal keeps the bits of the template's grams that it saw, and is verified
 where it alone sees LEAST of them. Diagonals of a document and template that are at most GAP apart are merged, which bridges
 a few words put in or left out, and the merged span is verified: it must see LEAST of the template's grams in at most SPREAD
@@ -9,7 +10,7 @@ times the template's length.
 
 Defined cases: a null or empty text has no words, no labels, null places and score 0; equal rows get a row each; a table
 without rows gives none; texts of any length are scanned whole; where a text names one license many times each place counts in
-n_base; of several spans of a template the best counts, and score is the greatest share of a template's grams that one merged span
+n_base; places are numbers of words, so no two tie; of several spans of a template the best counts, and score is the greatest share of a template's grams that one merged span
 sees. Only doc_id and text are read, whatever other columns are called.
 """
 
@@ -28,18 +29,30 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: Sentences of license texts and notices, at most 64 grams each.
+#: Sentences of license texts and notices, at most 64 grams each; those of one label stand together.
 TEMPLATES = (
     ("mit-notice", "Released under the MIT License"),
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-text", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-text", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("mit-text", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
     ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0-text", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0-text", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied"),
+    ("apache-2.0-text", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work"),
+    ("apache-2.0-text", "You must cause any modified files to carry prominent notices stating that You changed the files"),
     ("gpl-2.0-notice", "This work is licensed under the GNU General Public License, version 2"),
     ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-text", "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details"),
+    ("gpl-text", "You should have received a copy of the GNU General Public License along with this program"),
+    ("gpl-text", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+    ("gpl-text", "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice"),
     ("lgpl-text", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
     ("agpl-notice", "under the terms of the GNU Affero General Public License"),
     ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-text", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-text", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2.0-text", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense-text", "This is free and unencumbered software released into the public domain"),
@@ -67,7 +80,7 @@ def _templates(spark) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: base places and labels, and the labels of verified template spans."""
-    names = sorted([*BASE, *(n for n, _ in TEMPLATES)])
+    names = sorted({*BASE, *(n for n, _ in TEMPLATES)})
     bit = {n: 1 << i for i, n in enumerate(names)}
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("w")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), "w")
