@@ -25,6 +25,8 @@ from .common import batches, read, ship, texts
 VOCABULARY = "byte_bpe_50k.json"
 #: Documents that the broadcast table is filled from, and its entries, at most.
 SAMPLE_DOCS, TABLE_SIZE = 4096, 65_536
+#: Characters of each of these documents that fill it; counts are over whole texts.
+SAMPLE_CHARS = 16_384
 LIMIT = 1024
 
 
@@ -46,7 +48,7 @@ def frequent_lengths(docs: DataFrame, name: str = VOCABULARY, path: str | None =
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.binary()), pa.array(lengths, pa.int32())], names=["chunk", "n"])
 
     n = docs.count()
-    sample = docs.select("text").where("text is not null").sample(fraction=min(1.0, sample_docs / max(n, 1)), seed=7).limit(sample_docs)
+    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null").sample(fraction=min(1.0, sample_docs / max(n, 1)), seed=7).limit(sample_docs)
     return {bytes(r.chunk): r.n for r in sample.mapInArrow(run, "chunk binary, n int").collect()}
 
 
