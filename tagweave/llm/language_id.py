@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training takes a bounded sample of labelled texts: of each language whole documents, drawn by hash, up to `per_language`
-of them and `chars` characters, and up to `total_chars` characters of all languages together, shared evenly. Each model's probabilities
+Training takes a bounded sample of labelled texts: of each language documents drawn by hash, up to `per_language` of them and `chars`
+characters (so at most the first `chars` of one text), and up to `total_chars` characters of all languages together, shared evenly. Each model's probabilities
 are computed once. Languages go in groups of at most GROUP: for every n-gram that any language of a group has seen, and for every
 order, one sorted array of n-gram hashes stands beside a matrix of natural log probabilities, one column a language; contexts have
 their backoff weights in the same form. So the model grows with the number of languages, which has no bound but the labels.

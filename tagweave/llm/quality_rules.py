@@ -9,7 +9,8 @@ A document is rejected if it fails the base rules (fewer than 10 words, or over
 five-word windows) or if over `max_lost` of the characters of its lines went with failing lines.
 
 Defined cases: a null or empty text has no words and is rejected; equal rows get equal results, one row for each
-input row; lines without a word are kept and never judged; an empty table gives an empty result. Only doc_id and
+input row; lines without a word are kept and never judged; texts and lines of any length are judged whole; of equal lines the
+first two stay, and a document exactly at a bound stays; an empty table gives an empty result. Only doc_id and
 text are read, so columns with clashing names do no harm.
 """
 
