@@ -75,8 +75,12 @@ def pad_zero(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = T
     asked = queries.select(*(c for c in keys if c in queries.columns))
     if missing := [c for c in by if c not in queries.columns]:
         own = [c for c in by if c not in missing]
-        groups = corpus.select(*by).distinct()
-        asked = asked.join(groups, own) if own else asked.crossJoin(groups)
+        groups = corpus.select(*own, F.struct(*missing).alias("_group")).distinct()
+        if own:
+            asked = asked.join(groups, own)
+        else:  # each query is asked in every group: few, as each is a corpus
+            asked = asked.withColumn("_groups", groups.agg(F.collect_list("_group")).scalar()).withColumn("_group", F.explode("_groups"))
+        asked = asked.select(*(c for c in keys if c not in missing), *(F.col(f"_group.{c}").alias(c) for c in missing))
     short = asked.join(have, keys, "left").where(F.coalesce("n", F.lit(0)) < k)
     if by:
         first = top_k(corpus.select(*by, order, key), by, [F.asc(order)], 2 * k).groupBy(*by).agg(F.collect_list(F.struct(order, key)).alias("first"))

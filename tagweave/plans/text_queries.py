@@ -220,10 +220,26 @@ def p14(s, d):
     return records(s, d).select("code", G.bucket_of().alias("bucket"))
 
 
-@query("p15_display_metadata", f"with {RECORDS} select code, case when strand <> '' then strand when is_practice then 'MP' else coalesce(category, '') end as badge, case when strand <> '' then 'S' when is_practice then 'Mathematical Practice' else '' end as badge_name, case when strand = '' and is_practice then '' else coalesce(nullif(grade, ''), grade_band) end as grade from recs")
+_KINDS = """kinds as (select p_partkey as k, case p_partkey % 7 when 0 then 'skill' when 1 then 'course' when 2 then 'economics' when 3 then 'strand' when 4 then 'practice' when 5 then 'category' else 'domain' end as kind, p_name as name, p_brand as brand, p_type as type, cast(p_size as varchar) as grade,
+    p_partkey % 2 = 0 as even, repeat(p_name || ' ', 4) as title from part)"""
+
+
+@query("p15_display_metadata", f"""with {_KINDS} select k, case kind when 'skill' then case when even then brand else 'HSS' end when 'course' then case when even then grade else '9-12' end when 'economics' then 'Econ' when 'strand' then brand when 'practice' then 'MP' when 'category' then type else brand end as badge,
+    case kind when 'skill' then name when 'course' then case when length(title) > 60 then left(title, 57) || '...' else title end when 'economics' then 'Principles of Economics' when 'strand' then name when 'practice' then 'Mathematical Practice' when 'category' then name else 'D ' || name end as badge_name,
+    case kind when 'skill' then name when 'course' then case when length(title) > 60 then left(title, 57) || '...' else title end when 'economics' then 'Principles of Economics' when 'strand' then type when 'practice' then '' else case when even then 'C ' || name else 'D ' || name end end as subgroup,
+    case kind when 'skill' then '9-12' when 'course' then case when even then grade else '' end when 'economics' then case when even then grade else '' end when 'practice' then '' else case when even then grade else '9-12' end end as grade from kinds""")
 def p15(s, d):
-    r = records(s, d).withColumn("strand_name", F.lit("S")).select("*", F.lit("math").alias("subject"), F.lit(None).cast("boolean").alias("is_skill"), *(F.lit(None).cast("string").alias(c) for c in ("skill_category", "subgroup", "cluster")))
-    return r.select("code", G.display_metadata().alias("m")).select("code", "m.badge", "m.badge_name", "m.grade")
+    """Records of seven kinds: skills, courses, economics, strands, practices, categories and domains."""
+    k, name, brand, kind_ = F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    kind, even = k % 7, k % 2 == 0
+    columns = {
+        "subject": F.when(kind < 3, "history").when(kind == 3, "ela").otherwise("math"), "is_skill": kind == 0, "is_practice": kind == 4,
+        "skill_category_code": F.when((kind == 0) & even, brand), "skill_category": F.when(kind == 0, name), "course_title": F.when(kind == 1, F.repeat(F.concat(name, F.lit(" ")), 4)).when(kind == 2, "Principles of Economics"),
+        "strand": F.when(kind == 3, brand), "strand_name": F.when(kind == 3, name), "subgroup": F.when(kind == 3, kind_), "category": F.when(kind == 5, kind_), "category_name": F.when(kind == 5, name),
+        "domain": F.when(kind > 4, brand), "domain_name": F.when(kind > 4, F.concat(F.lit("D "), name)), "cluster": F.when(even & (kind > 4), F.concat(F.lit("C "), name)), "grade": F.when(even, F.col("p_size").cast("string")).otherwise(""), "grade_band": F.lit("9-12"),
+    }
+    r = table(s, d, "part").select(k.alias("k"), *(c.alias(n) for n, c in columns.items()))
+    return r.select("k", G.display_metadata().alias("m")).select("k", "m.*")
 
 
 @query("p18_parse_list", "with w as (select doc_id, string_split(text, ',') as l from documents) select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(l, lambda x: lower(trim(x))), lambda x: x <> ''))), '|') as items from w")
