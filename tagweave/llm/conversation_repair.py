@@ -10,7 +10,9 @@ short, so a round costs time in proportion to the rows, and there are few rounds
 What is searched is a letter for each row (its role and fault). Spark does the rest: rows are damaged and numbered by
 conversation and turn, a text seen earlier is told by the least number of each (conversation, role, digest), aggregated before
 it is moved; edits go back to the rows by number and a last pass in order streams each repaired conversation through its hash.
-A worker holds a letter and an edit for each row of one conversation, never its texts.
+A worker holds a letter, its estimates and its place on the path for each row of one conversation (some 50 bytes), never its texts. The
+audit and the hash are of a whole conversation in order, so its letters, and its texts as a stream, do pass one task, however
+long it is; what else is done by conversation is aggregated first or numbered, and dealt by row.
 
 Defined cases: a null in any column reads as one space, so a null turn comes first, a null conv_id names a conversation of its own,
 and a null text is blank; rows of one turn are ordered by role and text; equal rows are duplicates of the first; a role that
@@ -22,7 +24,8 @@ turn, role and text are read, whatever other columns are called.
 from __future__ import annotations
 
 import hashlib
-import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, read, ship
+from .common import batches, cut, read, ship, slices
 
 #: Costs of the edits, and of a truncated row that is not deleted.
 DELETE, INSERT, REROLE, TRUNCATED = 4, 3, 3, 3
@@ -44,29 +47,49 @@ WHITE = " \t\n\x0b\x0c\r"
 REMEMBERED = 64
 
 
-def estimates(rows: str) -> list[list[int]]:
-    """For each place and state a lower bound of what is left to pay: the pattern without the rule that a system row needs a pair behind it."""
-    after = [0, 0, INSERT, 0]
-    out = [after]
-    for row in reversed(rows):
-        here = [DELETE + c for c in after]
+def _allowed(row: str, state: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(letter, cost, rows passed, state) of the edits that a state allows, in ASCII order; `row` is empty behind the last one."""
+    out = [("D", DELETE, 1, state)] if row else []
+    out.append(("I", INSERT, 0, NEXT[state]))
+    if row and row != "x":
+        extra, initial = (TRUNCATED, row.lower()) if row.isupper() else (0, row)
+        if (to := KEEPS[state].get(initial)) is not None:
+            out.append(("K", extra, 1, to))
+        out.append(("R", REROLE + extra, 1, NEXT[state]))
+    return tuple((ord(letter), *rest) for letter, *rest in out)
+
+
+#: Letters of rows: by role, in capitals if truncated, and x for one that must go.
+LETTERS = "suaoSUAOx"
+MOVES = {(row, state): _allowed(row, state) for row in ("", *LETTERS) for state in range(4)}
+
+
+def estimates(rows: str) -> list[array]:
+    """By state, for each place, a lower bound of what is left to pay: the pattern without the rule that a system row needs a pair behind it."""
+    out = [array("q", bytes(8 * (len(rows) + 1))) for _ in range(3)]
+    start, user, assistant = 0, INSERT, 0
+    out[1][len(rows)] = user
+    for i in range(len(rows) - 1, -1, -1):
+        row = rows[i]
+        s, u, a = start + DELETE, user + DELETE, assistant + DELETE
         if row != "x":
             extra, initial = (TRUNCATED, row.lower()) if row.isupper() else (0, row)
-            for state in (START, USER, ASSISTANT):
-                here[state] = min(here[state], REROLE + extra + after[NEXT[state]])
-                if (to := KEEPS[state].get(initial)) is not None:
-                    here[state] = min(here[state], extra + after[ASSISTANT if to == SYSTEM else to])
-        user, assistant = here[USER], here[ASSISTANT]
-        here[USER], here[ASSISTANT] = min(user, INSERT + assistant), min(assistant, INSERT + user)
-        here[START] = min(here[START], INSERT + here[USER])
-        here[SYSTEM] = here[ASSISTANT]
-        out.append(here)
-        after = here
-    return out[::-1]
+            s, u, a = min(s, REROLE + extra + user), min(u, REROLE + extra + assistant), min(a, REROLE + extra + user)
+            if initial == "s":
+                s = min(s, extra + assistant)
+            elif initial == "u":
+                s, a = min(s, extra + user), min(a, extra + user)
+            elif initial == "a":
+                u = min(u, extra + assistant)
+        user, assistant = min(u, INSERT + a), min(a, INSERT + u)
+        start = min(s, INSERT + user)
+        out[0][i], out[1][i], out[2][i] = start, user, assistant
+    start, user, assistant = out
+    return [start, assistant, user, assistant]
 
 
 def repair(rows: str) -> tuple[int, str]:
-    """(cost, edits) of rows given by letters: s, u, a, o by role, in capitals if truncated, x if it must go."""
+    """(cost, edits) of rows given by LETTERS."""
     return _remembered(rows) if len(rows) <= REMEMBERED else _search(rows)
 
 
@@ -77,50 +100,43 @@ def _remembered(rows: str) -> tuple[int, str]:
 
 def _search(rows: str) -> tuple[int, str]:
     ahead = estimates(rows)
-    bound = ahead[0][START]
+    bound = ahead[START][0]
     while True:
         found, bound = _round(rows, ahead, bound)
         if found is not None:
             return bound, found
 
 
-def _moves(row: str, state: int) -> Iterator[tuple[str, int, int, int]]:
-    """(letter, cost, rows passed, state) of the edits that a state allows, in ASCII order; `row` is empty behind the last one."""
-    if row:
-        yield "D", DELETE, 1, state
-    yield "I", INSERT, 0, NEXT[state]
-    if row and row != "x":
-        extra, initial = (TRUNCATED, row.lower()) if row.isupper() else (0, row)
-        if (to := KEEPS[state].get(initial)) is not None:
-            yield "K", extra, 1, to
-        yield "R", REROLE + extra, 1, NEXT[state]
-
-
-def _round(rows: str, ahead: list[list[int]], bound: int) -> tuple[str | None, int]:
-    """The first accepting path in ASCII order within the bound, else the next bound."""
-    failed: dict[tuple[int, int], int] = {}
+def _round(rows: str, ahead: list[array], bound: int) -> tuple[str | None, int]:
+    """The first accepting path in ASCII order within the bound, else the next bound. The path so far lies in arrays of numbers."""
+    failed: dict[int, int] = {}
     beyond, n = 1 << 62, len(rows)
-    path: list[str] = []
-    stack = [(0, START, 0, _moves(rows[:1], START))]
+    path, states, tried, paid, places = bytearray(), bytearray([START]), bytearray([0]), array("q", [0]), array("q", [0])
     if n == 0:
         return "", bound
-    while stack:
-        at, state, paid, moves = stack[-1]
-        for letter, cost, step, to in moves:
-            i, sum_ = at + step, paid + cost
-            if sum_ + ahead[i][to] > bound:
-                beyond = min(beyond, sum_ + ahead[i][to])
-            elif bound - sum_ > failed.get((i, to), -1):
-                path.append(letter)
-                if i == n and to in ACCEPTS:
-                    return "".join(path), bound
-                stack.append((i, to, sum_, _moves(rows[i : i + 1], to)))
-                break
-        else:
-            failed[at, state] = bound - paid
-            stack.pop()
+    while states:
+        at, state, sum_, k = places[-1], states[-1], paid[-1], tried[-1]
+        moves = MOVES[rows[at] if at < n else "", state]
+        if k == len(moves):
+            failed[4 * at + state] = bound - sum_
+            for stack in (states, tried, paid, places):
+                stack.pop()
             if path:
                 path.pop()
+            continue
+        tried[-1] = k + 1
+        letter, cost, step, to = moves[k]
+        i, total = at + step, sum_ + cost
+        if total + ahead[to][i] > bound:
+            beyond = min(beyond, total + ahead[to][i])
+        elif bound - total > failed.get(4 * i + to, -1):
+            path.append(letter)
+            if i == n and to in ACCEPTS:
+                return path.decode(), bound
+            states.append(to)
+            tried.append(0)
+            paid.append(total)
+            places.append(i)
     return None, beyond
 
 
@@ -162,30 +178,40 @@ _AUDITS = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.str
 LEGAL = ("su", "ua", "au")
 
 
+class _Rows:
+    """What a conversation's rows say, fed one by one: a letter for each, and counts."""
+
+    def __init__(self, key: str) -> None:
+        self.key, self.letters, self.counts, self.illegal, self.before = key, bytearray(), Counter(), 0, None
+
+    def feed(self, initial: str, fault: str) -> None:
+        role = initial if initial in ("s", "u", "a") else "o"
+        self.illegal += self.before is not None and self.before + role not in LEGAL
+        self.before = role
+        self.counts[fault] += 1
+        self.letters += ("x" if fault in ("b", "d") else role.upper() if fault else role).encode()
+
+    def row(self) -> tuple:
+        cost, audit = repair(self.letters.decode())
+        return self.key, self.counts["b"], self.counts["d"], self.counts["t"], self.illegal, cost, audit
+
+
 def _audits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, initials, faults = None, [], []
-
-    def row() -> dict[str, list]:
-        roles = [i if i in ("s", "u", "a") else "o" for i in initials]
-        letters = "".join("x" if f in ("b", "d") else r.upper() if f else r for r, f in zip(roles, faults, strict=True))
-        cost, audit = repair(letters)
-        illegal = sum(a + b not in LEGAL for a, b in zip(roles, roles[1:], strict=False))
-        counts = (faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit)
-        return dict(zip(_AUDITS.names, ([x] for x in (key, *counts)), strict=True))
-
-    for b in it:
-        out = {n: [] for n in _AUDITS.names}
-        for k, i, f in zip(*(b.column(x).to_pylist() for x in ("key", "initial", "fault")), strict=True):
-            if k != key:
-                if key is not None:
-                    for n, v in row().items():
-                        out[n] += v
-                key, initials, faults = k, [], []
-            initials.append(i)
-            faults.append(f)
-        yield batches(out, _AUDITS)
-    if key is not None:
-        yield batches(row(), _AUDITS)
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return batches(dict(zip(_AUDITS.names, zip(*rows, strict=True) if rows else [[]] * len(_AUDITS), strict=True)), _AUDITS)
+
+    now = None
+    for b in slices(it):
+        done = []
+        for key, initial, fault in zip(*(b.column(x).to_pylist() for x in ("key", "initial", "fault")), strict=True):
+            if now is None or key != now.key:
+                if now is not None:
+                    done.append(now.row())
+                now = _Rows(key)
+            now.feed(initial, fault)
+        yield told(done)
+    if now is not None:
+        yield told([now.row()])
 
 
 def audits(letters: DataFrame) -> DataFrame:
@@ -219,7 +245,7 @@ def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "repaired_sha256"]
     key = now = None
     edits = ""
-    for b in it:
+    for b in slices(it):
         done = []
         role, text = (b.column(x).cast(pa.binary()).to_pylist() for x in ("role", "text"))
         for k, e, r, t in zip(b.column("key").to_pylist(), b.column("edits").to_pylist(), role, text, strict=True):
