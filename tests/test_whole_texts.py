@@ -66,7 +66,7 @@ def test_coded_texts_are_whole(spark, benchmark):
 def test_numbered_items_hold_the_texts(spark, benchmark):
     d, texts = benchmark
     got = {(r.doc_id, r.number): r.item_text for r in QUERIES["g12_extract_numbered"](spark, d).collect()}
-    assert got == {(k, 1): f"First {k} {t}" for k, t in texts.items()} | {(k, 2): f"Second item {k} {t} too" for k, t in texts.items()}
+    assert got == {(k, 1): f"First {k} {t} see 1. Again" for k, t in texts.items()} | {(k, 2): f"Second item {k} {t} too" for k, t in texts.items()}
 
 
 def test_lists_are_parsed_to_the_end(spark, tmp_path):
