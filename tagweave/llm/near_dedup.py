@@ -14,8 +14,10 @@ of the bucket's least doc_id. A bucket whose nodes are in several components aft
 open bucket would grow with its square, and most of them cannot reach the threshold: two nodes that can share one of
 their rarest shingles (the prefix filter, which is exact). So of all pairs of nodes of open buckets in different components those
 with a common prefix shingle are verified: first along a star for each shingle, which joins nearly all components that belong
-together, then every pair that is left. A large group of near copies is thus not compared pair by pair, and no link between
-two components is left out.
+together, then every pair that is left. Each node also has a bitmap of its shingles: a bit that one has and the other lacks is a
+shingle missing there, and a pair with more of them than the threshold allows is not made. So of texts that share a frame, and
+with it many rare shingles, only pairs near the threshold are. A large group of near copies is thus not compared pair by pair,
+and no link between two components is left out.
 
 Defined cases: rows of equal words are one class; a text that is null or has no word is compared with nothing and is a class of
 its own; rows without doc_id are compared like others, and where no member of a class has a doc_id its class_id is null; rows that
@@ -44,6 +46,8 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, REPEATS = 3, 20
+#: Longs of a node's bitmap.
+MAP = 8
 #: Lengths of one class differ by at most this factor.
 CLASS_WIDTH = 1.02
 
@@ -179,20 +183,27 @@ def verified(pairs: DataFrame, candidates: DataFrame, least: float = SIMILARITY,
     return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def prefix_shingles(open_: DataFrame, candidates: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """node, n, token and place for the first shingles of the open nodes (node, component).
+def bitmap(labelled: np.ndarray) -> list[int]:
+    """MAP longs with a bit for each shingle; different shingles may share one."""
+    bits = np.zeros(64 * MAP, np.uint8)
+    bits[(labelled >> np.uint64(17)) % np.uint64(64 * MAP)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def prefix_shingles(open_: DataFrame, candidates: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """node, n, token and place for the first shingles of the open nodes (node, component); and their bitmaps (node, m0, m1, ...).
 
     Shingles are ordered by how many open nodes have them, rare ones first. Two nodes of n and m shingles that share k =
     ceil(t (n + m) / (1 + t)) of them share one of the first n - k + 1 of the one and the first m - k + 1 of the other.
     """
-    schema = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("map", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [labelled_shingles(word_hashes(t), shingle).view(np.int64) for t in texts(b)]
-            yield batches({"node": b.column(0).to_pylist(), "component": b.column(1).to_pylist(), "n": list(map(len, rows)), "tokens": rows}, schema)
+            rows = [labelled_shingles(word_hashes(t), shingle) for t in texts(b)]
+            yield batches({"node": b.column(0).to_pylist(), "component": b.column(1).to_pylist(), "n": list(map(len, rows)), "tokens": [r.view(np.int64) for r in rows], "map": list(map(bitmap, rows))}, schema)
 
-    shingles = cut(candidates.join(open_, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n int, tokens array<long>"))
+    shingles = cut(candidates.join(open_, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n int, tokens array<long>, map array<long>"))
     each = shingles.select("node", "component", "n", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
     # shingles of one node alone come first in its order and match nothing: their number is enough
@@ -202,7 +213,21 @@ def prefix_shingles(open_: DataFrame, candidates: DataFrame, least: float = SIMI
     # a shingle that one component alone has matches nothing either, but keeps its place
     inside = (F.col("lo") < F.col("hi")) & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
     out = cut(known.withColumn("place", place).where(inside).select("node", "n", "token", "place"))
+    maps = cut(shingles.select("node", *(F.get("map", F.lit(i)).alias(f"m{i}") for i in range(MAP))))
     drop(shingles)
+    return out, maps
+
+
+def _mapped(rows: DataFrame, maps: DataFrame, side: str) -> DataFrame:
+    """Rows of `side` (x or y) with the node's bitmap."""
+    return rows.join(maps.select(F.col("node").alias(side), *(F.col(f"m{i}").alias(f"m{i}_{side}") for i in range(MAP))), side)
+
+
+def _missing(a: str, b: str) -> Column:
+    """At least so many shingles of the one are not in the other."""
+    out = F.lit(0)
+    for i in range(MAP):
+        out = out + F.bit_count(F.col(f"m{i}_{a}").bitwiseAND(F.bitwise_not(F.col(f"m{i}_{b}"))))
     return out
 
 
@@ -211,25 +236,26 @@ def _needed(n: Column, m: Column, least: float) -> Column:
 
 
 def _can_reach(least: float) -> Column:
-    """Whether nodes x and y, of n_x and n_y shingles, that meet at places p_x and p_y can share as many as they need."""
+    """Whether nodes x and y, of n_x and n_y shingles, that meet at places p_x and p_y can share as many as they need, by their places and their bitmaps."""
     k = _needed(F.col("n_x"), F.col("n_y"), least)
     prefixes = (F.col("p_x") <= F.col("n_x") - k + 1) & (F.col("p_y") <= F.col("n_y") - k + 1)
     # at their first common shingle a pair must still be able to share as many as it needs
-    return (F.least("n_x", "n_y") >= k) & prefixes & (F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) + 1 >= k)
+    places = (F.least("n_x", "n_y") >= k) & prefixes & (F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) + 1 >= k)
+    return places & (_missing("x", "y") <= F.col("n_x") - k) & (_missing("y", "x") <= F.col("n_y") - k)
 
 
-def prefix_star(first: DataFrame, where: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def prefix_star(first: DataFrame, maps: DataFrame, where: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of one node for each shingle with all others that have it and are in another component."""
     rows = first.join(where, "node")
     hub = F.min_by("node", F.xxhash64("node", "token")).alias("y")
     hubs = rows.groupBy("token").agg(hub, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "y")
     of_y = rows.select("token", F.col("node").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("n_y"), F.col("place").alias("p_y"))
-    hubs = hubs.join(of_y, ["token", "y"])
-    rays = rows.withColumnsRenamed({"n": "n_x", "place": "p_x"}).join(hubs, "token").where((F.col("component") != F.col("of_y")) & _can_reach(least))
-    return rays.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+    hubs = _mapped(hubs.join(of_y, ["token", "y"]), maps, "y")
+    rays = _mapped(rows.withColumnsRenamed({"node": "x", "n": "n_x", "place": "p_x"}), maps, "x").join(hubs, "token").where((F.col("component") != F.col("of_y")) & _can_reach(least))
+    return rays.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def prefix_join(first: DataFrame, where: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def prefix_join(first: DataFrame, maps: DataFrame, where: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """All pairs (a, b) of nodes of different components that can be similar enough.
 
     The longer node asks for each class of lengths that the shorter one can have, with as long a prefix as that class needs. A
@@ -255,6 +281,7 @@ def prefix_join(first: DataFrame, where: DataFrame, least: float = SIMILARITY) -
     for asks in (False, True):
         few = live.where((F.col("component") != F.col("most")) & (F.col("asks") == asks)).select("token", "class", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("n").alias("n_x"), F.col("place").alias("p_x"))
         all_ = live.where(F.col("asks") != asks).select("token", "class", F.col("node").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("n_y"), F.col("place").alias("p_y"))
+        few, all_ = _mapped(few, maps, "x"), _mapped(all_, maps, "y")
         fits = (F.col("n_x") >= F.col("n_y")) if asks else (F.col("n_y") >= F.col("n_x"))
         found = few.join(all_, ["token", "class"]).where(fits & _can_reach(least) & (F.col("of_x") != F.col("of_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         out = found if out is None else out.unionByName(found)
@@ -302,10 +329,10 @@ def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     placed = members.join(where, "node").select("bucket", "node", "component")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     open_ = cut(placed.join(split, "bucket", "left_semi").select("node", "component").distinct())
-    first = prefix_shingles(open_, candidates, least, shingle)
+    first, maps = prefix_shingles(open_, candidates, least, shingle)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for pairs_of in (prefix_star, prefix_join):
-        pairs = cut(pairs_of(first, where, least).join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(pairs_of(first, maps, where, least).join(tried, ["a", "b"], "left_anti"))
         before, where = where, joined(where, verified(pairs, candidates, least, shingle))
         drop(before)
         tried = tried.unionByName(pairs)
@@ -313,7 +340,7 @@ def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     named = nodes.join(where, "node", "left").select("digest", "label", F.coalesce("component", "node").alias("component"))
     classes_ = named.groupBy("component").agg(F.min("label").alias("class_id"))
     out = cut(named.drop("label").join(classes_, "component"))
-    drop(candidates, members, nodes, where, first, open_, links, star)
+    drop(candidates, members, nodes, where, first, maps, open_, links, star)
     return rows, out
 
 

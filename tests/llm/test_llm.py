@@ -676,6 +676,31 @@ def test_near_dedup_of_many_groups_that_share_passages(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(df, repeats=40).collect()} == brute_classes(texts)
 
 
+def test_near_dedup_of_texts_that_share_a_frame(spark, monkeypatch):
+    """Many texts of one template, few of them similar: the pairs that are made are about those that are linked."""
+    rng, made, plain = random.Random(3), [], near_dedup.prefix_join
+
+    def counted(*rest):
+        made.append(plain(*rest))
+        return made[-1]
+
+    monkeypatch.setattr(near_dedup, "prefix_join", counted)
+    monkeypatch.setattr(near_dedup, "drop", lambda *tables: None)
+    texts = {i: " ".join(f"v{k}-{rng.randrange(10)}" if k % 12 == 6 else f"frame{k}" for k in range(100)) for i in range(260)}
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts) and len(set(got.values())) > 250
+    assert made[0].count() <= 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 300), max_size=200), st.lists(st.integers(0, 300), max_size=200))
+def test_bitmaps_never_tell_too_many_missing(a, b):
+    x, y = (near_dedup.labelled_shingles(np.array(v, np.uint64) * np.uint64(0x9E3779B97F4A7C15), 2) for v in (a, b))
+    mx, my = (near_dedup.bitmap(v) for v in (x, y))
+    missing = sum((p & ~q & (1 << 64) - 1).bit_count() for p, q in zip(mx, my, strict=True))
+    assert missing <= len(set(x.tolist()) - set(y.tolist()))
+
+
 def test_near_dedup_of_shared_and_missing_ids(spark):
     """Different texts under one doc_id are different documents; rows without doc_id have copies like others."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
