@@ -203,7 +203,7 @@ def test_first_code_of_a_set_wins(spark):
 
 def test_empty_page_has_a_total(spark):
     records = spark.createDataFrame([(f"c{i}", i, "t", "B", "K", "") for i in range(7)], "code string, ord int, text string, strand string, grade string, grade_band string")
-    records = records.select("*", *(F.lit(None).cast("string").alias(c) for c in ("category", "skill_category_code", "domain", "section", "strand_name", "category_name", "domain_name", "course_title")), F.lit(False).alias("is_practice"))
+    records = records.select("*", *(F.lit(None).cast("string").alias(c) for c in ("category", "skill_category_code", "domain", "section", "strand_name", "category_name", "domain_name", "skill_category")), F.lit(False).alias("is_practice"))
     page, total = catalog.browse_records(records, search="c", limit=5, offset=20)
     assert page.count() == 0 and total.first().total == 7
 
