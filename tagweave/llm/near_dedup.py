@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches, cut, drop, read, ship, slices, texts, unused
+from .common import batches, cut, dealt_join, drop, read, ship, slices, texts, unused
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -180,7 +180,10 @@ def verified(pairs: DataFrame, candidates: DataFrame, least: float = SIMILARITY,
 
     of_b = candidates.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     of_a = candidates.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    # a star's hub is in very many pairs, on either side
+    sizes = {c: pairs.groupBy(c).agg(F.count("*").alias("size")) for c in "ab"}
+    with_b = dealt_join(pairs.select("a", "b"), of_b, ["b"], sizes["b"], by="a")
+    return dealt_join(with_b, of_a, ["a"], sizes["a"], by="b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def bitmap(labelled: np.ndarray) -> list[int]:
@@ -205,16 +208,16 @@ def prefix_shingles(open_: DataFrame, candidates: DataFrame, least: float = SIMI
 
     shingles = cut(candidates.join(open_, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n int, tokens array<long>, map array<long>"))
     each = shingles.select("node", "component", "n", F.explode("tokens").alias("token"))
-    common = each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    common = cut(each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1"))
     # shingles of one node alone come first in its order and match nothing: their number is enough
-    known = each.join(common, "token")
+    known = dealt_join(each, common, ["token"], common.select("token", F.col("df").alias("size")), by="node")
     mine = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "token"))
     # a shingle that one component alone has matches nothing either, but keeps its place
     inside = (F.col("lo") < F.col("hi")) & (F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
     out = cut(known.withColumn("place", place).where(inside).select("node", "n", "token", "place"))
     maps = cut(shingles.select("node", *(F.get("map", F.lit(i)).alias(f"m{i}") for i in range(MAP))))
-    drop(shingles)
+    drop(shingles, common)
     return out, maps
 
 
@@ -293,27 +296,35 @@ def prefix_join(first: DataFrame, maps: DataFrame, where: DataFrame, least: floa
 def joined(where: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component) of all nodes of `where` after further links (a, b) between them."""
     to = [where.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
-    between = cut(links.join(to[0], "a").join(to[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    found = cut(links)
+    named = found
+    for c, other, of in ("a", "b", to[0]), ("b", "a", to[1]):
+        named = dealt_join(named, of, [c], found.groupBy(c).agg(F.count("*").alias("size")), by=other)
+    between = cut(named.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
     moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("instead"))
-    return cut(where.join(moved, "component", "left").select("node", F.coalesce("instead", "component").alias("component")))
+    sizes = where.groupBy("component").agg(F.count("*").alias("size"))
+    out = cut(dealt_join(where, moved, ["component"], sizes, by="node", how="left").select("node", F.coalesce("instead", "component").alias("component")))
+    drop(found, between)
+    return out
 
 
 def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, sample: int = SAMPLE, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
-    """doc_id, row_key and digest of each row; and for each digest its component, and the component's least doc_id as class_id.
+    """doc_id, row_key and digest of each row; and for each digest its component, the component's least doc_id as class_id and the number of rows (size).
 
     A component is the documents that links of similarity `least` or more join. Rows without words have no digest.
     """
     marks = cut(signatures(docs, shingle, sample, repeats))
     rows = marks.select("doc_id", "row_key", "digest")
     # nodes are numbered in the order of their least doc_id; the numbers hold from here on, because the table is written
-    different = marks.where("digest is not null").groupBy("digest", "n", "sketches").agg(F.min("doc_id").alias("label"))
+    different = marks.where("digest is not null").groupBy("digest", "n", "sketches").agg(F.min("doc_id").alias("label"), F.count("*").alias("size"))
     nodes = cut(different.orderBy(F.asc_nulls_last("label"), "digest").withColumn("node", F.monotonically_increasing_id()))
     places = nodes.select(F.explode("sketches").alias("bucket"), "node")
-    heads = places.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head")
-    members = cut(places.join(heads, "bucket").select("bucket", "node", "head"))
+    heads = cut(places.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"))
+    members = cut(dealt_join(places, heads.drop("size"), ["bucket"], heads.drop("head"), by="node").select("bucket", "node", "head"))
+    drop(heads)
 
     wanted = nodes.join(members.select("node").distinct(), "node").select("digest", "node", "label", "n")
-    keys = rows.join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("label"))).groupBy("node").agg(F.min("row_key").alias("key"))
+    keys = dealt_join(rows, wanted, ["digest"], nodes.select("digest", "size"), by="row_key").where(F.col("doc_id").eqNullSafe(F.col("label"))).groupBy("node").agg(F.min("row_key").alias("key"))
     plain = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
     candidates = cut(plain.join(keys, "key").groupBy("key", "node").agg(F.first("text").alias("text")).drop("key"))
 
@@ -327,8 +338,9 @@ def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
 
     # what the stars leave open: buckets whose nodes are in several components
     placed = members.join(where, "node").select("bucket", "node", "component")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = cut(placed.join(split, "bucket", "left_semi").select("node", "component").distinct())
+    split = cut(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size"))
+    open_ = cut(dealt_join(placed, split.select("bucket"), ["bucket"], split, by="node").select("node", "component").distinct())
+    drop(split)
     first, maps = prefix_shingles(open_, candidates, least, shingle)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for pairs_of in (prefix_star, prefix_join):
@@ -337,17 +349,17 @@ def grouped(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
         drop(before)
         tried = tried.unionByName(pairs)
 
-    named = nodes.join(where, "node", "left").select("digest", "label", F.coalesce("component", "node").alias("component"))
-    classes_ = named.groupBy("component").agg(F.min("label").alias("class_id"))
-    out = cut(named.drop("label").join(classes_, "component"))
-    drop(candidates, members, nodes, where, first, maps, open_, links, star)
+    named = nodes.join(where, "node", "left").select("digest", "label", "size", F.coalesce("component", "node").alias("component"))
+    classes_ = cut(named.groupBy("component").agg(F.min("label").alias("class_id"), F.count("*").alias("size")))
+    out = cut(dealt_join(named.drop("label"), classes_.drop("size"), ["component"], classes_.drop("class_id"), by="digest"))
+    drop(classes_, candidates, members, nodes, where, first, maps, open_, links, star)
     return rows, out
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id and class_id of each row: the least doc_id of the documents that links join, or its own where it has no words."""
     rows, found = grouped(docs, **options)
-    out = rows.select("doc_id", "digest").join(found.select("digest", "class_id"), "digest", "left")
+    out = dealt_join(rows.select("doc_id", "digest"), found.select("digest", "class_id"), ["digest"], found.select("digest", "size"), by="doc_id", how="left")
     return out.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
@@ -357,7 +369,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     It is a row of the least doc_id; of different texts with that doc_id the one of least row_key; of rows that agree in both any one.
     """
     rows, found = grouped(docs, **options)
-    least = rows.join(found, "digest").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    least = dealt_join(rows, found.drop("size"), ["digest"], found.select("digest", "size"), by="row_key").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     counts = least.groupBy("component", "row_key").agg(F.count("*").alias("rows"))
     chosen = counts.groupBy("component").agg(F.min(F.struct("row_key", "rows")).alias("it")).select("it.row_key", F.col("it.rows") > 1)
     all_ = rows.where("digest is null").select("row_key", F.lit(False)).distinct()
