@@ -12,10 +12,6 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A key with more than this part of all rows is hot.
-HOT_SHARE = 1000
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -75,31 +71,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def hot_keys(sizes: DataFrame, key: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """key and `copies` of those keys of `sizes` (key, size) that have more than 1/share of all rows it counts.
-
-    Fewer than `share` keys can be hot, and their copies add up to less than 2 * share, however large the table is.
-    """
-    total = sizes.agg(F.sum("size")).scalar()
-    copies = F.least(F.ceil(F.col("size") * share / total), F.col("size")).cast("long")
-    return sizes.where(F.col("size") * share > total).select(*key, copies.alias("copies"))
-
-
-def dealt_join(rows: DataFrame, one: DataFrame, key: list[str], sizes: DataFrame, by: str, how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
-    """`rows` joined (inner or left) with `one`, which has at most one row a key; rows of a hot key are dealt over tasks by the hash of `by`.
-
-    `sizes` (key, size) counts rows of each key of `rows` that `one` has; it is read more than once, so it should be a table. The hot keys
-    are broadcast, as their number is bounded; the row that `one` has for such a key is copied for each of its tasks. The result has the rows
-    of the plain join.
-    """
-    few = F.broadcast(hot_keys(sizes, key, share))
-    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("copies")), F.lit(0).cast("long"))
-    left = rows.join(few, key, "left").withColumn("salt", salt).drop("copies")
-    salts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("copies"), F.lit(1).cast("long")) - 1)
-    right = one.join(few, key, "left").withColumn("salt", F.explode(salts)).drop("copies")
-    return left.join(right, [*key, "salt"], how).drop("salt")
-
-
 def slices(batches_: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that what a step makes of one stays small."""
     for b in batches_:

@@ -9,7 +9,6 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tagweave.llm import common, conversation_repair, exact_dedup, fill_in_middle
 
@@ -211,28 +210,3 @@ def test_conversation_repair_edges(spark):
     got = conversation_repair.repaired(df)
     assert sorted(map(tuple, got.collect()), key=repr) == brute_conversations(rows)
     assert any(r.audit == "" and r.cost == 0 for r in got.collect()) and conversation_repair.repaired(df.limit(0)).count() == 0
-
-
-def test_dealt_join_equals_the_plain_join(spark):
-    """One key with most rows, some with few, one that only one side has, and null; each way, with as many tasks as the key's share asks for."""
-    rows = spark.createDataFrame([(1 if i % 10 < 7 else i % 10 if i % 10 < 9 else None, i) for i in range(600)], "k long, v long")
-    one = spark.createDataFrame([(1, "a"), (7, "b"), (9, "c")], "k long, name string")
-    sizes = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("size"))
-    hot = {r.k: r.copies for r in common.hot_keys(sizes, ["k"], share=4).collect()}
-    assert hot == {1: 4}  # 420 of 540 rows
-    for how in ("inner", "left"):
-        want = sorted(rows.join(one, "k", how).select("k", "v", "name").collect(), key=lambda r: r.v)
-        for share in (4, 1000):
-            got = common.dealt_join(rows, one, ["k"], sizes, by="v", how=how, share=share).select("k", "v", "name").collect()
-            assert sorted(got, key=lambda r: r.v) == want
-    none = rows.where("false")
-    assert common.dealt_join(none, one, ["k"], sizes.where("false"), by="v").count() == 0
-
-
-def test_hot_key_is_dealt_over_tasks(spark):
-    rows = spark.range(4000).selectExpr("0L as k", "id as v")
-    one = spark.createDataFrame([(0, "a")], "k long, name string")
-    sizes = rows.groupBy("k").agg(F.count("*").alias("size"))
-    out = common.dealt_join(rows, one.hint("shuffle_merge"), ["k"], sizes, by="v")
-    at = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
-    assert sum(r.n for r in at) == 4000 and max(r.n for r in at) < 2000
