@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Named entities that decode_entities() knows.
 NAMED_ENTITIES = {
@@ -22,40 +21,48 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+@F.pandas_udf(ArrayType(StringType()))
+def _unescape(references: pd.Series) -> pd.Series:
+    return references.map(lambda a: [html.unescape(x) for x in a], na_action="ignore")
 
 
-_ENTITY = re.compile(r"&#(\d{1,9});|&#x([0-9a-fA-F]{1,8});|&([a-zA-Z]+);")
+#: What html.unescape() takes for a reference, and the numeric ones that decode_entities() knows.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_NUMERIC = r"&#(?:[0-9]{1,9}|x[0-9a-fA-F]{1,8});"
 
 
-@F.pandas_udf(StringType())
-def _decode(s: pd.Series) -> pd.Series:
-    def number(n: int, whole: str) -> str:
-        return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else whole
+def _references(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def numbered(m: re.Match) -> str:
-        return number(int(m[1]), m[0]) if m[1] else number(int(m[2], 16), m[0])
 
-    def one(t: str) -> str:
-        t = re.sub(r"&#(\d{1,9});|&#x([0-9a-fA-F]{1,8});", numbered, t)
-        return re.sub(r"&([a-zA-Z]+);", lambda m: NAMED_ENTITIES.get(m[1], m[0]), t)
+def _put(text: Column, pattern: str, values: Column) -> Column:
+    """The text with a value in place of each match of a pattern."""
+    return F.array_join(F.zip_with(F.split(text, pattern), values, lambda part, value: F.concat(part, F.coalesce(value, F.lit("")))), "")
 
-    return s.map(one, na_action="ignore")
+
+def _character(reference: Column) -> Column:
+    """What a numeric reference stands for; itself if that is no character."""
+    digits = F.regexp_extract(reference, "([0-9a-fA-F]+);$", 1)
+    n = F.when(F.substring(reference, 3, 1) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    # the mark of the byte order in front goes, so that one behind it stays
+    char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")
+    return F.when((n < 0x110000) & ~n.between(0xD800, 0xDFFF), char).otherwise(reference)
 
 
 def clean_text(col: Column | str) -> Column:
     """Tags to spaces, then HTML entities decoded, then white space collapsed; null gives an empty text."""
     bare = F.regexp_replace(F.coalesce(_c(col), F.lit("")), "<[^>]+>", " ")
-    plain = F.when(F.contains(bare, F.lit("&")), _unescape(bare)).otherwise(bare)
+    plain = F.when(F.contains(bare, F.lit("&")), _put(bare, _REFERENCE, _unescape(_references(bare, _REFERENCE)))).otherwise(bare)
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
 def decode_entities(col: Column | str) -> Column:
     """Numeric and thirteen named entities; others stay as they are."""
     text = F.coalesce(_c(col), F.lit(""))
-    return F.when(F.contains(text, F.lit("&")), _decode(text)).otherwise(text)
+    text = F.when(F.contains(text, F.lit("&#")), _put(text, _NUMERIC, F.transform(_references(text, _NUMERIC), _character))).otherwise(text)
+    for name in sorted(NAMED_ENTITIES, key=lambda n: n == "amp"):  # the ampersand last, so that none is decoded twice
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(NAMED_ENTITIES[name]))
+    return text
 
 
 def _trim(col: Column) -> Column:
