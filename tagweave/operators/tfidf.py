@@ -40,10 +40,13 @@ def fit_tfidf(corpus: DataFrame, key: str = "record_id", text: str = "text", sto
     return _unit(counts.join(idf, [*by, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys), idf
 
 
-def transform_tfidf(queries: DataFrame, idf: DataFrame, key: str = "query_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+def transform_tfidf(queries: DataFrame, idf: DataFrame, key: str = "query_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = (), method: str = "join") -> DataFrame:
     """Unit rows of the queries under a fitted idf; terms that the corpus does not have are dropped before the norm.
 
-    Queries without the columns of `by` are asked in every group: their terms are counted once and weighed in each."""
+    Queries without the columns of `by` are asked in every group: their terms are counted once and weighed in each.
+    `method` is "join", or "auto": a small idf without groups, which is measured, is sent to workers that weigh text by text."""
+    if method == "auto" and not by and matrix.idf_fits(idf):
+        return matrix.unit_rows(queries, idf, key, text, stop_words)
     keys, own = [*by, key], [c for c in by if c in queries.columns]
     counts = term_counts(queries, key, text, stop_words, own)
     return _unit(counts.join(idf, [*own, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys)
@@ -55,6 +58,14 @@ def cosine_scores(queries: DataFrame, postings: DataFrame, query_key: str = "que
     return queries.join(other, [*by, "term"]).groupBy(*by, query_key, key).agg(F.sum(F.col("weight") * F.col("record_weight")).alias("score"))
 
 
+def all_scores(queries: DataFrame, corpus: DataFrame, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """The rows of cosine_scores() for texts: from block products, which shuffle no pairs, where the corpus is measured as small enough, else from the join."""
+    if matrix.fits(corpus):
+        return matrix_scores(queries, corpus, query_key, key, order, stop_words, by)
+    postings, idf = fit_tfidf(corpus, key, "text", stop_words, by)
+    return cosine_scores(transform_tfidf(queries, idf, query_key, "text", stop_words, by), postings, query_key, key, by)
+
+
 def matrix_scores(queries: DataFrame, corpus: DataFrame, query_key: str = "query_id", key: str = "record_id", order: str = "ord", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """The rows of cosine_scores() from block products; `corpus` as in shortlist()."""
     if not matrix.fits(corpus):
