@@ -97,7 +97,12 @@ def with_rules(objectives: DataFrame) -> DataFrame:
 
 def rerank(candidates: DataFrame, objectives: DataFrame, n: int = TOP_N) -> DataFrame:
     """All subjects in one pass; an unknown subject counts as ela."""
-    joined = candidates.join(objectives, list(KEYS))
+    return rerank_joined(candidates.join(objectives, list(KEYS)), n)
+
+
+def rerank_joined(joined: DataFrame, n: int = TOP_N) -> DataFrame:
+    """rerank() of candidates that have their objective's columns. Where these come by document, one join of documents before
+    subjects are dealt moves each line once; rows that lie by document need no further shuffle here."""
     grade, keyword = (F.when(F.col("subject") == "math", m).when(F.col("subject") == "history", h).when(F.col("subject") == "science", s).otherwise(e) for e, m, h, s in zip(*(BONUSES[x]() for x in ("ela", "math", "history", "science")), strict=True))
     return top_reranked(_scored(joined, grade, keyword), n)
 

@@ -27,3 +27,8 @@ def test_no_terms_or_pairs_are_shuffled_for_a_small_corpus(spark):
     for name in ("r3_transform_tfidf", "r4_cosine_scores", "r7_attach_fields"):
         told = plan(registry.queries()[name](spark, SF))
         assert "MapInArrow" in told and "term" not in "".join(line for line in told.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_lines_move_once_for_all_subjects(spark):
+    told = plan(registry.queries()["k8_rerank"](spark, SF))
+    assert "subject" not in "".join(line for line in told.splitlines() if "Exchange hashpartitioning" in line)
