@@ -5,7 +5,7 @@ Every job takes grouping columns `by`, such as subject: each group is a corpus o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +27,12 @@ def _unit(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return weighted.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
-def fit_tfidf(corpus: DataFrame, key: str = "record_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(postings, idf and df of terms): tf 1 + ln(tf), smooth idf ln((1 + N) / (1 + df)) + 1, rows of unit length."""
+def fit_tfidf(
+    corpus: DataFrame, key: str = "record_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = (), terms: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, DataFrame]:
+    """(postings, idf and df of terms): tf 1 + ln(tf), smooth idf ln((1 + N) / (1 + df)) + 1, rows of unit length.
+
+    With `terms`, all that will be asked, only postings of these are made, with the norms of whole records. `store` keeps the idf for both uses."""
     keys = [*by, key]
     counts = term_counts(corpus, key, text, stop_words, by)
     df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
@@ -37,7 +41,12 @@ def fit_tfidf(corpus: DataFrame, key: str = "record_id", text: str = "text", sto
     else:
         total = corpus.agg(F.count("*")).scalar()
     idf = df.select(*by, "term", "df", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    return _unit(counts.join(idf, [*by, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), keys), idf
+    idf = store(idf)
+    weighted = counts.join(idf, [*by, "term"]).select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    if terms is None:
+        return _unit(weighted, keys), idf
+    norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(terms, [*by, "term"], "left_semi").join(norms, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight")), idf
 
 
 def transform_tfidf(queries: DataFrame, idf: DataFrame, key: str = "query_id", text: str = "text", stop_words: Sequence[str] = (), by: Sequence[str] = (), method: str = "join") -> DataFrame:

@@ -32,3 +32,11 @@ def test_no_terms_or_pairs_are_shuffled_for_a_small_corpus(spark):
 def test_lines_move_once_for_all_subjects(spark):
     told = plan(registry.queries()["k8_rerank"](spark, SF))
     assert "subject" not in "".join(line for line in told.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_postings_of_asked_terms_have_the_norms_of_whole_records(spark):
+    corpus = spark.createDataFrame([(1, "red fish blue fish"), (2, "blue sea"), (3, None)], "record_id int, text string")
+    terms = spark.createDataFrame([("fish",), ("blue",), ("unknown",)], "term string")
+    some = T.fit_tfidf(corpus, terms=terms)[0].collect()
+    every = T.fit_tfidf(corpus)[0].where("term in ('fish', 'blue')").collect()
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in some) == sorted((r[0], r[1], round(r[2], 9)) for r in every) and len(some) == 3
