@@ -97,9 +97,9 @@ def to_nested(candidates: DataFrame, fields: Sequence[str] = ("code", "score"),
     return joined.select("doc_id", "subject", *rest, "objectives")
 
 
-def write_nested(nested: DataFrame, path: str) -> None:
+def write_nested(nested: DataFrame, path: str, compression: str = "none") -> None:
     """Writes one JSON record a line, in order of subject and document within and between the files; nulls are written."""
-    nested.repartitionByRange("subject", "doc_id").sortWithinPartitions("subject", "doc_id").write.option("ignoreNullFields", False).json(path)
+    nested.repartitionByRange("subject", "doc_id").sortWithinPartitions("subject", "doc_id").write.option("ignoreNullFields", False).json(path, compression=compression)
 
 
 def prune_document(docs: DataFrame) -> DataFrame:

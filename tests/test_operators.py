@@ -277,3 +277,13 @@ def test_excerpts_are_scored_once_a_tag(spark):
     out = excerpts.best_excerpt(spark.createDataFrame(rows, s))
     assert {r.ord: r.excerpt for r in out.collect()} == {1: "Take 12 of these there.", 2: "The third sentence."}
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nested_records_can_be_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), "ela", [(f"sections[0].objectives[{k}]", None)]) for k in range(20)], "doc_id string, subject string, objectives array<struct<path string, pick string>>")
+    documents.write_nested(rows, f"{tmp_path}/plain")
+    documents.write_nested(rows, f"{tmp_path}/small", compression="gzip")
+    files = [p.name for p in (tmp_path / "small").iterdir() if p.name.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    plain, small = (sorted(r.value for r in spark.read.text(f"{tmp_path}/{x}").collect()) for x in ("plain", "small"))
+    assert plain == small and len(small) == 20
