@@ -85,11 +85,15 @@ def _each_document(objectives: DataFrame, exclusions: DataFrame, docs: DataFrame
     counted, tagged = F.col("_in") & F.col("counts"), F.size("tags") > 0
 
     def level(name: str) -> Column:
-        return F.sum(F.when(counted, F.size(F.filter("tags", lambda t: t["confidence"] == name))).otherwise(0)).alias(name)
-
-    codes = F.explode_outer(F.when(F.col("_in"), F.filter(F.transform("tags", lambda t: t["code"]), lambda c: F.coalesce(c, F.lit("")) != "")))
-    n_codes = marked.select("doc_id", codes.alias("code")).groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"))
-    each = marked.groupBy("doc_id").agg(F.count_if(counted).alias("n_objectives"), F.count_if(counted & tagged).alias("n_aligned"), *map(level, LEVELS)).join(n_codes, "doc_id")
+        return F.when(counted, F.size(F.filter("tags", lambda t: t["confidence"] == name))).otherwise(0)
+
+    # a row for each code; the objective's own counts stand in the first, so that one grouping gives both
+    codes = F.when(F.col("_in"), F.filter(F.transform("tags", lambda t: t["code"]), lambda c: F.coalesce(c, F.lit("")) != ""))
+    own = {"n_objectives": F.when(counted, 1).otherwise(0), "n_aligned": F.when(counted & tagged, 1).otherwise(0), **{name: level(name) for name in LEVELS}}
+    rows = marked.select("doc_id", *(c.alias(n) for n, c in own.items()), F.posexplode_outer(codes).alias("_pos", "code"))
+    first = F.coalesce("_pos", F.lit(0)) == 0
+    counts = [F.sum(F.when(first, F.col(n))).alias(n) for n in own]
+    each = rows.groupBy("doc_id").agg(*counts, F.size(F.collect_set("code")).cast("long").alias("n_codes"))
     if docs is None:
         return each
     return docs.select("doc_id").distinct().join(each, "doc_id", "left").na.fill(0)

@@ -287,3 +287,16 @@ def test_nested_records_can_be_compressed(spark, tmp_path):
     assert files and all(f.endswith(".json.gz") for f in files)
     plain, small = (sorted(r.value for r in spark.read.text(f"{tmp_path}/{x}").collect()) for x in ("plain", "small"))
     assert plain == small and len(small) == 20
+
+
+def test_cards_count_codes_in_one_grouping(spark):
+    """Codes of several objectives, in repeated, empty and excluded ones, without a join of two groupings."""
+    tag = "array<struct<code string, confidence string>>"
+    rows = [
+        ("d", "1", 0, True, [("a", "high"), ("b", "low"), ("a", "high")]), ("d", "2", 0, False, [("c", "high")]), ("d", "3", 1, True, [("z", "high")]),
+        ("d", "4", 0, True, []), ("d", "5", 0, True, [("", "medium"), (None, "low")]), ("e", "1", 1, True, [("a", "high")]),
+    ]
+    objectives = spark.createDataFrame(rows, f"doc_id string, path string, section_idx int, counts boolean, tags {tag}")
+    out = analytics.document_cards(objectives, spark.createDataFrame([("d", 1), ("e", 1)], "doc_id string, section_idx int"))
+    assert sorted(map(tuple, out.collect())) == [("d", 3, 2, 3), ("e", 0, 0, 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
