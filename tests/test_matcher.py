@@ -68,3 +68,13 @@ def test_equals_the_columns(spark, subject):
     for r in df.select("s", R.match_rules("s", subject).alias("a"), M.rules_result("n", subject).alias("b")).collect():
         assert r.a == r.b, r.s
     assert df.where(F.size("n") > 0).count() > 50
+
+
+def test_subjects_are_found_in_one_pass(spark):
+    texts = [t for words in R.SUBJECT_WORDS.values() for w in sample_of(words) for t in (w, f"x {w.upper()}, y", f"a{w}", f"{w}s")] + ["", None, "nothing at all", "war and essay\natoms"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    each = F.array_compact(F.array(*(F.when(R._has("t", R.SUBJECT_WORDS[s]), F.lit(s)) for s in R.SUBJECTS)))
+    out = df.select("t", R.detect_subjects("t").alias("got"), F.when(F.size(each) == 0, F.array(F.lit("ela"))).otherwise(each).alias("want"))
+    assert out.where("got <> want").count() == 0
+    plan = df.select(R.detect_subjects("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan and "RLIKE" not in plan
