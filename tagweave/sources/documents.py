@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,48 @@ def read_documents(spark: SparkSession, glob: str, schema: str = DOCUMENT) -> Da
     return spark.read.schema(schema).option("multiLine", True).json(glob).select(_stem().alias("doc_id"), "*")
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder that a path names in the local file system, which may be a mounted one; null in other stores."""
+    if path.startswith("/"):
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + path
+    found = re.fullmatch(r"file:(?://)?(/(?!/).*)", path)
+    return found and found[1]
+
+
+def _put_files(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes each value under its name, and counts them. A file appears whole, and a repeated attempt of a task gives the same files."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = os.path.join(folder, f".{uuid.uuid4().hex}")
+        for batch in batches:
+            for name, value in zip(batch["name"].to_pylist(), batch["value"]):
+                if not name or name.startswith((".", "_")) or "/" in name:
+                    raise ValueError(f"no name of a file that is read: {name}")
+                with open(part, "wb") as f:
+                    f.write(value.as_buffer())
+                os.replace(part, os.path.join(folder, f"{name}.json"))
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return put
+
+
+def write_documents(docs: DataFrame, path: str, name: Column) -> None:
+    """Writes each row as a JSON file of several lines into a new folder, as `read_documents()` wants it.
+
+    Hadoop's local file system starts four processes for each file that it makes (chmod of the file and of its checksums), so there the tasks
+    write the files, as `name`.json; names must differ. Other stores have no such cost: Spark writes, under names of its own."""
+    folder = _local_folder(docs.sparkSession, path)
+    if folder is None:
+        docs.write.option("pretty", True).option("maxRecordsPerFile", 1).json(path)
+        return
+    os.makedirs(folder)
+    files = docs.select(name.cast("string").alias("name"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
+    rows = files.mapInArrow(_put_files(folder), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    there = sum(x.endswith(".json") for x in os.listdir(folder))
+    if rows != there:
+        raise ValueError(f"{rows} documents became {there} files: names are repeated, or tasks do not share {folder}")
+
+
 def read_finals(spark: SparkSession, glob: str, id_field: str = "id", title_field: str = "title") -> DataFrame:
     """Reviewed documents; `id_field` and `title_field` are what the files call a document's id and title."""
     rest = FINAL.split("title string,", 1)[1]
