@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import matrix
+from tagweave.operators import bounded, matrix, pruned
 from tagweave.operators import tfidf as T
 from tagweave.operators.pruned import PrunedTopK, impact_index
+from tagweave.plans.shared import stored
 
 
 def rows(df):
@@ -81,3 +83,35 @@ def test_pruned_lists_by_subject(sides):
     job = PrunedTopK(vectors, index, 3, by=["subject"], store=lambda df: df.cache())
     columns = ["subject", "query_id", "record_id", "score", "rank"]
     assert rows(job.result().select(columns)) == rows(T.shortlist(queries, corpus, 3, by=["subject"], pad=False).select(columns))
+
+
+@pytest.mark.parametrize("k, bits", [(1, 3), (5, 0), (400, 13)])
+def test_bounded_lists_equal_join(sides, monkeypatch, k, bits):
+    """Few counters that all terms share, rows sent in parts, terms of open records counted in parts; copies, and a record of several rows."""
+    monkeypatch.setattr(pruned, "MAX_SENT", 5000 if k == 1 else 100_000)
+    queries, corpus = sides
+    corpus = corpus.select("record_id", F.col("record_id").alias("ord"), "text")
+    copies = corpus.where("ord < 'r120'").select(F.concat(F.col("record_id"), F.lit("c")).alias("record_id"), F.concat(F.col("ord"), F.lit("c")).alias("ord"), "text")
+    corpus = corpus.unionByName(copies).unionByName(corpus.where("ord in ('r7', 'r90')"))
+    terms = T.term_counts(queries, "query_id", "text").select("term").distinct()
+    fit = bounded.BoundedIndex(corpus, terms, store=stored, bits=bits)
+    monkeypatch.setattr(bounded, "MAX_TERMS", 700 if k == 5 else 1_000_000)
+    job = PrunedTopK(T.transform_tfidf(queries, fit.idf), fit.index, k, store=stored, bounded=fit)
+    postings, idf = T.fit_tfidf(corpus)
+    scores = T.cosine_scores(T.transform_tfidf(queries, idf), postings).withColumn("score", F.round("score", 9))
+    columns = ["query_id", "record_id", "score", "rank"]
+    assert rows(job.result().select(columns)) == rows(T.top_k(scores, ["query_id"], [F.desc("score"), F.asc("record_id")], k).select(columns))
+
+
+def test_bounded_lists_of_nothing(sides):
+    queries, corpus = sides
+    corpus = corpus.drop("subject")
+    for asked, known in ((queries, corpus.limit(0)), (queries.limit(0), corpus)):
+        terms = T.term_counts(asked, "query_id", "text").select("term").distinct()
+        fit = bounded.BoundedIndex(known, terms, store=stored)
+        assert PrunedTopK(T.transform_tfidf(asked, fit.idf), fit.index, 3, store=stored, bounded=fit).result().isEmpty()
+
+
+def test_levels_are_no_less_than_counts():
+    counts = np.concatenate([np.arange(5000), 2 ** np.arange(31) + 1, 2 ** np.arange(31) - 1])
+    assert (bounded._most(bounded._levels(counts)) >= counts).all() and (bounded._most(bounded._levels(counts)) <= np.maximum(1, counts * 1.1)).all()

@@ -89,3 +89,19 @@ def test_documents_in_a_store_that_only_spark_writes(spark, tmp_path):
     S.write_documents(docs, "viewfs://docs/in/out", F.col("id"))
     got = S.read_documents(spark, "viewfs://docs/in/out").collect()
     assert sorted((r.id, r.title) for r in got) == [("x", "1"), ("x", "3"), ("y", "2")] and len({r.doc_id for r in got}) == 3
+
+
+def test_postings_of_terms_that_nobody_asks_are_not_shuffled(spark, tmp_path):
+    """1,500 documents with 351,430 postings, nearly all of words of their own."""
+    docs = [(i, f"fish{i % 7} " + " ".join(f"x{i}y{j}" for j in range(10 + i // 7))) for i in range(1500)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"fish{i}") for i in range(7)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def shuffled() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = registry.queries()["r5_pruned_top_k"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.rank, r.record_id) for r in got) == [(i, n + 1, i + 7 * n) for i in range(7) for n in range(3)]
+    assert shuffled() - before < 50_000
