@@ -157,7 +157,7 @@ class PrunedTopK:
         """Scored pairs that the bounds leave open."""
         scored = self.store(self._scored(self.candidates))
         reached = self._reached(scored).withColumnRenamed("least", "reached")
-        return scored.join(reached, self.query).where(F.col("score") >= F.coalesce("reached", F.lit(0.0)) - SLACK).drop("reached")
+        return scored.join(F.broadcast(reached) if self.few else reached, self.query).where(F.col("score") >= F.coalesce("reached", F.lit(0.0)) - SLACK).drop("reached")
 
     def _settled(self) -> DataFrame:
         """Open pairs with their scores. Of records with the same text the first k in order stand for all."""
